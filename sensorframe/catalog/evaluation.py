@@ -278,7 +278,7 @@ def comparison_rows(spark, folder):
 
 COMPARISON_SQL = f"""SELECT CASE WHEN c_custkey % 4 <> 0 THEN 'logistic_regression' ELSE 'r' || c_custkey END AS algorithm,
   'r' || c_custkey AS artifact_name,
-  '{{"C": ' || CASE c_custkey % 3 WHEN 0 THEN '0.1' WHEN 1 THEN '1' ELSE '9' END || ', "weighting": "' || c_mktsegment || '"}}' AS parameters,
+  '{{"C": ' || CASE c_custkey % 3 WHEN 0 THEN '0.1' WHEN 1 THEN '1.0' ELSE '9.0' END || ', "weighting": "' || c_mktsegment || '"}}' AS parameters,
   {named('CASE c_custkey % 3 WHEN 0 THEN c_acctbal WHEN 1 THEN c_acctbal + 5 END', 'accuracy')},
   {named('CASE c_custkey % 3 WHEN 0 THEN c_acctbal * 2 WHEN 1 THEN c_acctbal * 2 + 5 END', 'macro_f1')},
   {named('CASE WHEN c_custkey % 3 < 2 THEN c_acctbal * 3 END', 'balanced_accuracy')},

@@ -170,9 +170,16 @@ REPORT = (
 
 
 def sorted_json(text: Column) -> Column:
-    """JSON text with sorted keys and a blank after colons and commas."""
-    compact = F.to_json(F.try_parse_json(text))
-    return F.regexp_replace(compact, r'([:,])(?=(?:[^"]*"[^"]*")*[^"]*$)', "$1 ")
+    """A flat JSON object with sorted keys and a blank after colons and commas; numbers stay as written."""
+    pairs = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
+
+    def shown(pair: Column) -> Column:
+        key, value = F.concat(F.lit('"'), pair["key"], F.lit('"')), pair["value"]
+        quoted = F.regexp(text, F.concat(key, F.lit(r'\s*:\s*"')))
+        value = F.when(quoted, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(F.coalesce(value, F.lit("null")))
+        return F.concat(key, F.lit(": "), value)
+
+    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, shown), ", "), F.lit("}"))
 
 
 def feature_block_list(report: Column) -> Column:

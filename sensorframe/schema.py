@@ -92,6 +92,8 @@ class FeatureConfig:
     max_image_frames: int = 64
     image_grid_rows: int = 4
     image_grid_columns: int = 4
+    coarse_rows: int = 12
+    coarse_columns: int = 16
     include_legacy_ir: bool = False
     skeleton_frames: int = 32
     temporal_bins: int = 4
@@ -126,8 +128,8 @@ class FeatureConfig:
         devices = len(IMU_DEVICES)
         joints = len(JOINTS)
         return {
-            "depth": 5 * (self.hog_size() + 12 * 16 + 5),
-            "ir": 5 * (self.hog_size() + 12 * 16 + 5),
+            "depth": 5 * (self.hog_size() + self.coarse_rows * self.coarse_columns + 5),
+            "ir": 5 * (self.hog_size() + self.coarse_rows * self.coarse_columns + 5),
             "depth_engineered": gray + self.temporal_bins * 3 * grid + 3 * 12,
             "ir_engineered": gray,
             "imu": devices * 8 * self.signal_size,
