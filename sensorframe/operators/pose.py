@@ -389,13 +389,21 @@ def stabilize_pose(rows: DataFrame, keys: Sequence[str], bones: DataFrame, pose:
     """Rebuild each pose along the edge tree with the clip's bone lengths, keeping directions."""
     joined = rows.join(bones, list(keys), "left")
     p = F.col(pose)
-    placed: dict[int, list[Column]] = {0: [at(p, 0, a) for a in range(3)]}
-    for i, (start, end) in enumerate(EDGES):
-        direction = vector(p, start, end)
-        size = length(direction)
-        grown = F.get("bones", F.lit(i)) / size
-        placed[end] = [
-            placed[start][a] + F.when(size > 1e-8, direction[a] * grown).otherwise(F.lit(0.0)) for a in range(3)
-        ]
-    rebuilt = F.array(*[placed[j][a] for j in range(JOINT_COUNT) for a in range(3)])
-    return joined.withColumn(pose, F.when(F.col("bones").isNotNull(), rebuilt).otherwise(p)).drop("bones")
+    edges = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(EDGES)])
+
+    def scaled(edge: Column) -> Column:
+        gap = [F.get(p, edge["b"] * 3 + a) - F.get(p, edge["a"] * 3 + a) for a in range(3)]
+        size = length(gap)
+        factor = F.when(size > 1e-8, F.get("bones", edge["i"]) / size).otherwise(F.lit(0.0))
+        return F.struct(edge["a"].alias("parent"), factor.alias("f"), *[g.alias(x) for g, x in zip(gap, "xyz")])
+
+    def place(placed: Column, step: Column) -> Column:
+        parent = F.get(placed, step["parent"])
+        return F.concat(placed, F.array(F.struct(*[(parent[x] + step[x] * step["f"]).alias(x) for x in "xyz"])))
+
+    # the edge list reaches the joints in index order, each after its parent
+    root = F.array(F.struct(*[at(p, 0, a).alias(x) for a, x in enumerate("xyz")]))
+    joints = F.aggregate(F.col("_steps"), root, place)
+    rebuilt = F.flatten(F.transform(joints, lambda j: F.array(j["x"], j["y"], j["z"])))
+    steps = joined.withColumn("_steps", F.transform(edges, scaled))
+    return steps.withColumn(pose, F.when(F.col("bones").isNotNull(), rebuilt).otherwise(p)).drop("bones", "_steps")
