@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sensorframe.catalog.common import EVENT_TYPES, micros, named, r, rounded, table, vector_series, vectors
+from sensorframe.catalog.common import EVENT_TYPES, named, r, rounded, vector_series, vectors
+from sensorframe.catalog.signals import wide_rows
 from sensorframe.operators import frames as I
 from sensorframe.operators import pose as P
 from sensorframe.operators import signal as S
-from sensorframe.schema import ANGLES, DISTANCES, EDGES, JOINT, FeatureConfig
+from sensorframe.plans import extract as X
+from sensorframe.schema import ANGLES, DISTANCES, EDGES, IMU_DEVICES, JOINT, FeatureConfig
+from sensorframe.skew import OrderedGroups, checkpointed
 
 # ---------------------------------------------------------------- vectors as poses
 
@@ -206,7 +209,7 @@ def person_track(spark, folder):
 
 
 def samples(spark, folder):
-    return P.pose_samples(P.pose_normalize(vector_series(poses(spark, folder, gaps=True))), 32)
+    return checkpointed(P.pose_samples(P.pose_normalize(vector_series(poses(spark, folder, gaps=True))), 32))
 
 
 def block_summary(rows, key, block):
@@ -298,10 +301,29 @@ def image_engineered(spark, folder):
     return block_summary(I.image_blocks(groups, SMALL, name="depth", base=False, color=True), "label", "depth_engineered")
 
 
+def extract_blocks(spark, folder):
+    """Four modalities of the same clips: frames, poses and sensor rows keyed by label."""
+    clip = F.col("label").cast("string").alias("clip_id")
+    clips = vectors(spark, folder).select(clip).distinct()
+    frames = vectors(spark, folder).select(clip, "vec_id", F.col("embedding").alias("image"))
+    frames = frames.withColumn("color", F.flatten(F.transform("image", lambda v: F.array(F.abs(v), v * v, F.abs(v)))))
+    picture = OrderedGroups(frames, ["clip_id"], ["vec_id"], F.col("vec_id"))
+    devices = dict(zip(EVENT_TYPES, IMU_DEVICES))
+    sensor = wide_rows(spark, folder).withColumns({
+        "clip_id": (F.col("clip_id") % 10).cast("string"), "ts": F.col("seconds"),
+        "device": F.create_map(*[F.lit(x) for pair in devices.items() for x in pair])[F.col("device")],
+    })
+    imu = OrderedGroups(sensor, ["clip_id", "device"], ["ts", "event_id"], F.col("ts"))
+    skeleton = samples(spark, folder).withColumnRenamed("label", "clip_id").withColumn("clip_id", F.col("clip_id").cast("string"))
+    rows = X.extract_blocks(clips, SMALL, ("depth", "depth_engineered", "ir_engineered", "imu", "skeleton"),
+                            depth=picture, infrared=picture, imu=imu, skeleton=skeleton)
+    return rows.select("clip_id", *[F.size(c).alias(c) for c in rows.columns[1:]])
+
+
 QUERIES = {f.__name__: f for f in (
     joint_angles, joint_distances, torso_geometry, pose_normalize, joint_motion, score_summary, bone_lengths,
     pose_bounds, stabilize_pose, person_track, skeleton_base, skeleton_engineered, frame_summaries, grid_pool,
-    motion_center, value_histogram, hog, image_base, image_engineered,
+    motion_center, value_histogram, hog, image_base, image_engineered, extract_blocks,
 )}
 
 ORACLES = {

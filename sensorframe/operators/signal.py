@@ -165,14 +165,14 @@ def resample(groups: OrderedGroups, channels: Sequence[str], length: int) -> Dat
     points = spread.groupBy(*groups.keys, "point").agg(
         *[F.sum(F.col(c).cast("double") * F.col("_w")).alias(c) for c in channels]
     )
-    rows = points.select(
-        *groups.keys,
-        "point",
-        F.inline(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("v")) for c in channels])),
-    ).filter(F.col("v").isNotNull())
     # at most `length` points per series remain here
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("point", "v"))), lambda s: s["v"])
-    return rows.groupBy(*groups.keys, "channel").agg(ordered.alias("samples"))
+    listed = points.groupBy(*groups.keys).agg(F.array_sort(F.collect_list(F.struct("point", *channels))).alias("_p"))
+
+    def series(channel: str) -> Column:
+        return F.struct(F.lit(channel).alias("channel"), F.transform("_p", lambda p: p[channel]).alias("samples"))
+
+    rows = listed.select(*groups.keys, F.inline(F.array(*[series(c) for c in channels])))
+    return rows.filter(F.col("samples")[0].isNotNull())
 
 
 def dynamic_features(samples: DataFrame) -> DataFrame:
