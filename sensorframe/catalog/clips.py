@@ -225,8 +225,7 @@ MEMBER_ORDER_SQL = f"""WITH {MEMBERS} SELECT "user", member_path,
 
 def manifest_order(spark, folder):
     rows = manifest(spark, folder)
-    # the leading sort key is the action number, which also says where a long list may be cut
-    groups = OrderedGroups(rows, [], P.manifest_order(), F.coalesce("action_id", F.lit(10_000)))
+    groups = OrderedGroups(rows, [], P.manifest_order(), None)
     return P.numbered(groups).select("clip_id", "position")
 
 
@@ -579,7 +578,7 @@ def natural_key(spark, folder):
         F.concat(F.lit("Unit"), F.col("s_suppkey").cast("string"), F.lit("b"), F.col("s_nationkey").cast("string")).alias("name"),
         "s_suppkey",
     )
-    groups = OrderedGroups(names, [], [C.natural_key(F.col("name"))], F.col("s_suppkey"))
+    groups = OrderedGroups(names, [], [C.natural_key(F.col("name"))], None)
     return P.numbered(groups).select("name", "position")
 
 
@@ -663,15 +662,13 @@ def radar_frames(spark, folder):
         F.col("value").alias("x"), (F.col("value") * 2).alias("y"), (F.col("value") * 3).alias("z"),
         F.col("value").alias("velocity"), F.coalesce(F.get_json_object("props", "$.k").try_cast("double"), F.lit(0.0)).alias("snr"),
     )
-    framed = scan.radar_frames(points)
-    return framed.select("path", "frame", F.posexplode("x").alias("point", "x"), "y", "snr").select(
-        "path", "frame", "point", "x", F.round(F.get("y", F.col("point")), 4).alias("y"), F.get("snr", F.col("point")).alias("snr")
-    )
+    return rounded(scan.radar_frames(points), ["y", "z"])
 
 
-RADAR_SQL = """SELECT user_id AS path, strftime(ts, '%Y%m%d')::INTEGER AS frame,
-  (row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY event_id) - 1)::INTEGER AS point,
-  value AS x, round(value * 2, 4) AS y, coalesce(regexp_extract(props, '(\\d+)', 1)::DOUBLE, 0) AS snr FROM events"""
+RADAR_SQL = f"""SELECT user_id AS path, strftime(ts, '%Y%m%d')::INTEGER AS frame,
+  row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y%m%d') ORDER BY event_id) - 1 AS point,
+  value AS x, {r('value * 2')} AS y, {r('value * 3')} AS z, value AS velocity,
+  coalesce(regexp_extract(props, '(\\d+)', 1)::DOUBLE, 0) AS snr FROM events"""
 
 
 QUERIES = {f.__name__: f for f in (

@@ -282,7 +282,7 @@ def unique_run_labels(rows: DataFrame, place: str) -> DataFrame:
 def leaderboard(rows: DataFrame, metric: str, place: str) -> DataFrame:
     """Runs numbered by descending metric, missing metrics last, earlier runs first in a tie."""
     score = F.coalesce(F.col(metric), F.lit(-1.0))
-    groups = OrderedGroups(rows, [], [-score, F.col(place)], -score)
+    groups = OrderedGroups(rows, [], [-score, F.col(place)], None)
     return groups.scan(rank=skew.position()).rows().withColumn("rank", F.col("rank") + 1)
 
 

@@ -63,8 +63,13 @@ def _bucket(bounds: Column, value: Column, steps: int) -> Column:
     )
 
 
-def sliced(df: DataFrame, keys: Sequence[str], lead: Column) -> tuple[DataFrame, bool]:
-    """Add the slice column; the flag says whether any group was cut."""
+def sliced(df: DataFrame, keys: Sequence[str], lead: Column | None, order: Sequence[Column] = ()) -> tuple[DataFrame, bool]:
+    """Add the slice column; the flag says whether any group was cut.
+
+    With a ``lead`` number hot groups are cut at its quantiles, which are stored so that every use
+    sees the same cuts. Without one the rows are range-partitioned by the whole order, and the stored
+    partition number is the slice.
+    """
     spark = df.sparkSession
     limit = hot_rows(spark)
     keys = list(keys)
@@ -72,6 +77,10 @@ def sliced(df: DataFrame, keys: Sequence[str], lead: Column) -> tuple[DataFrame,
     found = counted.agg(F.count(F.lit(1)), F.max("_rows")).first()
     if not found[0]:
         return df, False
+    if lead is None:
+        parts = max(2, math.ceil(df.count() / limit))
+        ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
+        return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id())), True
     slices = max(2, min(MAX_SLICES, math.ceil(found[1] / limit)))
     shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     hot = _join_on(df, counted, keys).filter(F.col("_rows").isNotNull())
@@ -141,7 +150,7 @@ class OrderedGroups:
     """Rows of ``df`` grouped by ``keys`` and totally ordered by ``order`` within each group.
 
     ``lead`` is a number that grows with the order (ties allowed); it only decides where hot
-    groups are cut.
+    groups are cut. None cuts by the order itself.
     """
 
     def __init__(self, df, keys, order, lead, *, is_cut=None, scans=0):
@@ -150,7 +159,7 @@ class OrderedGroups:
         self.order = [F.col(o) if isinstance(o, str) else o for o in order]
         self.lead = lead
         if is_cut is None:
-            df, is_cut = sliced(df, self.keys, lead)
+            df, is_cut = sliced(df, self.keys, lead, self.order)
         self.df = df
         self.is_cut = is_cut
 

@@ -239,20 +239,11 @@ def scan_radar(spark: SparkSession, path) -> DataFrame:
     ).filter(F.col("frame").isNotNull())
 
 
-def radar_frames(points: DataFrame, keys: Sequence[str] = ("path",), order: Sequence[str] = ("line",)) -> DataFrame:
-    """Detections of each frame as parallel arrays in file order.
-
-    A frame is one sweep of the sensor; unlike a clip it holds a few detections only.
-    """
-    fields = ("x", "y", "z", "velocity", "snr")
-    listed = points.groupBy(*keys, "frame").agg(
-        F.array_sort(F.collect_list(F.struct(*order, *fields))).alias("_p")
-    )
-
-    def field(name: str) -> Column:
-        return F.transform("_p", lambda point: point[name]).alias(name)
-
-    return listed.select(*keys, "frame", *[field(name) for name in fields])
+def radar_frames(points: DataFrame, keys: Sequence[str] = ("path",), order: str = "line") -> DataFrame:
+    """Detections grouped by frame: one row each, numbered within its frame in file order."""
+    groups = OrderedGroups(points, [*keys, "frame"], [order], F.col(order))
+    rows = groups.scan(point=skew.position()).rows()
+    return rows.select(*keys, "frame", "point", "x", "y", "z", "velocity", "snr")
 
 
 def scan_content(spark: SparkSession, root: str, split: str = "train") -> DataFrame:

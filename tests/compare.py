@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -66,6 +67,7 @@ def main(folder: str, chosen: list[str]) -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.sensorframe.hotGroupRows", os.environ.get("HOT", "2000000"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
