@@ -380,14 +380,14 @@ def read_label_table(spark: SparkSession, path: str, allowed: DataFrame | None =
     if not {"path", "prediction"} <= set(names):
         raise DataError("label table needs path and prediction")
     body = lines.filter(F.col("place") != header["place"])
-    extra = ", ".join(f"f{i} string" for i in range(len(names) + 1))
-    parsed = body.withColumn("_r", F.from_csv("value", extra, {"columnNameOfCorruptRecord": "_bad", "emptyValue": "", "nullValue": "\u0000"}))
-    fields = [F.col("_r")[f"f{i}"] for i in range(len(names) + 1)]
-    ragged = fields[len(names)].isNotNull()
-    for f in fields[: len(names)]:
-        ragged = ragged | f.isNull()
-    require_none(parsed.filter(ragged).select("value"), "label row does not match the header")
-    rows = parsed.select("place", *[f.alias(n) for f, n in zip(fields, names)])
+    # separators outside quotes tell an empty field from an absent one
+    fields = F.regexp_count("value", F.lit(r',(?=(?:[^"]*"[^"]*")*[^"]*$)')) + 1
+    require_none(body.filter(fields != len(names)).select("value"), "label row does not match the header")
+    shape = ", ".join(f"f{i} string" for i in range(len(names)))
+    parsed = body.withColumn("_r", F.from_csv("value", shape))
+    rows = parsed.select(
+        "place", *[F.coalesce(F.col("_r")[f"f{i}"], F.lit("")).alias(n) for i, n in enumerate(names)]
+    )
     check_labels(rows, allowed)
     return rows
 
