@@ -282,7 +282,7 @@ def filter_clips(
 
 
 def by_natural_order(clips: DataFrame, column: str) -> DataFrame:
-    return clips.orderBy(natural_key(F.col(column)), column)
+    return clips.withColumn("_key", natural_key(F.col(column))).orderBy("_key", column).drop("_key")
 
 
 # ---------------------------------------------------------------- joins

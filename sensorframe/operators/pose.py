@@ -105,9 +105,7 @@ def person_track(groups: OrderedGroups, people: str = "people") -> DataFrame:
     frame is a small table from person to person. Tables of consecutive frames chain into one, which
     lets slices of a long clip be worked on apart.
     """
-    order = [f"_o{i}" for i in range(len(groups.order))]
-    rows = groups.df.withColumns({n: c for n, c in zip(order, groups.order)})
-    groups = groups.on(rows)
+    order = groups.order
     persons = F.col(people)
     centers = F.when(F.size(persons) > 0, F.transform(persons, lambda p: _center(p["points"])))
     groups = groups.with_column("_centers", centers)
@@ -144,9 +142,8 @@ def person_track(groups: OrderedGroups, people: str = "people") -> DataFrame:
     chosen = chained.select(*groups.keys, *order, F.get("_via", entry).alias("person")).drop("_entry")
     joined = skew._join_on(groups.df, chosen, [*groups.keys, *order])
     picked = F.get(people, F.col("person"))
-    return joined.withColumns({"points": picked["points"], "scores": picked["scores"]}).drop(
-        SLICE, "_centers", "_seen", "_before", *order
-    )
+    found = joined.withColumns({"points": picked["points"], "scores": picked["scores"]})
+    return groups.on(found.drop("_centers", "_seen", "_before")).rows()
 
 
 # ---------------------------------------------------------------- normalization

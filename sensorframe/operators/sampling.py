@@ -19,12 +19,13 @@ def numbered(groups: OrderedGroups, position: str = "position", total: str | Non
     return groups.scan(**scans).rows()
 
 
-def evenly_sample(groups: OrderedGroups, count: int, *, middle: bool = False) -> DataFrame:
+def evenly_sample(groups: OrderedGroups, count: int, *, middle: bool = False, keep_order: bool = False) -> DataFrame:
     """Keep ``count`` evenly spaced rows per group, or all of a smaller group.
 
     With ``middle`` a sample of one takes the row in the middle instead of the first.
     """
-    rows = groups.scan(_pos=skew.position(), _n=skew.total()).rows()
+    numbered_ = groups.scan(_pos=skew.position(), _n=skew.total())
+    rows = numbered_.df.drop(skew.SLICE) if keep_order else numbered_.rows()
     pos, n = F.col("_pos"), F.col("_n")
     if count == 1:
         kept = pos == (F.floor(n / 2) if middle else F.lit(0))

@@ -368,6 +368,7 @@ def imu_engineered(groups: OrderedGroups, config: FeatureConfig = FeatureConfig(
                    angles: Sequence[str] = ANGLE_CHANNELS, rotation: Sequence[str] = QUATERNION_CHANNELS,
                    seconds: str = "ts") -> DataFrame:
     bins = config.temporal_bins
+    # each part below scans and shuffles only the channels it needs
     groups = numbered(groups)
     samples = resample(groups, base, config.spectral_samples)
     named = lambda kind: F.concat_ws("/", F.lit(kind), F.col(device), F.col("channel"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from sensorframe import skew
 from sensorframe.operators.clips import DataError, require_none
 from sensorframe.plans import evaluate as E
 from sensorframe.plans.models import Algorithm
-from sensorframe.plans.prep import Preprocessor
+from sensorframe.plans.prep import PARALLEL_FITS, Preprocessor
 from sensorframe.schema import METRICS
 from sensorframe.skew import OrderedGroups
 
@@ -65,7 +67,7 @@ def group_folds(rows: DataFrame, folds: int, seed: int, group: str = "user", lab
     )
     draw = F.xxhash64(F.col(group), F.lit(seed))
     dealt = OrderedGroups(
-        main.withColumn("_draw", draw), ["_main"], [F.desc("_size"), "_draw", group], -F.col("_size")
+        main.withColumn("_draw", draw), ["_main"], [-F.col("_size"), "_draw", group], -F.col("_size")
     ).scan(_turn=skew.position()).rows()
     turn, back = F.col("_turn") % folds, F.floor(F.col("_turn") / folds) % 2 == 1
     fold = F.when(back, folds - turn).otherwise(turn + 1)
@@ -110,8 +112,9 @@ def cross_validate(
             preprocessor = Preprocessor.fit(train, blocks)
             prepared = preprocessor.transform(train).select("features", "label").persist()
             checked = preprocessor.transform(held).select("clip_id", "user", "label", "features").persist()
-            for number, parameters in enumerate(settings):
-                model = algorithm.fit(prepared, parameters, preprocessor.groups)
+
+            def evaluate(number: int) -> DataFrame:
+                model = algorithm.fit(prepared, settings[number], preprocessor.groups)
                 part = model.probabilities(checked).select(
                     F.lit(repeat + 1).alias("repeat"), F.lit(fold).alias("fold"), F.lit(number).alias("candidate"),
                     "clip_id", "user", "label", "prediction",
@@ -119,8 +122,12 @@ def cross_validate(
                         F.col("probability"), F.array(*[F.lit(c) for c in model.classes]), classes
                     ).alias("probability"),
                 )
-                part = skew.checkpointed(part)
-                found = part if found is None else found.unionByName(part)
+                return skew.checkpointed(part)
+
+            with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+                run = inheritable_thread_target(rows.sparkSession)(evaluate)
+                for part in pool.map(run, range(len(settings))):
+                    found = part if found is None else found.unionByName(part)
             prepared.unpersist()
             checked.unpersist()
     missed = found.groupBy("candidate", "clip_id").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") != repeats)

@@ -94,7 +94,8 @@ def index_split(spark, root: str, split: str, *, deep: bool = False) -> DataFram
     manifest = K.build_manifest(scan.scan_split(spark, root, split))
     if deep:
         manifest = manifest.join(K.content_quality(scan.scan_content(spark, root, split)), ["split", "clip_id"], "left")
-    return K.with_issues(manifest).orderBy(*manifest_order())
+    keys = {f"_key{i}": key for i, key in enumerate(manifest_order())}
+    return K.with_issues(manifest).withColumns(keys).orderBy(*keys).drop(*keys)
 
 
 def select_training_clips(spark, root: str) -> tuple[DataFrame, DataFrame]:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -16,14 +18,18 @@ from sensorframe.operators.clips import DataError
 from sensorframe.schema import PCA_COMPONENTS
 
 
-def feature_stats(rows: DataFrame, block: str) -> DataFrame:
-    """Mean of the present values, scale and filled deviation of every position of an array column.
+PARALLEL_FITS = 4
+
+
+def block_stats(rows: DataFrame, blocks: Sequence[str]) -> DataFrame:
+    """Mean of the present values, scale and filled deviation of every position of the array columns.
 
     Values are spread and reduced on the map side: one row per position is shuffled per task.
     """
-    cells = rows.select(F.posexplode(block).alias("position", "value"))
-    value = finite(F.col("value").cast("double"))
-    stats = cells.groupBy("position").agg(
+    listed = F.array(*[F.struct(F.lit(b).alias("block"), F.col(b).cast("array<double>").alias("values")) for b in blocks])
+    cells = rows.select(F.inline(listed)).select("block", F.posexplode("values").alias("position", "value"))
+    value = finite(F.col("value"))
+    stats = cells.groupBy("block", "position").agg(
         F.count(F.lit(1)).alias("rows"), F.count(value).alias("known"), F.avg(value).alias("_mean"), F.var_pop(value).alias("_var")
     )
     # a missing value is filled with the mean, which keeps the mean and shrinks the deviation
@@ -31,11 +37,15 @@ def feature_stats(rows: DataFrame, block: str) -> DataFrame:
     mean = F.coalesce("_mean", F.lit(0.0))
     flat = deviation <= 1e-12 * F.greatest(F.lit(1.0), F.abs(mean))
     return stats.select(
-        "position", "rows", "known", mean.alias("mean"), deviation.alias("std"),
+        "block", "position", "rows", "known", mean.alias("mean"), deviation.alias("std"),
         F.when(flat, F.lit(1.0)).otherwise(deviation).alias("scale"),
     )
 
 
+def feature_stats(rows: DataFrame, block: str) -> DataFrame:
+    return block_stats(rows, [block]).drop("block")
+
+
 def constant_array(values: Sequence[float]) -> Column:
     """Numbers as one constant, however many there are; Spark folds the text when it plans."""
     return F.from_json(F.lit(json.dumps([float(v) for v in values])), "array<double>")
@@ -48,12 +58,22 @@ class Scaler:
     mean: list[float]
     scale: list[float]
 
+    @classmethod
+    def fit_all(cls, rows: DataFrame, blocks: Sequence[str]) -> dict[str, "Scaler"]:
+        """Scalers of several blocks in one job; what is collected is as wide as the blocks."""
+        stats = block_stats(rows, blocks).select("block", "position", "mean", "scale").orderBy("block", "position").collect()
+        found = {b: cls([], []) for b in blocks}
+        for r in stats:
+            found[r["block"]].mean.append(r["mean"])
+            found[r["block"]].scale.append(r["scale"])
+        empty = [b for b in blocks if not found[b].mean]
+        if empty:
+            raise DataError(f"no values to fit blocks {empty}")
+        return found
+
     @classmethod
     def fit(cls, rows: DataFrame, block: str) -> "Scaler":
-        stats = feature_stats(rows, block).select("position", "mean", "scale").orderBy("position").collect()
-        if not stats:
-            raise DataError(f"no rows to fit block {block}")
-        return cls([r["mean"] for r in stats], [r["scale"] for r in stats])
+        return cls.fit_all(rows, [block])[block]
 
     def apply(self, block: str) -> Column:
         mean, scale = constant_array(self.mean), constant_array(self.scale)
@@ -70,8 +90,8 @@ class Reducer:
     pca: PCAModel | None = None
 
     @classmethod
-    def fit(cls, rows: DataFrame, block: str, limit: int) -> "Reducer":
-        scaler = Scaler.fit(rows, block)
+    def fit(cls, rows: DataFrame, block: str, limit: int, scaler: Scaler | None = None) -> "Reducer":
+        scaler = scaler or Scaler.fit(rows, block)
         wanted = PCA_COMPONENTS.get(block)
         if wanted is None:
             return cls(scaler)
@@ -102,7 +122,11 @@ class Preprocessor:
     @classmethod
     def fit(cls, rows: DataFrame, blocks: Sequence[str]) -> "Preprocessor":
         count = rows.count()
-        reducers = {b: Reducer.fit(rows, b, count) for b in blocks}
+        scalers = Scaler.fit_all(rows, blocks)
+        # independent Spark jobs, run side by side
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            fit = inheritable_thread_target(rows.sparkSession)(lambda b: Reducer.fit(rows, b, count, scalers[b]))
+            reducers = dict(zip(blocks, pool.map(fit, blocks)))
         model = cls(reducers, Scaler([], []), feature_groups({b: r.width for b, r in reducers.items()}))
         model.combined = Scaler.fit(model._joined(rows), "features")
         return model

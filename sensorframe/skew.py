@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import tempfile
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ DEFAULT_HOT_ROWS = 2_000_000
 MAX_SLICES = 4096
 BROADCAST_BOUNDS = 2_000_000
 SLICE = "_slice"
+ORDER = "_order"
 
 
 def hot_rows(spark: SparkSession) -> int:
@@ -30,17 +32,21 @@ def hot_rows(spark: SparkSession) -> int:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage into the cluster's shared checkpoint folder."""
+    """Cut lineage with a table written into the cluster's shared checkpoint folder.
+
+    A written table is computed once and survives lost executors; ``DataFrame.checkpoint`` would
+    compute the rows a second time.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,7 +69,7 @@ def _bucket(bounds: Column, value: Column, steps: int) -> Column:
     )
 
 
-def sliced(df: DataFrame, keys: Sequence[str], lead: Column | None, order: Sequence[Column] = ()) -> tuple[DataFrame, bool]:
+def sliced(df: DataFrame, keys: Sequence[str], lead: Column | None, order: Sequence[str] = ()) -> tuple[DataFrame, bool]:
     """Add the slice column; the flag says whether any group was cut.
 
     With a ``lead`` number hot groups are cut at its quantiles, which are stored so that every use
@@ -156,10 +162,14 @@ class OrderedGroups:
     def __init__(self, df, keys, order, lead, *, is_cut=None, scans=0):
         self.scans = scans
         self.keys = list(keys)
-        self.order = [F.col(o) if isinstance(o, str) else o for o in order]
+        # a sort evaluates its expressions at every comparison, so they become columns first
+        names = [o if isinstance(o, str) else f"{ORDER}{i}" for i, o in enumerate(order)]
+        made = {n: o for n, o in zip(names, order) if not isinstance(o, str)}
+        df = df.withColumns(made) if made else df
+        self.order = names
         self.lead = lead
         if is_cut is None:
-            df, is_cut = sliced(df, self.keys, lead, self.order)
+            df, is_cut = sliced(df, self.keys, lead, names)
         self.df = df
         self.is_cut = is_cut
 
@@ -171,7 +181,7 @@ class OrderedGroups:
         return self.on(self.df.withColumn(name, value))
 
     def rows(self) -> DataFrame:
-        return self.df.drop(SLICE)
+        return self.df.drop(SLICE, *[o for o in self.order if o.startswith(ORDER)])
 
     def scan(self, **scans: Scan) -> "OrderedGroups":
         parts = self.keys + ([SLICE] if self.is_cut else [])
@@ -207,7 +217,7 @@ class OrderedGroups:
         return after
 
     def _combine(self, scanned: DataFrame, scans: dict[str, Scan], parts: list[str]) -> DataFrame:
-        place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(self.order)])
+        place = F.struct(*self.order)
         summary, prefix, combined = [], {}, {}
         over_keys = Window.partitionBy(*self.keys) if self.keys else Window.partitionBy(F.lit(0))
         by_slice = over_keys.orderBy(SLICE)

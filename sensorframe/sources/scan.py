@@ -41,9 +41,8 @@ def relative_path(path: Column, anchor: str) -> Column:
 
 def kept(path: Column) -> Column:
     """Whether no part of the path is hidden or belongs to the operating system."""
-    parts = F.split(path, "/")
-    hidden = F.exists(parts, lambda p: p.startswith(".") | (p == "__MACOSX"))
-    return ~hidden & ~F.element_at(parts, -1).isin(*IGNORED_NAMES)
+    names = "|".join(n.replace(".", r"\.") for n in IGNORED_NAMES)
+    return ~path.rlike(rf"(^|/)(\.|__MACOSX(/|$)|({names})$)")
 
 
 def drop_ignored(members: DataFrame, path: str = "path") -> DataFrame:
@@ -53,20 +52,17 @@ def drop_ignored(members: DataFrame, path: str = "path") -> DataFrame:
 def parse_members(members: DataFrame, split: str, path: str = "path", size: str = "length") -> DataFrame:
     """Clip, modality and file attributes of every path of the given split's layout."""
     parts = F.split(F.col(path), "/")
-    count = F.size(parts)
     rows = drop_ignored(members, path)
+    kinds = "|".join(MODALITIES)
     # Folder layout of the two splits.
     if split == "train":
+        rows = rows.filter(F.col(path).rlike(rf"^HAR/data/({kinds})/[^/]+/[^/]+/[^/]+/[^/]"))
         modality, action, user, trial = parts[2], parts[3], parts[4], parts[5]
-        rows = rows.filter((count >= 7) & (parts[0] == "HAR") & (parts[1] == "data") & modality.isin(*MODALITIES))
         clip = F.concat_ws("/", action, user, trial)
         action_id = F.regexp_extract(action, ACTION_PATTERN, 1).try_cast("int")
     elif split == "test":
+        rows = rows.filter(F.col(path).rlike(rf"^small_model_track_test/SM_test_[^/]*/({kinds})/[^/]"))
         modality, clip = parts[2], parts[1]
-        rows = rows.filter(
-            (count >= 4) & (parts[0] == "small_model_track_test") & clip.startswith("SM_test_")
-            & modality.isin(*MODALITIES)
-        )
         action = user = trial = F.lit(None).cast("string")
         action_id = F.lit(None).cast("int")
     else:
