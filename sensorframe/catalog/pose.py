@@ -194,12 +194,14 @@ def people(spark, folder):
         F.sequence(F.lit(0), F.lit(16)),
         lambda j: F.transform(F.sequence(F.lit(0), F.lit(2)), lambda a: F.get(F.col("pose"), j * 3 + a) + shift),
     )
-    one = lambda shift: F.struct(triples(shift).alias("points"), F.col("scores").alias("scores"))
+    one = lambda shift, trust: F.struct(
+        triples(shift).alias("points"), F.transform("scores", lambda v: v * trust).alias("scores")
+    )
     moved = F.get("pose", F.lit(50)) * 3
     none = F.array().cast("array<struct<points:array<array<double>>,scores:array<double>>>")
     listed = (
-        F.when(F.col("vec_id") % 7 == 0, none).when(F.col("vec_id") % 3 == 0, F.array(one(F.lit(0.0))))
-        .otherwise(F.array(one(moved), one(F.lit(0.0))))
+        F.when(F.col("vec_id") % 7 == 0, none).when(F.col("vec_id") % 3 == 0, F.array(one(F.lit(0.0), F.lit(1.0))))
+        .otherwise(F.array(one(moved, F.lit(0.9)), one(F.lit(0.0), F.lit(1.0))))
     )
     return rows.select("label", "vec_id", listed.alias("people"))
 
@@ -208,6 +210,20 @@ def person_track(spark, folder):
     return P.person_track(vector_series(people(spark, folder))).select("label", "vec_id", "person")
 
 
+def _person_sql():
+    axes = {x: "(" + " + ".join(xyz(j, a) for j in range(17)) + ") / 17" for a, x in enumerate("xyz")}
+    near = lambda shift: " + ".join(f"(e.{x} + {shift} - t.{x}) ** 2" for x in "xyz")
+    moved = f"e.n = 2 AND {near('e.m')} <= {near('0')}"
+    return f"""WITH RECURSIVE f AS (SELECT label, vec_id, CASE WHEN vec_id % 7 = 0 THEN 0 WHEN vec_id % 3 = 0 THEN 1 ELSE 2 END AS n,
+  {", ".join(f"{c} AS {x}" for x, c in axes.items())}, embedding[51]::DOUBLE * 3 AS m FROM embeddings),
+e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM f WHERE n > 0),
+t AS (SELECT label, vec_id, k, n - 1 AS person, x, y, z FROM e WHERE k = 1
+  UNION ALL SELECT e.label, e.vec_id, e.k, CASE WHEN {moved} THEN 0 ELSE e.n - 1 END,
+    {", ".join(f"CASE WHEN {moved} THEN e.{x} + e.m ELSE e.{x} END" for x in "xyz")}
+  FROM t JOIN e ON e.label = t.label AND e.k = t.k + 1)
+SELECT f.label, f.vec_id, t.person FROM f LEFT JOIN t USING (vec_id)"""
+
+
 def samples(spark, folder):
     return checkpointed(P.pose_samples(P.pose_normalize(vector_series(poses(spark, folder, gaps=True))), 32))
 
@@ -337,6 +353,7 @@ ORACLES = {
     "bone_lengths": f"WITH {BONES} SELECT label, edge::INTEGER AS edge, {named('size', 'size')} FROM bones",
     "pose_bounds": BOUNDS_SQL,
     "stabilize_pose": _stabilize_sql(),
+    "person_track": _person_sql(),
     "frame_summaries": FRAME_SQL,
     "grid_pool": GRID_SQL,
     "motion_center": CENTER_SQL,

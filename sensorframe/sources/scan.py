@@ -365,17 +365,28 @@ def check_labels(rows: DataFrame, allowed: DataFrame | None = None) -> None:
         require_none(ids.join(allowed, "action_id", "left_anti"), "unknown action")
 
 
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Number rows 0, 1, ... in file order; needs path, block and line."""
+    groups = OrderedGroups(rows, [], ["path", "block", "line"], None)
+    return groups.scan(place=skew.position()).rows().drop("path", "block", "line")
+
+
+def _with_file_order(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "*", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+
+
 def read_label_table(spark: SparkSession, path: str, allowed: DataFrame | None = None) -> DataFrame:
-    """Label rows with their line number; ragged rows are refused."""
-    lines = spark.read.text(path).select(
-        F.regexp_replace("value", "^﻿", "").alias("value"),
-        F.monotonically_increasing_id().alias("place"),
-    ).filter("value <> ''")
-    header = lines.orderBy("place").first()
+    """Label rows with their place in the file; ragged rows are refused."""
+    lines = in_file_order(_with_file_order(spark.read.text(path)).filter("value <> ''"))
+    lines = lines.withColumn("value", F.regexp_replace("value", "^\ufeff", ""))
+    header = lines.filter("place = 0").first()
     names = header["value"].split(",") if header else []
     if not {"path", "prediction"} <= set(names):
         raise DataError("label table needs path and prediction")
-    body = lines.filter(F.col("place") != header["place"])
+    body = lines.filter("place > 0").withColumn("place", F.col("place") - 1)
     # separators outside quotes tell an empty field from an absent one
     fields = F.regexp_count("value", F.lit(r',(?=(?:[^"]*"[^"]*")*[^"]*$)')) + 1
     require_none(body.filter(fields != len(names)).select("value"), "label row does not match the header")
@@ -393,7 +404,8 @@ def read_test_index(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.option("header", True).csv(path)
     if "path" not in raw.columns or raw.isEmpty():
         raise DataError("test index needs a path column and rows")
-    return test_index(raw.withColumn("place", F.monotonically_increasing_id()))
+    named = _with_file_order(raw.withColumnRenamed("path", "_given"))
+    return test_index(in_file_order(named).withColumnRenamed("_given", "path"))
 
 
 def test_index(rows: DataFrame) -> DataFrame:
