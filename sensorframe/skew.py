@@ -10,6 +10,7 @@ the plain single-shuffle window.
 
 from __future__ import annotations
 
+import json
 import math
 import tempfile
 import uuid
@@ -89,21 +90,20 @@ def sliced(df: DataFrame, keys: Sequence[str], lead: Column | None, order: Seque
         return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id())), True
     slices = max(2, min(MAX_SLICES, math.ceil(found[1] / limit)))
     shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
+    steps = max(1, math.ceil(math.log2(slices + 1)))
+    number = lead.cast("double")
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx(number, shares, F.lit(max(10_000, 4 * slices))))).alias("_bounds")
+    if not keys:
+        # one group, so its cuts are one constant array
+        ends = [float(v) for v in df.agg(cuts).first()[0] or []]
+        constant = F.from_json(F.lit(json.dumps(ends)), "array<double>")
+        return df.withColumn(SLICE, F.coalesce(_bucket(constant, number, steps), F.lit(0))), True
     hot = _join_on(df, counted, keys).filter(F.col("_rows").isNotNull())
-    bounds = checkpointed(
-        hot.groupBy(*keys).agg(
-            F.array_sort(
-                F.array_distinct(
-                    F.percentile_approx(lead.cast("double"), shares, F.lit(max(10_000, 4 * slices)))
-                )
-            ).alias("_bounds")
-        )
-    )
+    bounds = checkpointed(hot.groupBy(*keys).agg(cuts))
     if found[0] * slices <= BROADCAST_BOUNDS:
         bounds = F.broadcast(bounds)
-    steps = max(1, math.ceil(math.log2(slices + 1)))
     cut = _join_on(df, bounds, keys).withColumn(
-        SLICE, F.coalesce(_bucket(F.col("_bounds"), lead.cast("double"), steps), F.lit(0))
+        SLICE, F.coalesce(_bucket(F.col("_bounds"), number, steps), F.lit(0))
     )
     return cut.drop("_bounds"), True
 
