@@ -57,8 +57,8 @@ def build_manifest(
     with very many files is already small when it is brought together.
     """
     modality, stamp = F.col("modality"), F.col(timestamp)
-    per_time = members.groupBy(*keys, timestamp).agg(
-        *[F.max(a).alias(a) for a in attributes],
+    # the attributes belong to the clip; as keys they keep the large step a hash aggregation
+    per_time = members.groupBy(*keys, *attributes, timestamp).agg(
         *[F.count_if(modality == m).alias(f"_n_{m}") for m in modalities],
         *[F.sum(F.when(modality == m, F.coalesce("size", F.lit(0)))).alias(f"_b_{m}") for m in modalities],
     )
@@ -70,8 +70,7 @@ def build_manifest(
             F.min(F.when(F.col(f"_t_{m}"), stamp)).alias(f"_from_{m}"),
             F.max(F.when(F.col(f"_t_{m}"), stamp)).alias(f"_to_{m}"),
         ]
-    clips = per_time.groupBy(*keys).agg(
-        *[F.max(a).alias(a) for a in attributes],
+    clips = per_time.groupBy(*keys, *attributes).agg(
         *[F.sum(f"_n_{m}").alias(f"{slug(m)}_file_count") for m in modalities],
         *[F.coalesce(F.sum(f"_b_{m}"), F.lit(0)).alias(f"{slug(m)}_bytes") for m in modalities],
         *ends,
