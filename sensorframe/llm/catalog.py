@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorframe.llm import repetition
+from sensorframe.llm import repetition, token_files
 from sensorframe.llm.session import ready
 
 
@@ -44,5 +44,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-QUERIES = {"op1_repetition": op1_repetition}
+def byte_vocabulary() -> str:
+    """The production vocabulary's place; any other file can be passed to the operator."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    return token_files.token_table(_table(spark, folder, "documents"), byte_vocabulary())
+
+
+QUERIES = {
+    "op1_repetition": op1_repetition,
+    "op4_token_files": op4_token_files,
+}
 ORACLES = {"op1_repetition": OP1_SQL}
