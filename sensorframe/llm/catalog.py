@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sensorframe.llm import repetition, token_files
+from sensorframe.llm import phrase_index, repetition, token_files
 from sensorframe.llm.session import ready
 
 
@@ -56,8 +57,35 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_table(_table(spark, folder, "documents"), byte_vocabulary())
 
 
+def op7_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    found = phrase_index.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP7_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS words FROM documents),
+b AS (SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS words FROM benchmark),
+sized AS (SELECT item_id, words, least(len(words), 10) AS k FROM b WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item_id, k, words[i:i + k - 1] AS piece FROM (SELECT *, unnest(range(1, len(words) - k + 2)) AS i FROM sized)),
+lengths AS (SELECT DISTINCT k FROM windows),
+spots AS (SELECT doc_id, k, words[i:i + k - 1] AS piece, i FROM (SELECT doc_id, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM d, lengths)),
+hits AS (SELECT doc_id, item_id, i, k FROM spots JOIN windows USING (k, piece)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+          FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(covered.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op4_token_files": op4_token_files,
+    "op7_phrase_index": op7_phrase_index,
 }
-ORACLES = {"op1_repetition": OP1_SQL}
+ORACLES = {"op1_repetition": OP1_SQL, "op7_phrase_index": OP7_SQL}
