@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import phrase_index, repetition, token_files
+from sensorframe.llm import mixing, near_copies, phrase_index, repetition, token_files, url_lists
 from sensorframe.llm.session import ready
 
 
@@ -45,6 +45,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
+def op3_near_copies(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    return near_copies.near_copies(_table(spark, folder, "documents"))
+
+
+OP3_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, words[i:i + 4] AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS i FROM d WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both_.n >= 85 * (p.n + q.n - both_.n)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+least AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN least ON least.x = d.doc_id
+"""
+
+
 def byte_vocabulary() -> str:
     """The production vocabulary's place; any other file can be passed to the operator."""
     import public_tokenizers
@@ -57,6 +77,70 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_table(_table(spark, folder, "documents"), byte_vocabulary())
 
 
+def _days(text: F.Column, modulus: int) -> F.Column:
+    """A number below modulus from the text's md5, which other engines have as well."""
+    return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("long") % modulus
+
+
+def list_log(pages: DataFrame) -> DataFrame:
+    """A log of list changes derived from the hosts and first path parts of the pages.
+
+    Half of all patterns enter a list on a day of 2024; most leave it again and some return.
+    """
+    first = F.split(url_lists.path_of(F.col("url")), "/+")[0]
+    host = url_lists.host_of(F.col("url"))
+    patterns = pages.select(F.explode(F.array(
+        host, F.regexp_replace(host, r"^[^.]*\.", ""), F.when(first != "", F.concat_ws("/", host, first)))).alias("pattern"))
+    patterns = patterns.filter("pattern is not null and pattern != ''").distinct()
+    chosen = patterns.filter(_days(F.concat(F.lit("in"), "pattern"), 2) == 0).withColumn("start", _days(F.concat(F.lit("at"), "pattern"), 366))
+    name = F.element_at(F.array(F.lit("adult"), F.lit("malware"), F.lit("spam")), (_days(F.concat(F.lit("list"), "pattern"), 3) + 1).cast("int"))
+    stays = 20 + _days(F.concat(F.lit("for"), "pattern"), 200)
+    again = stays + 10 + _days(F.concat(F.lit("back"), "pattern"), 100)
+    steps = F.array(F.struct(F.lit(0).cast("long").alias("plus"), F.lit(True).alias("added")), F.struct(stays.alias("plus"), F.lit(False).alias("added")),
+                    F.struct(again.alias("plus"), (_days(F.concat(F.lit("again"), "pattern"), 3) == 0).alias("added")))
+    return chosen.select("pattern", name.alias("list"), "start", F.explode(steps).alias("step")).select(
+        "list", "pattern", F.to_timestamp(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("start") + F.col("step.plus")).cast("int"))).alias("time"), "step.added")
+
+
+def op5_url_lists(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), _days(F.concat(F.lit("fetched"), "url"), 500).cast("int"))
+    found = url_lists.evaluate(pages.withColumn("fetched", F.to_timestamp(fetched)), list_log(pages))
+    return found.select(
+        "page_id", F.date_from_unix_date(F.col("day").cast("int")).alias("fetched"), F.size("entries").cast("long").alias("n_entries"),
+        F.array_join(F.transform("entries", lambda e: F.concat_ws(":", e["list"], e["pattern"])), ",").alias("entries"), (F.size("entries") > 0).alias("blocked"))
+
+
+OP5_SQL = r"""
+WITH p AS (SELECT page_id, trim(url) AS url FROM pages),
+cut AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS authority,
+               regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#]*)', 1), '^/+|/+$', '', 'g') AS path FROM p),
+h AS (SELECT page_id, url, path, regexp_replace(regexp_replace(regexp_replace(lower(authority), '^.*@', ''), '\.?(:[0-9]*)?$', ''), '^www\.', '') AS host FROM cut),
+parts AS (SELECT *, string_split(host, '.') AS labels, regexp_split_to_array(path, '/+') AS steps FROM h WHERE host <> ''),
+log_patterns AS (
+  SELECT DISTINCT pattern FROM (
+    SELECT unnest([host, regexp_replace(host, '^[^.]*\.', ''), CASE WHEN steps[1] <> '' THEN host || '/' || steps[1] END]) AS pattern FROM parts)
+  WHERE pattern IS NOT NULL AND pattern <> ''),
+drawn AS (
+  SELECT pattern, ('0x' || substr(md5('in' || pattern), 1, 6))::BIGINT % 2 AS c_in, ('0x' || substr(md5('at' || pattern), 1, 6))::BIGINT % 366 AS start,
+         ['adult', 'malware', 'spam'][('0x' || substr(md5('list' || pattern), 1, 6))::BIGINT % 3 + 1] AS list,
+         20 + ('0x' || substr(md5('for' || pattern), 1, 6))::BIGINT % 200 AS stays,
+         10 + ('0x' || substr(md5('back' || pattern), 1, 6))::BIGINT % 100 AS pause, ('0x' || substr(md5('again' || pattern), 1, 6))::BIGINT % 3 AS again
+  FROM log_patterns),
+valid AS (
+  SELECT list, pattern, start AS a, start + stays AS b FROM drawn WHERE c_in = 0
+  UNION ALL SELECT list, pattern, start + stays + pause, 1000000 FROM drawn WHERE c_in = 0 AND again = 0),
+keys AS (
+  SELECT page_id, array_to_string(labels[i:], '.') AS pattern FROM (SELECT page_id, labels, unnest(range(1, len(labels) + 1)) AS i FROM parts)
+  UNION SELECT page_id, host || '/' || array_to_string(steps[:i], '/') FROM (SELECT page_id, host, steps, unnest(range(1, len(steps) + 1)) AS i FROM parts WHERE path <> '')),
+taken_at AS (SELECT page_id, ('0x' || substr(md5('fetched' || pages.url), 1, 6))::BIGINT % 500 AS day FROM pages),
+hit AS (SELECT page_id, list, pattern, a FROM keys JOIN taken_at USING (page_id) JOIN valid USING (pattern) WHERE a <= day AND day < b),
+per AS (SELECT page_id, count(*) AS n, string_agg(list || ':' || pattern, ',' ORDER BY list, pattern, a) AS entries FROM hit GROUP BY page_id)
+SELECT page_id, DATE '2024-01-01' + day::INT AS fetched, coalesce(n, 0)::BIGINT AS n_entries, coalesce(entries, '') AS entries, coalesce(n, 0) > 0 AS blocked
+FROM taken_at LEFT JOIN per USING (page_id)
+"""
+
+
 def op7_phrase_index(spark: SparkSession, folder: str) -> DataFrame:
     ready(spark)
     found = phrase_index.contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
@@ -83,9 +167,17 @@ FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    found = mixing.mixed_rows(_table(spark, folder, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
+    "op3_near_copies": op3_near_copies,
     "op4_token_files": op4_token_files,
+    "op5_url_lists": op5_url_lists,
     "op7_phrase_index": op7_phrase_index,
+    "op8_mixing": op8_mixing,
 }
-ORACLES = {"op1_repetition": OP1_SQL, "op7_phrase_index": OP7_SQL}
+ORACLES = {"op1_repetition": OP1_SQL, "op3_near_copies": OP3_SQL, "op5_url_lists": OP5_SQL, "op7_phrase_index": OP7_SQL}
