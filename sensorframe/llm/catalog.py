@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import mixing, near_copies, phrase_index, repetition, token_files, url_lists
+from sensorframe.llm import mixing, near_copies, phrase_index, quality, repetition, token_files, toxicity, url_lists
+from sensorframe.llm.learning import fold_of
 from sensorframe.llm.session import ready
 
 
@@ -172,12 +173,30 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _judged(scores: DataFrame, threshold: float) -> DataFrame:
+    return scores.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    docs = _table(spark, folder, "documents")
+    return _judged(toxicity.toxicity(docs, toxicity.fit(docs, _table(spark, folder, "labels"))), 0.5)
+
+
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    docs = _table(spark, folder, "documents")
+    return _judged(quality.quality(docs, quality.fit(docs, _table(spark, folder, "labels"))), 0.3)
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
+    "op2_toxicity": op2_toxicity,
     "op3_near_copies": op3_near_copies,
     "op4_token_files": op4_token_files,
     "op5_url_lists": op5_url_lists,
     "op7_phrase_index": op7_phrase_index,
     "op8_mixing": op8_mixing,
+    "op10_quality": op10_quality,
 }
 ORACLES = {"op1_repetition": OP1_SQL, "op3_near_copies": OP3_SQL, "op5_url_lists": OP5_SQL, "op7_phrase_index": OP7_SQL}
