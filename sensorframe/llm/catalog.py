@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import mixing, near_copies, phrase_index, quality, repetition, token_files, toxicity, url_lists
+from sensorframe.llm import mixing, near_copies, phrase_index, quality, repetition, suffix_tree, token_files, toxicity, url_lists
 from sensorframe.llm.learning import fold_of
 from sensorframe.llm.session import ready
 
@@ -189,12 +189,19 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return _judged(quality.quality(docs, quality.fit(docs, _table(spark, folder, "labels"))), 0.3)
 
 
+def op6_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    found = suffix_tree.suffix_tree_scores(_table(spark, folder, "documents"))
+    return found.select("doc_id", (F.col("fold") == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_toxicity": op2_toxicity,
     "op3_near_copies": op3_near_copies,
     "op4_token_files": op4_token_files,
     "op5_url_lists": op5_url_lists,
+    "op6_suffix_tree": op6_suffix_tree,
     "op7_phrase_index": op7_phrase_index,
     "op8_mixing": op8_mixing,
     "op10_quality": op10_quality,
