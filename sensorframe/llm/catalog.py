@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import mixing, near_copies, phrase_index, quality, repetition, suffix_tree, token_files, toxicity, url_lists
+from sensorframe.llm import line_runs, mixing, near_copies, phrase_index, quality, repetition, suffix_tree, token_files, toxicity, url_lists
 from sensorframe.llm.learning import fold_of
 from sensorframe.llm.session import ready
 
@@ -195,6 +195,26 @@ def op6_suffix_tree(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (F.col("fold") == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op9_line_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_runs.without_repeated_runs(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.md5("text").alias("text_md5"))
+
+
+OP9_SQL = """
+WITH all_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents),
+lines AS (SELECT doc_id, nr, line, row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS i FROM all_lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+pairs AS (SELECT a.doc_id, a.i, a.line AS one, b.line AS two FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
+copies AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, i) AS k FROM pairs) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM copies),
+gone_lines AS (SELECT doc_id, nr FROM gone JOIN lines USING (doc_id, i)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY nr) AS text FROM all_lines ANTI JOIN gone_lines USING (doc_id, nr) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n FROM gone_lines GROUP BY doc_id)
+SELECT documents.doc_id, coalesce(n.n, 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_deleted, md5(CASE WHEN documents.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END) AS text_md5
+FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN g USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_toxicity": op2_toxicity,
@@ -204,6 +224,7 @@ QUERIES = {
     "op6_suffix_tree": op6_suffix_tree,
     "op7_phrase_index": op7_phrase_index,
     "op8_mixing": op8_mixing,
+    "op9_line_runs": op9_line_runs,
     "op10_quality": op10_quality,
 }
-ORACLES = {"op1_repetition": OP1_SQL, "op3_near_copies": OP3_SQL, "op5_url_lists": OP5_SQL, "op7_phrase_index": OP7_SQL}
+ORACLES = {"op1_repetition": OP1_SQL, "op3_near_copies": OP3_SQL, "op5_url_lists": OP5_SQL, "op7_phrase_index": OP7_SQL, "op9_line_runs": OP9_SQL}
