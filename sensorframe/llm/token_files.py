@@ -20,10 +20,12 @@ as null; an empty table gives an empty manifest; further columns are passed over
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ from sensorframe.llm.words import chunks, plain_strings, text_bytes
 
 END_ID = 0
 NO_ID = -(1 << 63)
-ENCODE_AT_ONCE = 4096
+ENCODE_AT_ONCE = 256
+ENCODE_BYTES = 1 << 15
+PIECE_BYTES = 24 << 20  # more text at once has fewer distinct pieces for its size
 MANIFEST = "part int, file string, first_id long, n_docs long, n_tokens long, width int"
 _TOKENIZERS: dict[str, object] = {}
 
@@ -51,16 +55,19 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at documents, and at a space or line end behind a character that is surely no space.
+def _solid_before(data: np.ndarray) -> np.ndarray:
+    """For each byte place and the end: is the character before surely no white space?
 
-    Surely no space are printable ASCII and the two-byte characters from U+00C0 on; behind others the
-    text is left whole.
+    Surely none are printable ASCII and the two-byte characters from U+00C0 on.
     """
-    before, lead = np.zeros_like(data), np.zeros_like(data)
-    before[1:], lead[2:] = data[:-1], data[:-2]
-    solid = ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead < 0xE0))
-    cut = ((data == 0x20) | (data == 0x0A)) & solid
+    before, lead = np.zeros(len(data) + 1, np.uint8), np.zeros(len(data) + 1, np.uint8)
+    before[1:], lead[2:] = data, data[:-1]
+    return ((before > 0x20) & (before < 0x7F)) | ((before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead < 0xE0))
+
+
+def _cuts(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces begin: at documents, and at a space or line end behind a character that is surely no space."""
+    cut = ((data == 0x20) | (data == 0x0A)) & _solid_before(data)[:-1]
     cut[bounds[:-1][bounds[:-1] < len(data)]] = True
     return np.flatnonzero(cut)
 
@@ -71,24 +78,83 @@ def _taken(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+def _bytewise(path: str) -> bool:
+    """Does the vocabulary write each byte as a character, without changing texts before?"""
+    key = f"{path} bytewise"
+    if key not in _TOKENIZERS:
+        says = json.loads(_tokenizer(path).to_str())
+        split = says["pre_tokenizer"] or {}
+        _TOKENIZERS[key] = says["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+    return _TOKENIZERS[key]
+
+
+def _byte_lengths(path: str) -> np.ndarray:
+    """Bytes that each id stands for; the vocabulary writes one character for a byte."""
+    key = f"{path} bytes"
+    if key not in _TOKENIZERS:
+        tokenizer = _tokenizer(path)
+        special = {i: len(t.content.encode()) for i, t in tokenizer.get_added_tokens_decoder().items()}
+        vocabulary = tokenizer.get_vocab()
+        lengths = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+        for token, i in vocabulary.items():
+            lengths[i] = special.get(i, len(token))
+        _TOKENIZERS[key] = lengths
+    return _TOKENIZERS[key]
+
+
+def _piece_ids(path: str, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all pieces, and where each piece's begin and how many they are.
+
+    Pieces that begin with white space and end solid are encoded joined, as the joints are again borders
+    that no token crosses; the ids' byte lengths tell where each piece ends. The few others go one by one.
+    """
+    tokenizer = _tokenizer(path)
+    bounds, raw = text_bytes(pieces)
+    data = np.frombuffer(raw, np.uint8)
+    sizes = np.diff(bounds)
+    joined = np.isin(data[bounds[:-1]], (0x20, 0x0A)) & _solid_before(data)[bounds[1:]]
+    own = sizes[joined]
+    ends = np.cumsum(own)
+    text = data[np.repeat(joined, sizes)].tobytes()
+    cuts = np.unique(ends[np.searchsorted(ends, np.arange(ENCODE_BYTES, len(text), ENCODE_BYTES))]) if len(own) else own
+    cuts = [0, *cuts.tolist(), *([len(text)] if len(own) and (not len(cuts) or cuts[-1] < len(text)) else [])]
+    flat = _ids(tokenizer, [text[a:b].decode() for a, b in zip(cuts[:-1], cuts[1:])])[0]
+    reached = np.concatenate([[0], np.cumsum(_byte_lengths(path)[flat])])
+    at = np.searchsorted(reached, np.concatenate([[0], ends]))
+    if not np.array_equal(reached[at[1:]], ends):
+        raise ValueError("the ids' bytes do not add up to the pieces")
+    begins, lengths = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    begins[joined], lengths[joined] = at[:-1], np.diff(at)
+    rest, many = _ids(tokenizer, pieces.filter(pa.array(~joined)).to_pylist())
+    begins[~joined], lengths[~joined] = len(flat) + np.cumsum(many) - many, many
+    return np.concatenate([flat, rest]), begins, lengths
+
+
+def _ids(tokenizer, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    found, sizes = [np.zeros(0, np.uint32)], []
+    for at in range(0, len(texts), ENCODE_AT_ONCE):
+        ids = [e.ids for e in tokenizer.encode_batch_fast(texts[at : at + ENCODE_AT_ONCE], add_special_tokens=False)]
+        sizes += map(len, ids)
+        found.append(np.array(list(chain.from_iterable(ids)), np.uint32))
+    return np.concatenate(found), np.array(sizes, np.int64)
+
+
 def encoded(texts: pa.Array, path: str, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, each followed by the end token, and where each text begins (and the last ends)."""
-    tokenizer = _tokenizer(path)
-    bounds, raw = text_bytes(plain_strings(texts))
+    texts = plain_strings(texts)
+    bounds, raw = text_bytes(texts)
     data = np.frombuffer(raw, np.uint8)
-    cuts = _cuts(data, bounds)
+    # other kinds of vocabulary get whole texts
+    cuts = _cuts(data, bounds) if _bytewise(path) else np.unique(bounds[:-1][np.diff(bounds) > 0])
     pieces = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(np.append(cuts, len(data)).astype(np.int32)), pa.py_buffer(raw))
     coded = pieces.dictionary_encode()
-    codes = np.asarray(coded.indices).astype(np.int64)
-    found: list[np.ndarray] = []
-    sizes: list[int] = []
-    for at in range(0, len(coded.dictionary), ENCODE_AT_ONCE):
-        ids = [e.ids for e in tokenizer.encode_batch(coded.dictionary.slice(at, ENCODE_AT_ONCE).to_pylist(), add_special_tokens=False)]
-        sizes += map(len, ids)
-        found.append(np.fromiter((x for own in ids for x in own), np.uint32, sum(map(len, ids))))
-    flat = np.concatenate([*found, np.zeros(0, np.uint32)])
-    lengths = np.array(sizes, np.int64)
-    ids = _taken(flat, (np.cumsum(lengths) - lengths)[codes], lengths[codes])
+    codes = np.asarray(coded.indices)
+    if _bytewise(path):
+        flat, begins, lengths = _piece_ids(path, coded.dictionary)
+    else:
+        flat, lengths = _ids(_tokenizer(path), coded.dictionary.to_pylist())
+        begins = np.cumsum(lengths) - lengths
+    ids = _taken(flat, begins[codes], lengths[codes])
     # tokens before each text, then one more place per text for its end
     so_far = np.concatenate([[0], np.cumsum(lengths[codes])])
     starts = so_far[np.searchsorted(cuts, bounds)]
@@ -114,7 +180,7 @@ def write_tokens(docs: DataFrame, root: str, tokenizer_path: str, id_column: str
         first, n_docs, n_tokens = None, 0, 0
         with (store.open_output_stream(f"{folder}/{name}.bin") as tokens, store.open_output_stream(f"{folder}/{name}.idx") as offsets,
               store.open_output_stream(f"{folder}/{name}.doc") as names):
-            for piece in chunks(batches, "text"):
+            for piece in chunks(batches, "text", PIECE_BYTES):
                 ids, starts = encoded(piece.column("text"), tokenizer_path, end_id)
                 doc_ids = piece.column("id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype("<i8")
                 first = int(doc_ids[0]) if first is None else first

@@ -30,6 +30,17 @@ def test_pieces_encode_like_whole_texts():
         assert ids[a:b].tolist() == wanted(text), repr(text)
 
 
+def test_other_vocabularies_encode_whole_texts():
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = cases()[:400]
+    ids, starts = token_files.encoded(pa.array(texts), path, None)
+    tokenizer = token_files._tokenizer(path)
+    for text, a, b in zip(texts, starts[:-1], starts[1:]):
+        assert ids[a:b].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
 def test_sliced_and_empty_arrays():
     texts = pa.array(ODD).slice(3, 5)
     ids, starts = token_files.encoded(texts, byte_vocabulary())
