@@ -71,9 +71,10 @@ def evaluate(captures: DataFrame, changes: DataFrame, id_column: str = "page_id"
     keyed = rows.select("_id", "_url", "day", "_row", F.explode_outer(F.when(F.col("day").isNotNull(), patterns_of(F.col("_url")))).alias("pattern"))
     asked = keyed.filter("pattern is not null").select("pattern", "day").distinct()
     valid = intervals(changes)
-    latest = F.broadcast(asked.agg(F.max("day").alias("latest")))  # one row
-    spread = valid.join(latest, F.col("valid_from") <= F.col("latest")).withColumn("period", F.explode(F.expr(
-        f"sequence(valid_from div {PERIOD}, least(valid_until - 1, latest) div {PERIOD})")))
+    latest = rows.agg(F.max("day")).first()[0]
+    latest = -1 if latest is None else latest
+    spread = valid.filter(F.col("valid_from") <= latest).withColumn("period", F.explode(F.expr(
+        f"sequence(valid_from div {PERIOD}, least(valid_until - 1, {latest}L) div {PERIOD})")))
     asof = asked.withColumn("period", F.expr(f"day div {PERIOD}")).join(spread, ["pattern", "period"]).filter("valid_from <= day and day < valid_until")
     active = asof.groupBy("pattern", "day").agg(F.collect_set(F.struct("list", "pattern", "valid_from")).alias("entries"))
     found = keyed.join(active, ["pattern", "day"], "left").groupBy("_row").agg(
