@@ -40,6 +40,8 @@ BANDS, ROWS = 32, 4
 #: A pair at 0.85 shows less than this on 128 minima once in a million pairs (4.7 standard errors below).
 LEAST_ESTIMATE = 0.70
 BLOCK_ROWS = 256
+#: Size of the bitmap that tells most documents apart from the few whose full sets are needed (4 MB).
+MARK_BITS = 1 << 25
 #: Shingles of one block at most, unless a single set is larger.
 BLOCK_SHINGLES = 1 << 20
 
@@ -96,16 +98,33 @@ def _signed(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_shingles long, digest binary, minima binary")
 
 
+def _marks(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with the bit of each node's hash set."""
+    place = F.pmod(F.xxhash64("node"), F.lit(MARK_BITS))
+    words = nodes.select(place.alias("place")).selectExpr("place div 64 as at", "shiftleft(1L, cast(place % 64 as int)) as bit")
+    table = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = np.zeros(MARK_BITS // 64, np.int64)
+    marks[table.column("at").to_numpy()] = table.column("bits").to_numpy()
+    return marks
+
+
 def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """Full sets of the classes' representatives."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in chunks(batches, "text"):
-            sets = shingle_sets(piece.column("text"), shingle)
-            yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
+    """Full sets of the classes' representatives.
 
-    own = docs.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
-    once = own.withColumn("_text", F.xxhash64("text")).dropDuplicates(["id", "_text"]).select("id", "text")
-    return once.mapInArrow(run, "node long, members binary")
+    The bitmap spares the shuffle most other documents; the join behind it decides.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(_marks(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            marked = batch.filter(pa.array((marks.value[place >> 6] >> (place & 63)) & 1 == 1))
+            for piece in chunks(iter([marked])):
+                sets = shingle_sets(piece.column("text"), shingle)
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "members"])
+
+    placed = docs.filter("id is not null").select("id", "text", F.pmod(F.xxhash64("id"), F.lit(MARK_BITS)).alias("place"))
+    return placed.mapInArrow(run, "node long, members binary").join(nodes.distinct(), "node", "left_semi").dropDuplicates(["node", "members"])
 
 
 def _pairs_with(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
