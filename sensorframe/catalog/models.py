@@ -100,6 +100,13 @@ def group_folds(spark, folder):
     return rows.join(X.group_folds(rows, 5, 42), "user").select("clip_id", "user", "label", "fold")
 
 
+GROUP_FOLDS_SQL = """WITH r AS (SELECT vec_id AS clip_id, label, (vec_id % 17)::VARCHAR AS "user" FROM embeddings),
+c AS (SELECT "user", label, count(*) AS n FROM r GROUP BY ALL),
+m AS (SELECT "user", arg_max(label, n * 1000000 + label) AS main, sum(n) AS size FROM c GROUP BY "user"),
+t AS (SELECT "user", row_number() OVER (ORDER BY main, -size, md5("user" || ':42'), "user") - 1 AS turn FROM m)
+SELECT clip_id, "user", label, CASE WHEN (turn // 5) % 2 = 1 THEN 5 - turn % 5 ELSE turn % 5 + 1 END::INTEGER AS fold FROM r JOIN t USING ("user")"""
+
+
 def cross_validate(spark, folder):
     algorithm = M.get_algorithm("logistic_regression")
     rows = features(spark, folder).persist()
@@ -119,4 +126,5 @@ ORACLES = {
     "scale_features": SCALE_SQL,
     "fit_pca": PCA_SQL,
     "blend_probabilities": BLEND_SQL,
+    "group_folds": GROUP_FOLDS_SQL,
 }

@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
-import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,65 +18,30 @@ from sensorframe.plans.prep import PARALLEL_FITS, Preprocessor
 from sensorframe.schema import METRICS
 from sensorframe.skew import OrderedGroups
 
-# Largest group x class count matrix that is assigned on the driver.
-DRIVER_CELLS = 200_000
-
 
 def group_folds(rows: DataFrame, folds: int, seed: int, group: str = "user", label: str = "label") -> DataFrame:
     """Fold number (1..folds) of every group; a group is never split and folds keep the class shares.
 
-    Whole groups are placed one after the other, the unevenest first, each where the class shares
-    stay closest. That needs only the counts per group and class. Above ``DRIVER_CELLS`` cells the
-    groups are dealt out in turn within their main class instead, which Spark does alone.
+    Groups are ordered by their main class, then by size, then by a draw from seed and name, and dealt
+    out to and fro over the folds. So a fold gets every folds-th group of each class, as many groups as
+    the others, and large and small ones alike. One rule holds for any number of groups.
     """
     if folds < 2:
         raise ValueError("cross-validation needs at least two folds")
     counts = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("clips"))
-    cells = counts.limit(DRIVER_CELLS + 1).collect()
-    spark = rows.sparkSession
-    if len(cells) <= DRIVER_CELLS:
-        names = sorted({c[group] for c in cells}, key=str)
-        labels = sorted({c[label] for c in cells})
-        if len(names) < folds:
-            raise DataError(f"{len(names)} participants cannot fill {folds} folds")
-        matrix = np.zeros((len(names), len(labels)))
-        at = {n: i for i, n in enumerate(names)}
-        column = {c: i for i, c in enumerate(labels)}
-        for c in cells:
-            matrix[at[c[group]], column[c[label]]] = c["clips"]
-        shuffled = np.random.default_rng(seed).permutation(len(names))
-        spread = matrix[shuffled].std(axis=1)
-        order = shuffled[np.argsort(-spread, kind="stable")]
-        total = matrix.sum(axis=0)
-        held = np.zeros((folds, len(labels)))
-        placed = {}
-        for g in order:
-            scores = []
-            for f in range(folds):
-                trial = held.copy()
-                trial[f] += matrix[g]
-                scores.append((round(float((trial / total).std(axis=0).mean()), 12), held[f].sum(), f))
-            best = min(scores)[2]
-            held[best] += matrix[g]
-            placed[names[g]] = best + 1
-        kind = rows.schema[group].dataType.simpleString()
-        return spark.createDataFrame(list(placed.items()), f"`{group}` {kind}, fold int")
     main = counts.groupBy(group).agg(
         F.max_by(label, F.struct("clips", label)).alias("_main"), F.sum("clips").alias("_size")
     )
-    draw = F.xxhash64(F.col(group), F.lit(seed))
-    dealt = OrderedGroups(
-        main.withColumn("_draw", draw), ["_main"], [-F.col("_size"), "_draw", group], -F.col("_size")
-    ).scan(_turn=skew.position()).rows()
+    main = skew.checkpointed(main.withColumn("_draw", F.md5(F.concat_ws(":", F.col(group).cast("string"), F.lit(seed)))))
+    known = main.count()
+    if known < folds:
+        raise DataError(f"{known} participants cannot fill {folds} folds")
+    dealt = OrderedGroups(main, [], ["_main", -F.col("_size"), "_draw", group], None).scan(_turn=skew.position()).rows()
     turn, back = F.col("_turn") % folds, F.floor(F.col("_turn") / folds) % 2 == 1
     fold = F.when(back, folds - turn).otherwise(turn + 1)
     return dealt.select(group, fold.cast("int").alias("fold"))
 
 
-def fold_seed(seed: int, repeat: int, fold: int) -> int:
-    return seed + 1000 * repeat + fold
-
-
 def cross_validate(
     rows: DataFrame,
     blocks: Sequence[str],

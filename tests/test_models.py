@@ -104,9 +104,10 @@ def test_registry():
         M.get_algorithm("logistic_regression").resolved({"D": 1})
 
 
-@pytest.mark.parametrize("limit", [200_000, 3])
-def test_folds_keep_groups_whole(spark, limit, monkeypatch):
-    monkeypatch.setattr(X, "DRIVER_CELLS", limit)
+@pytest.mark.parametrize("cut", [False, True])
+def test_folds_keep_groups_whole(spark, cut, request):
+    if cut:
+        request.getfixturevalue("small_groups")
     rng = np.random.default_rng(7)
     rows = [(f"u{i % 23}", int(rng.integers(0, 4))) for i in range(800)]
     df = spark.createDataFrame(rows, "user string, label int")
@@ -116,6 +117,8 @@ def test_folds_keep_groups_whole(spark, limit, monkeypatch):
     assert set(sizes) == {1, 2, 3, 4, 5} and max(sizes.values()) < 2.2 * min(sizes.values())
     again = {r["user"]: r["fold"] for r in X.group_folds(df, 5, 42).collect()}
     assert again == {r["user"]: r["fold"] for r in folds.collect()}
+    with pytest.raises(DataError):
+        X.group_folds(df, 24, 42)
 
 
 def test_cross_validation(spark):
