@@ -215,7 +215,7 @@ MEMBER_INDEX_SQL = f"""WITH {MEMBERS} SELECT clip_id, modality, member_path,
 
 def member_order(spark, folder):
     rows = members(spark, folder)
-    groups = OrderedGroups(rows, ["user"], P.member_order(), P.member_lead())
+    groups = OrderedGroups(rows, ["user"], P.member_order(), None)
     return P.numbered(groups).select("user", "member_path", "position")
 
 
@@ -471,7 +471,7 @@ def union_splits(spark, folder):
 
 def align_timeline(spark, folder):
     rows = members(spark, folder)
-    groups = OrderedGroups(rows, ["clip_id", "modality"], P.member_order(), P.member_lead())
+    groups = OrderedGroups(rows, ["clip_id", "modality"], P.member_order(), None)
     played = groups.on(groups.df.filter(F.col("modality").isin(*PLAYER_MODALITIES)))
     shown = K.align_timeline(played, ("Depth_Color", "IR", "Skeleton"), "Thermal")
     return shown.select("clip_id", "modality", "frame", "member_path")
@@ -555,22 +555,34 @@ SELECT a.doc_id, coalesce((SELECT min(b.doc_id) FROM l b WHERE b.open AND b.doc_
 # ---------------------------------------------------------------- scalars and small tables
 
 
+# the last four are numbers
+ODD_NUMBERS = ("nan", "inf", "x1", "1d", "1.5f", "0x1p3", "", "1e999", "1__0", ".5", "-1.2e2", " 7. ", "1_000")
+
+
 def safe_float(spark, folder):
     text = F.get_json_object("props", "$.k")
-    odd = F.when(F.col("event_id") % 5 == 0, "nan").when(F.col("event_id") % 7 == 0, "inf").when(F.col("event_id") % 11 == 0, "x1")
+    odd = F.element_at(F.array(*map(F.lit, ODD_NUMBERS)), (F.col("event_id") % 23 + 1).cast("int"))
+    odd = F.when(F.col("event_id") % 23 < len(ODD_NUMBERS), odd)
     return table(spark, folder, "events").select("event_id", C.safe_float(F.coalesce(odd, text)).alias("number"))
 
 
-SAFE_FLOAT_SQL = """SELECT event_id, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 OR event_id % 11 = 0 THEN NULL
-  ELSE regexp_extract(props, '(\\d+)', 1)::DOUBLE END AS number FROM events"""
+SAFE_FLOAT_SQL = """SELECT event_id, CASE event_id % 23 WHEN 9 THEN 0.5 WHEN 10 THEN -120.0 WHEN 11 THEN 7.0 WHEN 12 THEN 1000.0 ELSE
+  CASE WHEN event_id % 23 > 12 THEN regexp_extract(props, '(\\d+)', 1)::DOUBLE END END AS number FROM events"""
+
+
+# the last three name a moment: a date, an hour with an offset, a fraction after a comma
+ODD_TIMES = ("soon", "2024", "2024-05", "1500", "12:34:56", "T12:00:00", "", "2024-13-01",
+             "2024-05-01", "2024-05-01T11+02:00", " 2024-05-01 09:00:00,25Z ")
 
 
 def parse_time(spark, folder):
-    text = F.when(F.col("event_id") % 6 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+    odd = F.element_at(F.array(*map(F.lit, ODD_TIMES)), (F.col("event_id") % 19 + 1).cast("int"))
+    text = F.when(F.col("event_id") % 19 < len(ODD_TIMES), odd).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS"))
     return table(spark, folder, "events").select("event_id", F.round(C.parse_time(text, F.col("event_id")), 3).alias("seconds"))
 
 
-PARSE_TIME_SQL = """SELECT event_id, CASE WHEN event_id % 6 = 0 THEN event_id ELSE (epoch_us(ts) // 1000) / 1000.0 END::DOUBLE AS seconds FROM events"""
+PARSE_TIME_SQL = """SELECT event_id, CASE event_id % 19 WHEN 8 THEN 1714521600 WHEN 9 THEN 1714554000 WHEN 10 THEN 1714554000.25
+  ELSE CASE WHEN event_id % 19 < 8 THEN event_id ELSE (epoch_us(ts) // 1000) / 1000.0 END END::DOUBLE AS seconds FROM events"""
 
 
 def natural_key(spark, folder):

@@ -13,6 +13,9 @@ from sensorframe.schema import BLOCKS
 TIMESTAMP_PATTERN = r"(\d{4}-\d{2}-\d{2}_\d{2}-\d{2}-\d{2}\.\d{3})"
 FRAME_PATTERN = r"(?i)(?:frame_|_)(\d+)(?:_Color)?\.(?:jpg|jpeg|png|json)$"
 ACTION_PATTERN = r"^(\d+)_(.+)$"
+DECIMAL_PATTERN = r"^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
+# A whole date, then at most a time and an offset.
+MOMENT_PATTERN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,9})?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?$"
 IGNORED_NAMES = ("settings.local.json", "Thumbs.db")
 
 
@@ -22,17 +25,28 @@ def finite(value: Column) -> Column:
 
 
 def safe_float(text: Column) -> Column:
-    """Number in text, NULL when it is not a finite number."""
-    return finite(F.trim(text).try_cast("double"))
+    """Number in decimal text (digit groups may be joined by underscores), NULL when it is not a finite number."""
+    given = F.trim(text.cast("string"))
+    return F.when(given.rlike(DECIMAL_PATTERN), finite(F.replace(given, F.lit("_"), F.lit("")).try_cast("double")))
 
 
 def epoch_seconds(moment: Column) -> Column:
     return F.unix_micros(moment.cast("timestamp")) / F.lit(1e6)
 
 
+def known_time(text: Column) -> Column:
+    """The moment that ISO text with a whole date names; NULL for years, bare times and other text."""
+    given = F.trim(text)
+    # hours or minutes alone and a comma before the fraction are ISO, but the cast reads them in full only
+    full = F.regexp_replace(given, ",", ".")
+    full = F.regexp_replace(full, r"^(.{10}[T ]\d{2})(Z|[+-]|$)", "$1:00$2")
+    full = F.regexp_replace(full, r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2")
+    return F.when(given.rlike(MOMENT_PATTERN), F.try_to_timestamp(full))
+
+
 def parse_time(text: Column, sequence: Column) -> Column:
-    """Epoch seconds of an ISO timestamp, else the row's sequence number."""
-    return F.coalesce(epoch_seconds(F.try_to_timestamp(F.trim(text))), sequence.cast("double"))
+    """Epoch seconds of an ISO timestamp with a whole date, else the row's sequence number."""
+    return F.coalesce(epoch_seconds(known_time(text)), sequence.cast("double"))
 
 
 def natural_key(text: Column) -> Column:

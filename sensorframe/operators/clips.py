@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorframe import skew
 from sensorframe.functions.columns import correct_flag, natural_key
-from sensorframe.operators.sampling import member_lead, member_order
+from sensorframe.operators.sampling import member_order
 from sensorframe.schema import IMU_DEVICES, MODALITIES, REQUIRED_MODALITIES
 from sensorframe.skew import OrderedGroups
 
@@ -151,7 +151,7 @@ def member_index(members: DataFrame, keys: Sequence[str] = ("split", "clip_id",
 
     One row per member rather than one list per clip, so a very long list stays distributed.
     """
-    groups = OrderedGroups(members, keys, member_order(), member_lead())
+    groups = OrderedGroups(members, keys, member_order(), None)
     return groups.scan(position=skew.position(), members=skew.total()).rows()
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from sensorframe import skew
 from sensorframe.operators import signal as S
-from sensorframe.operators.sampling import member_lead
 from sensorframe.schema import ANGLES, DISTANCES, EDGES, JOINT, JOINTS, FeatureConfig
 from sensorframe.skew import SLICE, OrderedGroups
 
@@ -342,7 +341,7 @@ def skeleton_engineered(samples: DataFrame, key: str, config: FeatureConfig = Fe
 def pose_groups(frames: DataFrame) -> OrderedGroups:
     """Frame files of the skeleton scan as one ordered series per clip."""
     order = [F.coalesce("timestamp", F.lit("")), F.coalesce("frame_index", F.lit(-1)), F.element_at(F.split("path", "/"), -1), F.col("path")]
-    return OrderedGroups(frames, ["clip_id"], order, member_lead())
+    return OrderedGroups(frames, ["clip_id"], order, None)
 
 
 def skeleton_samples(frames: DataFrame, config: FeatureConfig = FeatureConfig()) -> DataFrame:

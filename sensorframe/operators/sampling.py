@@ -43,12 +43,6 @@ def member_order(timestamp: str = "timestamp", frame: str = "frame_index", path:
     return [F.coalesce(F.col(timestamp), F.lit("")), F.coalesce(F.col(frame), F.lit(-1)), F.col(path)]
 
 
-def member_lead(timestamp: str = "timestamp", frame: str = "frame_index") -> Column:
-    """Number that grows with the member order: epoch of the timestamp, else the frame number."""
-    moment = F.unix_millis(F.try_to_timestamp(F.col(timestamp), F.lit("yyyy-MM-dd_HH-mm-ss.SSS")))
-    return F.coalesce(moment, F.col(frame), F.lit(-1)).cast("double")
-
-
 def manifest_order() -> list[Column]:
     return [
         F.when(F.col("split") == "train", 0).otherwise(1),

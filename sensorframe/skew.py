@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 HOT_ROWS_CONF = "spark.sensorframe.hotGroupRows"
 DEFAULT_HOT_ROWS = 2_000_000
-MAX_SLICES = 4096
 BROADCAST_BOUNDS = 2_000_000
 SLICE = "_slice"
 ORDER = "_order"
@@ -88,7 +87,7 @@ def sliced(df: DataFrame, keys: Sequence[str], lead: Column | None, order: Seque
         parts = max(2, math.ceil(df.count() / limit))
         ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
         return checkpointed(ranged.withColumn(SLICE, F.spark_partition_id())), True
-    slices = max(2, min(MAX_SLICES, math.ceil(found[1] / limit)))
+    slices = max(2, math.ceil(found[1] / limit))
     shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
     steps = max(1, math.ceil(math.log2(slices + 1)))
     number = lead.cast("double")

@@ -15,6 +15,7 @@ from sensorframe.functions.columns import (
     FRAME_PATTERN,
     IGNORED_NAMES,
     TIMESTAMP_PATTERN,
+    known_time,
     normalize_blocks,
     parse_time,
     path_tail,
@@ -81,7 +82,7 @@ def parse_members(members: DataFrame, split: str, path: str = "path", size: str
         user.alias("user"),
         trial.alias("trial"),
         F.when(stamp != "", stamp).alias("timestamp"),
-        F.when(frame != "", frame.cast("long")).alias("frame_index"),
+        F.when(frame != "", frame.try_cast("long")).alias("frame_index"),
     )
 
 
@@ -123,12 +124,6 @@ def read_csv_text(spark: SparkSession, path, fields: int) -> DataFrame:
     )
 
 
-def _name_code(path: Column) -> Column:
-    """Number growing with the first letters of the file name."""
-    name = F.element_at(F.split(path, "/"), -1)
-    return F.ascii(name.substr(1, 1)) * 65536 + F.ascii(name.substr(2, 1)) * 256 + F.ascii(name.substr(3, 1))
-
-
 def scan_imu(spark: SparkSession, path, split: str = "train", devices: Sequence[str] = IMU_DEVICES) -> DataFrame:
     """Inertial rows with 18 channels; rows without a known device or six finite base values are dropped.
 
@@ -148,11 +143,10 @@ def scan_imu(spark: SparkSession, path, split: str = "train", devices: Sequence[
         *[v.alias(name) for v, name in zip(values, IMU_CHANNELS)],
     ).filter(F.col("device").isin(*devices))
     rows = rows.dropna(subset=list(IMU_CHANNELS[:6]))
-    place = _name_code(F.col("path")) * F.lit(2.0**28) + F.shiftright("block", 20)
     order = [path_tail(F.col("path")), F.col("path"), F.col("block"), F.col("line")]
-    groups = OrderedGroups(rows, ["clip_id"], order, place)
+    groups = OrderedGroups(rows, ["clip_id"], order, None)
     rows = groups.scan(_seq=skew.position()).rows()
-    known = F.try_to_timestamp(F.trim("time_text")).isNotNull()
+    known = known_time(F.col("time_text")).isNotNull()
     return rows.select(
         "clip_id", "device",
         parse_time(F.col("time_text"), F.col("_seq")).alias("ts"),
@@ -188,7 +182,7 @@ def scan_skeleton(spark: SparkSession, path, split: str = "train") -> DataFrame:
     rows = files.select(
         F.lit(split).alias("split"), clip_of(F.col("path"), split).alias("clip_id"), "path",
         F.nullif(F.regexp_extract(name, TIMESTAMP_PATTERN, 1), F.lit("")).alias("timestamp"),
-        F.nullif(F.regexp_extract(name, FRAME_PATTERN, 1), F.lit("")).cast("long").alias("frame_index"),
+        F.nullif(F.regexp_extract(name, FRAME_PATTERN, 1), F.lit("")).try_cast("long").alias("frame_index"),
         F.coalesce(F.get_json_object("value", "$[0]").isNotNull() | (F.regexp_replace("value", r"\s", "") == "[]"),
                    F.lit(False)).alias("is_list"),
         F.col("value"), parsed.alias("people"),
@@ -226,7 +220,7 @@ def scan_radar(spark: SparkSession, path) -> DataFrame:
         .schema("timestamp string, frame string, x string, y string, z string, v string, snr string, noise string")
         .csv(path)
     )
-    frame = safe_float(F.col("frame")).cast("int")
+    frame = safe_float(F.col("frame")).try_cast("int")
     zeroed = lambda c: F.coalesce(F.trim(F.col(c)).try_cast("double"), F.lit(0.0))
     return raw.select(
         F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"),
@@ -283,7 +277,7 @@ def check_mapping(mapping: DataFrame) -> DataFrame:
         raise DataError("class mapping needs action_id and action_name")
     number = F.trim(F.col("action_id").cast("string"))
     rows = mapping.select(
-        F.when(number.rlike(r"^[+-]?\d+$"), number.cast("int")).alias("action_id"),
+        F.when(number.rlike(r"^[+-]?\d+$"), number.try_cast("int")).alias("action_id"),
         F.trim(F.col("action_name").cast("string")).alias("action_name"),
     )
     state = rows.agg(
@@ -361,7 +355,7 @@ def check_labels(rows: DataFrame, allowed: DataFrame | None = None) -> None:
     filled = rows.select(path.alias("path"), given.alias("given")).filter("given <> ''")
     require_none(filled.filter(~F.col("given").rlike(r"^[+-]?\d+$")), "label must be an integer")
     if allowed is not None:
-        ids = filled.withColumn("action_id", F.col("given").cast("int"))
+        ids = filled.withColumn("action_id", F.col("given").try_cast("int"))
         require_none(ids.join(allowed, "action_id", "left_anti"), "unknown action")
 
 
