@@ -37,7 +37,7 @@ def member_paths(spark, folder):
             F.date_format("ts", "yyyyMMdd"),
             F.concat(F.lit("Depth_"), stamp, F.lit("_"), (number % 1000).cast("string"), suffix),
         ).alias("path"),
-        (number % 4 * 100).alias("length"),
+        (F.floor(number / 6) % 4 * 100).alias("length"),
     )
 
 
@@ -53,7 +53,7 @@ m0 AS (SELECT *, [{modalities}][(event_id % 6 + 1)] AS modality, (user_id % 12)
 m AS (SELECT 'train' AS split, action_name || '/' || "user" || '/' || trial AS clip_id, modality,
     'HAR/data/' || modality || '/' || action_name || '/' || "user" || '/' || trial || '/Depth_' || stamp || '_'
       || (event_id % 1000) || suffix AS member_path,
-    (event_id % 4 * 100)::BIGINT AS size, (user_id % 12)::INTEGER AS action_id, action_name, "user", trial,
+    (event_id // 6 % 4 * 100)::BIGINT AS size, (user_id % 12)::INTEGER AS action_id, action_name, "user", trial,
     stamp AS "timestamp", CASE WHEN suffix <> '.csv' THEN event_id % 1000 END AS frame_index FROM m0)
 """.format(modalities=", ".join(f"'{m}'" for m in MODALITIES))
 
@@ -168,11 +168,13 @@ SELECT concat_ws(' + ', {", ".join(f"CASE WHEN {m.lower()}_present THEN '{m}' EN
 
 
 def quality_kpis(spark, folder):
-    return K.quality_kpis(manifest(spark, folder))
+    return K.quality_kpis(manifest(spark, folder).join(content_quality(spark, folder), ["split", "clip_id"], "left"))
 
 
-QUALITY_SQL = f"""WITH {MANIFEST}
-SELECT count(*) FILTER (NOT complete) AS incomplete_clips, NULL::BIGINT AS empty_radar, NULL::BIGINT AS empty_imu_files,
+QUALITY_SQL = f"""WITH {MANIFEST},
+content AS (SELECT clip_id, sum(size) FILTER (modality = 'Radar') = 0 AS radar_empty, count(*) FILTER (modality = 'IMU' AND size = 0) AS imu_empty FROM m GROUP BY clip_id)
+SELECT count(*) FILTER (NOT complete) AS incomplete_clips, (SELECT count(*) FROM content WHERE radar_empty) AS empty_radar,
+  (SELECT sum(imu_empty)::BIGINT FROM content) AS empty_imu_files,
   count(*) FILTER (coalesce(NOT depth_ir_aligned, false) OR coalesce(NOT depth_skeleton_aligned, false)) AS misaligned_clips,
   {", ".join(f"count(*) FILTER (NOT {m.lower()}_present) AS {m.lower()}_missing" for m in MODALITIES)} FROM manifest"""
 
@@ -240,9 +242,9 @@ def discovery_flags(spark, folder):
         F.element_at(F.array(F.lit("A"), F.lit("B")), (F.col("size") / 100 % 2 + 1).cast("int")).alias("device"),
         F.col("size").alias("data_rows"),
     )
-    # clips last a whole month here, so that some are complete
-    month = F.regexp_replace("clip_id", r"\d\d$", "")
-    return K.discovery_flags(rows.withColumn("clip_id", month), imu.withColumn("clip_id", month), devices=("A", "B"))
+    # clips last ten days here, so that every step keeps some and loses some
+    decade = F.regexp_replace("clip_id", r"\d$", "")
+    return K.discovery_flags(rows.withColumn("clip_id", decade), imu.withColumn("clip_id", decade), devices=("A", "B"))
 
 
 def complete_case(spark, folder):
@@ -254,7 +256,7 @@ def discovery_funnel(spark, folder):
 
 
 FLAGS = f"""{MEMBERS},
-w AS (SELECT *, clip_id[:-3] AS clip FROM m),
+w AS (SELECT *, clip_id[:-2] AS clip FROM m),
 q AS (SELECT clip, any_value(action_id) AS action_id, any_value("user") AS "user",
   count(DISTINCT modality) FILTER (modality IN ('Depth_Color', 'IR', 'IMU', 'Skeleton')) = 4 AS modality_complete,
   coalesce(bool_or(size > 0) FILTER (modality = 'Depth_Color'), false) AND coalesce(bool_or(size > 0) FILTER (modality = 'IR'), false)

@@ -171,13 +171,15 @@ REPORT = (
 
 def sorted_json(text: Column) -> Column:
     """A flat JSON object with sorted keys and a blank after colons and commas; numbers stay as written."""
-    pairs = F.array_sort(F.map_entries(F.from_json(text, "map<string,string>")))
+    written, kinds = F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
+    pairs = F.array_sort(F.map_entries(written))
+    # to_json escapes; of an array with one text it leaves the brackets to take off
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
 
     def shown(pair: Column) -> Column:
-        key, value = F.concat(F.lit('"'), pair["key"], F.lit('"')), pair["value"]
-        quoted = F.regexp(text, F.concat(key, F.lit(r'\s*:\s*"')))
-        value = F.when(quoted, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(F.coalesce(value, F.lit("null")))
-        return F.concat(key, F.lit(": "), value)
+        is_text = F.schema_of_variant(F.try_element_at(kinds, pair["key"])) == "STRING"
+        value = F.when(is_text, quoted(pair["value"])).otherwise(F.coalesce(pair["value"], F.lit("null")))
+        return F.concat(quoted(pair["key"]), F.lit(": "), value)
 
     return F.concat(F.lit("{"), F.array_join(F.transform(pairs, shown), ", "), F.lit("}"))
 
