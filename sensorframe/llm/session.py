@@ -2,38 +2,20 @@
 
 from __future__ import annotations
 
-import io
-import os
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sensorframe.shipping import ship
+
 #: Bytes of one Arrow batch sent to a Python worker.
 BATCH_BYTES = 16 << 20
-_PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-_SHIPPED = "spark.sensorframe.shipped"
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package, and bound the batches they get by bytes.
-
-    The package travels as a zip file; where a worker can import it anyway, nothing changes.
-    """
-    application = spark.sparkContext.applicationId
-    if spark.conf.get(_SHIPPED, "") != application:
-        packed = io.BytesIO()
-        with zipfile.ZipFile(packed, "w") as z:
-            for folder, _, names in sorted(os.walk(_PACKAGE)):
-                for name in sorted(n for n in names if n.endswith(".py")):
-                    path = os.path.join(folder, name)
-                    z.write(path, os.path.relpath(path, os.path.dirname(_PACKAGE)))
-        target = os.path.join(tempfile.mkdtemp(prefix="spark-"), "sensorframe.zip")
-        with open(target, "wb") as out:
-            out.write(packed.getvalue())
-        spark.sparkContext.addPyFile(target)
-        spark.conf.set(_SHIPPED, application)
+    """Let Python workers import this package, and bound the batches they get by bytes."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
