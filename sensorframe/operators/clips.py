@@ -280,10 +280,6 @@ def filter_clips(
     return clips.filter(F.col("clip_id").isNotNull())
 
 
-def by_natural_order(clips: DataFrame, column: str) -> DataFrame:
-    return clips.withColumn("_key", natural_key(F.col(column))).orderBy("_key", column).drop("_key")
-
-
 # ---------------------------------------------------------------- joins
 
 def attach_test_index(index: DataFrame, clips: DataFrame, key: str = "clip_id") -> tuple[DataFrame, DataFrame]:
@@ -347,6 +343,11 @@ def prediction_coverage(clips: DataFrame, predictions: DataFrame, key: str = "cl
     )
 
 
+def unused_predictions(clips: DataFrame, predictions: DataFrame, key: str = "clip_id") -> DataFrame:
+    """Predictions whose clip is not known."""
+    return predictions.join(clips.select(key), key, "left_anti")
+
+
 def id_differences(stored: DataFrame, current: DataFrame, key: str = "clip_id") -> DataFrame:
     """Ids only one side has, with the side; repeats count."""
     gone = stored.select(key).exceptAll(current.select(key)).withColumn("side", F.lit("stored only"))

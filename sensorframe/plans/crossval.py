@@ -113,6 +113,17 @@ def consensus(found: DataFrame, classes: Sequence[int]) -> DataFrame:
     return means.groupBy("candidate", "clip_id", "user", "label").agg(F.get(listed, best).alias("prediction"))
 
 
+def out_of_fold(found: DataFrame, candidate: int) -> DataFrame:
+    """One row per clip for a candidate: consensus prediction, mean probability, and the fold and prediction of each repeat."""
+    classes = sorted(int(r["label"]) for r in found.select("label").distinct().collect())
+    own = found.filter(F.col("candidate") == candidate)
+    agreed = consensus(own, classes).drop("candidate")
+    cells = own.select("clip_id", F.posexplode("probability").alias("_i", "_p")).groupBy("clip_id", "_i").agg(F.avg("_p").alias("_p"))
+    means = cells.groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_p"))), lambda c: c["_p"]).alias("probability"))
+    repeats = own.groupBy("clip_id").agg(F.array_sort(F.collect_list(F.struct("repeat", "fold", "prediction"))).alias("repeats"))
+    return agreed.join(means, "clip_id").join(repeats, "clip_id").withColumn("classes", F.array(*[F.lit(c) for c in classes]))
+
+
 def validation_report(found: DataFrame, algorithm: Algorithm, candidates: Sequence[Mapping[str, Any]], *,
                       selection_metric: str = "macro_f1", seed: int = 42) -> dict[str, Any]:
     """Nested report of a cross-validation; every table in it is as small as classes or groups."""
@@ -143,6 +154,8 @@ def validation_report(found: DataFrame, algorithm: Algorithm, candidates: Sequen
         "selected_parameters": settings[best],
         "cv_repeats": max(r["repeat"] for r in repeats),
         "cv_random_state": seed,
+        "metrics_basis": "mean over repeats of out-of-fold predictions",
+        "detail_metrics_basis": "consensus of the repeats for the selected parameters",
         "classes": classes,
         "aggregate_metrics": [
             {

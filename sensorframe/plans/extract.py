@@ -91,13 +91,19 @@ def extract_split(spark, root: str, clips: DataFrame, config: FeatureConfig, blo
 
 def index_split(spark, root: str, split: str, *, deep: bool = False) -> DataFrame:
     """Manifest of one extracted split, ordered for display."""
-    manifest = K.build_manifest(scan.scan_split(spark, root, split))
+    manifest = K.build_manifest(scan.scan_split(spark, root, split)).withColumns(
+        {"source_kind": F.lit("directory"), "source_path": F.lit(root)})
     if deep:
         manifest = manifest.join(K.content_quality(scan.scan_content(spark, root, split)), ["split", "clip_id"], "left")
     keys = {f"_key{i}": key for i, key in enumerate(manifest_order())}
     return K.with_issues(manifest).withColumns(keys).orderBy(*keys).drop(*keys)
 
 
+def clip_index(spark, root: str, split: str, clip_id: str) -> DataFrame:
+    """Ordered members of one clip, from its own folders alone."""
+    return K.member_index(scan.scan_clip(spark, root, split, clip_id))
+
+
 def select_training_clips(spark, root: str) -> tuple[DataFrame, DataFrame]:
     """Complete training clips with label and participant, and the counts of every selection step."""
     flags = K.discovery_flags(scan.scan_split(spark, root, "train"), scan.scan_imu_files(spark, f"{root}/data/IMU"))
@@ -128,6 +134,7 @@ def train(features: DataFrame, blocks: Sequence[str], algorithm: str, candidates
     chosen = M.get_algorithm(algorithm)
     settings = list(candidates) if candidates is not None else list(chosen.candidates())
     rows = features.filter("split = 'train'")
+    K.require_blocks(rows, blocks)
     K.require_finite(rows, blocks)
     rows = rows.persist()
     try:
@@ -136,6 +143,9 @@ def train(features: DataFrame, blocks: Sequence[str], algorithm: str, candidates
         model = M.ClipModel.fit(rows, blocks, algorithm, report["selected_parameters"], config)
         report["training_clips"] = rows.count()
         report["feature_blocks"] = list(blocks)
+        report["raw_feature_dimensions"] = {b: config.width(b) for b in blocks}
+        for entry in report["folds"]:
+            entry["training_clips"] = report["training_clips"] - entry["validation_clips"]
         report["class_counts"] = {str(r["label"]): r["clips"] for r in K.class_counts(rows).orderBy("label").collect()}
     finally:
         rows.unpersist()

@@ -29,8 +29,8 @@ from sensorframe.skew import OrderedGroups
 # ---------------------------------------------------------------- listings
 
 
-def scan_members(spark: SparkSession, root: str) -> DataFrame:
-    """Path and size of every file below root; file contents are never read."""
+def scan_members(spark: SparkSession, root: str | Sequence[str]) -> DataFrame:
+    """Path and size of every file below root (or several); file contents are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.select("path", "length")
 
@@ -93,6 +93,20 @@ def scan_split(spark: SparkSession, root: str, split: str) -> DataFrame:
     return parse_members(listed, split)
 
 
+def scan_clip(spark: SparkSession, root: str, split: str, clip_id: str) -> DataFrame:
+    """Parsed members of one clip; only the clip's own folders are listed."""
+    folder = (lambda m: f"{root}/data/{m}/{clip_id}") if split == "train" else (lambda m: f"{root}/{clip_id}/{m}")
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    settings = spark._jsc.hadoopConfiguration()
+    there = [f for f in map(folder, MODALITIES) if path_of(f).getFileSystem(settings).exists(path_of(f))]
+    anchor = "HAR" if split == "train" else "small_model_track_test"
+    if not there:
+        none = spark.createDataFrame([], "path string, length long")
+        return parse_members(none, split)
+    listed = scan_members(spark, there).withColumn("path", relative_path(F.col("path"), anchor))
+    return parse_members(listed, split).filter(F.col("clip_id") == clip_id)
+
+
 def clip_of(path: Column, split: str) -> Column:
     """Clip id of a sensor file's full path."""
     anchor = "HAR" if split == "train" else "small_model_track_test"

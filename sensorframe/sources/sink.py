@@ -67,8 +67,8 @@ def write_predictions(rows: DataFrame, path: str, identifier: str) -> None:
 
 
 def write_oof(rows: DataFrame, path: str) -> None:
-    """Out-of-fold predictions, one row per (repeat, clip)."""
-    rows.write.mode("overwrite").partitionBy("repeat").parquet(path)
+    """Out-of-fold table of the selected candidate, one row per clip (``crossval.out_of_fold``)."""
+    rows.write.mode("overwrite").parquet(path)
 
 
 def write_report(spark, report: dict, path: str) -> None:

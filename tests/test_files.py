@@ -9,6 +9,7 @@ import restated
 from sensorframe.operators import clips as K
 from sensorframe.operators import frames as I
 from sensorframe.operators import signal as S
+from sensorframe.plans import crossval as XV
 from sensorframe.plans import extract as X
 from sensorframe.schema import BASE_CHANNELS, IMU_DEVICES, FeatureConfig
 from sensorframe.sources import scan, sink
@@ -40,11 +41,21 @@ def test_parse_rules(spark):
         scan.parse_members(df, "other")
 
 
+def test_index_of_one_clip(spark, tree):
+    for split, clip in (("train", tree["clips"][0]), ("test", "SM_test_0001")):
+        full = X.K.member_index(scan.scan_split(spark, tree[split], split)).filter(F.col("clip_id") == clip)
+        one = X.clip_index(spark, tree[split], split, clip)
+        key = lambda r: r["member_path"]
+        assert sorted(one.collect(), key=key) == sorted(full.select(one.columns).collect(), key=key) and not one.isEmpty()
+    assert X.clip_index(spark, tree["train"], "train", "3_Wave_arm/nobody/trial1").isEmpty()
+
+
 def test_manifest_of_tree(spark, tree):
     rows = [r.asDict() for r in X.index_split(spark, tree["train"], "train", deep=True).collect()]
     by = {r["clip_id"]: r for r in rows}
     assert [r["clip_id"] for r in rows][:3] == [f"3_Wave_arm/{u}/trial1" for u in ("user2", "user10", "user11")]
     first = by[tree["clips"][0]]
+    assert (first["source_kind"], first["source_path"]) == ("directory", tree["train"])
     assert first["depth_color_file_count"] == 5 and first["modality_count"] == 6 and first["complete"]
     assert first["depth_ir_aligned"] and first["depth_skeleton_aligned"]
     assert first["duration_seconds"] == 4.0
@@ -194,7 +205,13 @@ def test_train_writes_submission(spark, tree, tmp_path):
     assert report["test_feature_health"]["imu"]["all_missing_rows"] == 1
     assert found.count() == 6
     sink.write_report(spark, report, str(tmp_path / "runs" / "a" / "validation.json"))
-    sink.write_oof(found, str(tmp_path / "oof"))
+    best = next(i for i, a in enumerate(report["aggregate_metrics"]) if a["parameters"] == report["selected_parameters"])
+    sink.write_oof(XV.out_of_fold(found, best), str(tmp_path / "oof"))
+    stored = spark.read.parquet(str(tmp_path / "oof")).collect()
+    assert len(stored) == 6 and all(len(r["repeats"]) == 1 and r["classes"] == [3, 12] and abs(sum(r["probability"]) - 1) < 1e-6 for r in stored)
+    assert {r["clip_id"]: r["prediction"] for r in stored} == {r["clip_id"]: r["prediction"] for r in found.collect()}
+    assert report["raw_feature_dimensions"] == {b: config.width(b) for b in blocks}
+    assert all(f["training_clips"] + f["validation_clips"] == 6 for f in report["folds"]) and report["metrics_basis"]
     model.save(spark, str(tmp_path / "model"))
     again = M.ClipModel.load(spark, str(tmp_path / "model"))
     features = table.filter("split = 'test'")
