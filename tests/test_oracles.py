@@ -8,7 +8,11 @@ FOLDER = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
 # order-dependent queries repeated with every group cut into slices
 CUT = ("signal_features", "circular_features", "quaternion_features", "file_count_box", "align_timeline",
-       "evenly_sample", "next_unlabeled", "manifest_order", "unique_run_labels", "joint_motion", "frame_summaries")
+       "evenly_sample", "next_unlabeled", "manifest_order", "unique_run_labels", "joint_motion", "frame_summaries",
+       "member_order", "active_subset", "round_robin_sample", "split_budget", "natural_key", "fill_gaps", "resample",
+       "dynamic_features", "pair_features", "imu_features", "leaderboard", "torso_geometry", "pose_normalize",
+       "score_summary", "bone_lengths", "stabilize_pose", "person_track", "grid_pool", "motion_center",
+       "value_histogram", "group_folds")
 
 
 @pytest.fixture(scope="module")
