@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorframe import skew
-from sensorframe.functions.columns import correct_flag, natural_key
+from sensorframe.functions.columns import correct_flag
 from sensorframe.operators.sampling import member_order
 from sensorframe.schema import IMU_DEVICES, MODALITIES, REQUIRED_MODALITIES
 from sensorframe.skew import OrderedGroups

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 from dataclasses import asdict, dataclass
 
@@ -32,9 +31,7 @@ BLOCKS = (
     "depth", "ir", "imu", "skeleton",
     "depth_engineered", "ir_engineered", "imu_engineered", "skeleton_engineered",
 )
-DEFAULT_BLOCKS = tuple(b for b in BLOCKS if b != "ir")
 PCA_COMPONENTS = {"depth": 64, "ir": 64, "imu": 128, "skeleton": 128}
-IMAGE_SUFFIXES = ("jpg", "jpeg", "png")
 
 # Human3.6M joint order.
 JOINTS = (
@@ -106,9 +103,6 @@ class FeatureConfig:
     def to_json(self) -> str:
         return json.dumps(asdict(self), sort_keys=True)
 
-    def digest(self) -> str:
-        return hashlib.sha256(self.to_json().encode()).hexdigest()
-
     @property
     def signal_size(self) -> int:
         return 10 + 2 * self.temporal_bins
@@ -141,22 +135,6 @@ class FeatureConfig:
         }[block]
 
 
-PARSED_MEMBER = T.StructType(
-    [
-        T.StructField("split", T.StringType()),
-        T.StructField("clip_id", T.StringType()),
-        T.StructField("modality", T.StringType()),
-        T.StructField("member_path", T.StringType()),
-        T.StructField("size", T.LongType()),
-        T.StructField("action_id", T.IntegerType()),
-        T.StructField("action_name", T.StringType()),
-        T.StructField("user", T.StringType()),
-        T.StructField("trial", T.StringType()),
-        T.StructField("timestamp", T.StringType()),
-        T.StructField("frame_index", T.LongType()),
-    ]
-)
-
 PEOPLE = T.ArrayType(
     T.StructType(
         [

@@ -420,9 +420,6 @@ def test_index(rows: DataFrame) -> DataFrame:
     return rows.withColumn("clip_id", path_tail(F.col("path")))
 
 
-_REPORT_TEXT = "path string, value string"
-
-
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
     """One row per validation report with its folder name; unreadable files carry an error."""
     from pyspark.errors import AnalysisException
