@@ -24,6 +24,8 @@ gives an empty result; further columns are passed over.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,32 +55,34 @@ def line_table(numbered: DataFrame) -> DataFrame:
         "doc", "id", "at", F.col("part.line_number").alias("line_number"), F.xxhash64("part.line").alias("key"))
 
 
-def doubled_ranks(lines: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """All suffixes (doc, id, at, rank), and per doubling those (doc, at, rank) that share its width with others."""
+def doubled_ranks(lines: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """All suffixes (doc, id, at, rank), the stored rounds they are in, and per doubling those that share its width with others."""
     last = lines.groupBy("doc").agg(F.max("at").alias("last"))
     keys = running(lines.groupBy("key").agg(F.count(F.lit(1)).alias("n")), ["key"], "n", "rank")
-    every = stored(lines.join(keys, "key").join(last, "doc").select("doc", "id", "at", "last", (F.col("rank") + 1).alias("rank"), "n"), "suffixes")
+    active = stored(lines.join(keys, "key").join(last, "doc").select("doc", "id", "at", "last", (F.col("rank") + 1).alias("rank"), "n"), "suffixes")
     dropped(keys)
-    levels, width = [], 1
+    rounds, levels, width = [active], [], 1
     while True:
-        # suffixes as wide as the doubling, in company
-        level = stored(every.filter(f"n > 1 and at + {width} - 1 <= last").select("doc", "at", "rank"), "level")
-        active = every.filter("n > 1")
+        # suffixes that still share their rank, and of those the ones as wide as the doubling
+        active = rounds[-1].filter("n > 1")
+        level = stored(active.filter(f"at + {width} - 1 <= last").select("doc", "at", "rank"), "level")
         if level.isEmpty():
             dropped(level)
-            return every, levels
+            return reduce(DataFrame.unionByName, [r.filter("n <= 1") for r in rounds] + [active]), rounds, levels
         levels.append(level)
-        ahead = every.select("doc", (F.col("at") - width).alias("at"), F.col("rank").alias("next"))
-        pairs = stored(active.join(ahead, ["doc", "at"], "left").select("doc", "at", "rank", F.coalesce("next", F.lit(0)).alias("next")), "pairs")
+        # ranks of settled suffixes stay as they are, and only documents with a suffix in play are looked up
+        known = reduce(DataFrame.unionByName, [r.filter("n <= 1") for r in rounds] + [active])
+        ahead = known.join(active.select("doc").distinct(), "doc", "left_semi").select("doc", (F.col("at") - width).alias("at"), F.col("rank").alias("next"))
+        pairs = stored(active.join(ahead, ["doc", "at"], "left").select(
+            "doc", "id", "at", "last", "rank", F.coalesce("next", F.lit(0)).alias("next")), "pairs")
         counted = running(pairs.groupBy("rank", "next").agg(F.count(F.lit(1)).alias("n")), ["rank", "next"], "n", "sum")
         group = counted.groupBy("rank").agg(F.min("sum").alias("base"))
         # a pair with next = 0 has ended: its suffixes are equal, which n = 0 marks as settled
-        wider = counted.join(group, "rank").select("rank", "next", (F.col("rank") + F.col("sum") - F.col("base")).alias("new"), F.when(F.col("next") > 0, F.col("n")).otherwise(0).alias("m"))
-        moved = pairs.join(wider, ["rank", "next"]).select("doc", "at", "new", "m")
-        after = stored(every.join(moved, ["doc", "at"], "left").select(
-            "doc", "id", "at", "last", F.coalesce("new", "rank").alias("rank"), F.coalesce("m", F.when(F.col("n") > 1, 0).otherwise(F.col("n"))).alias("n")), "suffixes")
-        dropped(every, pairs, counted)
-        every, width = after, 2 * width
+        wider = counted.join(group, "rank").select(
+            "rank", "next", (F.col("rank") + F.col("sum") - F.col("base")).alias("new"), F.when(F.col("next") > 0, F.col("n")).otherwise(0).alias("n"))
+        rounds.append(stored(pairs.join(wider, ["rank", "next"]).select("doc", "id", "at", "last", F.col("new").alias("rank"), "n"), "suffixes"))
+        dropped(pairs, counted)
+        width *= 2
 
 
 def common_prefixes(every: DataFrame, levels: list[DataFrame], min_lines: int) -> DataFrame:
@@ -101,7 +105,7 @@ def common_prefixes(every: DataFrame, levels: list[DataFrame], min_lines: int) -
 
 def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     """(doc, at) where a run of ``min_lines`` or more lines begins that an earlier place has as well."""
-    every, levels = doubled_ranks(lines)
+    every, rounds, levels = doubled_ranks(lines)
     if not levels:
         return lines.select("doc", "at").limit(0)
     array = common_prefixes(every, levels, min_lines)
@@ -111,7 +115,7 @@ def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     earliest = intervals.groupBy("interval").agg(F.min(F.struct("id", "doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = intervals.join(earliest, "interval").filter("doc != first.doc or at != first.at").select("doc", "at")
     found = stored(copies, "copies")
-    dropped(every, intervals, *levels)
+    dropped(intervals, *rounds, *levels)
     return found
 
 

@@ -41,7 +41,7 @@ def test_prefixes_are_those_of_a_suffix_array(table):
     rng = random.Random(9)
     rows = [(i, "\n".join(rng.choice("abc") for _ in range(rng.choice([3, 9, 20])))) for i in range(25)]
     lines = r.stored(r.line_table(table([(i, t, "s") for i, t in rows]).selectExpr("doc_id as id", "text", "doc_id as doc")).drop("line_number"))
-    every, levels = r.doubled_ranks(lines)
+    every, _, levels = r.doubled_ranks(lines)
     array = sorted(r.common_prefixes(every, levels, 2).collect(), key=lambda x: x.place)
     texts = {i: t.split("\n") for i, t in rows}
     suffix = lambda x: texts[x.doc][x.at :]
