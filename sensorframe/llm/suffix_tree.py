@@ -32,6 +32,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,13 +105,18 @@ def _blocks(docs: DataFrame, id_column: str, text_column: str, folds: int) -> Da
             bounds = words.bounds + np.arange(len(words.bounds))
             codes = np.insert(words.codes.astype(np.int32), words.bounds[1:], len(words.vocabulary)).astype("<i4")
             hashes = np.append(word_hashes(words.vocabulary), END)
+            # frequent words get small codes, which squeeze well
+            often = np.argsort(-np.bincount(codes, minlength=len(hashes)), kind="stable")
+            place = np.empty(len(hashes), "<i4")
+            place[often] = np.arange(len(hashes), dtype="<i4")
+            codes, hashes = place[codes], hashes[often]
             row = {
                 "block": pa.array([block]),
                 "ids": pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), piece.column("id")),
-                "folds": pa.array([piece.column("fold").to_numpy().astype("<i4").tobytes()], pa.binary()),
-                "bounds": pa.array([bounds.astype("<i8").tobytes()], pa.binary()),
-                "hashes": pa.array([hashes.tobytes()], pa.binary()),
-                "codes": pa.array([codes.tobytes()], pa.binary()),
+                "folds": pa.array([_squeezed(piece.column("fold").to_numpy().astype("<i4"))], pa.binary()),
+                "bounds": pa.array([_squeezed(bounds.astype("<i8"))], pa.binary()),
+                "hashes": pa.array([_squeezed(hashes)], pa.binary()),
+                "codes": pa.array([_squeezed(codes)], pa.binary()),
             }
             yield pa.RecordBatch.from_arrays(list(row.values()), list(row))
             block += 1
@@ -123,14 +129,28 @@ def _blocks(docs: DataFrame, id_column: str, text_column: str, folds: int) -> Da
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token hashes, each token's document's first place, document bounds and folds."""
-    bounds, folds = np.frombuffer(row["bounds"], "<i8"), np.frombuffer(row["folds"], "<i4")
-    hashes = np.frombuffer(row["hashes"], np.uint64)[np.frombuffer(row["codes"], "<i4")]
+    bounds, folds = _loose(row["bounds"], "<i8"), _loose(row["folds"], "<i4")
+    hashes = _loose(row["hashes"], "<u8")[_loose(row["codes"], "<i4")]
     return hashes, np.repeat(bounds[:-1], np.diff(bounds)), bounds, folds
 
 
 _BLOCK_COLUMNS = ["block", "folds", "bounds", "hashes", "codes"]
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, first bytes of all first; ascending keys as differences, whose last bytes are zero."""
+    if values.dtype == np.uint64 and len(values):
+        values = np.diff(values, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b"")
+
+
+def _loose(squeezed: object, kind: str) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(squeezed if isinstance(squeezed, bytes) else squeezed.as_buffer()), np.uint8)
+    kind = np.dtype(kind)
+    values = np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(values, dtype=np.uint64) if kind == np.uint64 else values
+
+
 def _packed(by: np.ndarray, shards: int, columns: dict[str, np.ndarray], **fixed: object) -> Iterator[pa.RecordBatch]:
     """One row per shard that has entries: its entries of each column as bytes."""
     shard = (mixed(by) % np.uint64(shards)).astype(np.int64)
@@ -140,12 +160,12 @@ def _packed(by: np.ndarray, shards: int, columns: dict[str, np.ndarray], **fixed
     columns = {name: values[order] for name, values in columns.items()}
     rows = {"shard": pa.array(filled.astype(np.int64))}
     rows |= {name: pa.array([value] * len(filled)) for name, value in fixed.items()}
-    rows |= {name: pa.array([values[edges[s] : edges[s + 1]].tobytes() for s in filled], pa.binary()) for name, values in columns.items()}
+    rows |= {name: pa.array([_squeezed(values[edges[s] : edges[s + 1]]) for s in filled], pa.binary()) for name, values in columns.items()}
     yield pa.RecordBatch.from_arrays(list(rows.values()), list(rows))
 
 
 def _joined(table: pa.Table, column: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+    return np.concatenate([np.zeros(0, kind), *[_loose(x, kind) for x in table.column(column)]])
 
 
 def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -194,7 +214,7 @@ def _counted(blocks: DataFrame, levels: list[Level], shards: int) -> DataFrame:
             "number": number[held].astype("<i4"), "word": word[held], "times": times[held], "context": context.astype("<i4"),
             "total": total, "once": once, "twice": twice,
         }
-        return pa.table({"shard": table.column("shard").slice(0, 1)} | {name: pa.array([v.tobytes()], pa.binary()) for name, v in values.items()})
+        return pa.table({"shard": table.column("shard").slice(0, 1)} | {name: pa.array([_squeezed(v)], pa.binary()) for name, v in values.items()})
 
     packed = blocks.select(*_BLOCK_COLUMNS).mapInArrow(count, "shard long, number binary, word binary, times binary")
     fields = ("number", "word", "times", "context", "total", "once", "twice")
@@ -207,7 +227,7 @@ def _context_sums(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray,
         for batch in batches:
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(row["context"], "<i4")), *[pa.array(np.frombuffer(row[c], "<i8")) for c in ("total", "once", "twice")]],
+                    [pa.array(_loose(row["context"], "<i4")), *[pa.array(_loose(row[c], "<i8")) for c in ("total", "once", "twice")]],
                     ["context", "total", "once", "twice"])
 
     sums = counts.select("context", "total", "once", "twice").mapInArrow(unpack, "context int, total long, once long, twice long")
@@ -224,9 +244,9 @@ def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                word = np.frombuffer(row["word"], "<u8")
-                held = (np.frombuffer(row["times"], "<i8") >= least) & (word != END)
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["number"], "<i4")[held]), pa.array(word[held].view(np.int64))], ["number", "word"])
+                word = _loose(row["word"], "<u8")
+                held = (_loose(row["times"], "<i8") >= least) & (word != END)
+                yield pa.RecordBatch.from_arrays([pa.array(_loose(row["number"], "<i4")[held]), pa.array(word[held].view(np.int64))], ["number", "word"])
 
     table = counts.select("number", "word", "times").mapInArrow(pick, "number int, word long").toArrow()
     return table.column("number").to_numpy().astype(np.int64), table.column("word").to_numpy().view(np.uint64)
@@ -256,8 +276,8 @@ def _by_word(counts: list[DataFrame], shards: int) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    word = np.frombuffer(row["word"], "<u8")
-                    yield from _packed(word, shards, {"number": np.frombuffer(row["number"], "<i4"), "word": word, "times": np.frombuffer(row["times"], "<i8")}, depth=depth)
+                    word = _loose(row["word"], "<u8")
+                    yield from _packed(word, shards, {"number": _loose(row["number"], "<i4"), "word": word, "times": _loose(row["times"], "<i8")}, depth=depth)
 
         return run
 
@@ -326,8 +346,8 @@ def _model(followers: DataFrame, levels: list[Level], tokens: int, types: int, s
     def weigh(table: pa.Table) -> pa.Table:
         known = shared.value
         own = _followers(table, len(known))
-        keys, values = [own[0][0]], [(own[0][3] + ADDED) / (tokens + ADDED * (types + 1))]
-        chance = values[0]
+        keys, values = [own[0][0]], [own[0][3].astype(np.float64)]  # the root's are counts
+        chance = (own[0][3] + ADDED) / (tokens + ADDED * (types + 1))
         above = own[0][0]
         for d, level in enumerate(known, 1):
             key, number, word, times = own[d]
@@ -339,7 +359,8 @@ def _model(followers: DataFrame, levels: list[Level], tokens: int, types: int, s
             keys.append(key)
             values.append(chance)
         key = np.concatenate(keys)
-        return pa.Table.from_batches(_packed(key, shards, {"keys": key, "values": np.concatenate(values)}))
+        order = np.argsort(key)
+        return pa.Table.from_batches(_packed(key[order], shards, {"keys": key[order], "values": np.concatenate(values)[order]}))
 
     return followers.groupBy("shard").applyInArrow(weigh, "shard long, keys binary, values binary")
 
@@ -375,7 +396,7 @@ def suffix_tree_scores(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(x.as_buffer()) // 8 for x in batch.column("word")], pa.int64())], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([len(_loose(x, "<u8")) for x in batch.column("word")], pa.int64())], ["n"])
 
     types = int(roots.select("word").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0)
     levels: list[Level] = []
@@ -406,21 +427,25 @@ def suffix_tree_scores(docs: DataFrame, id_column: str = "doc_id", text_column:
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         keys, values = _joined(known, "keys", "<u8"), _joined(known, "values", "<f8")
         order = np.argsort(keys)
-        keys, values = keys[order], np.append(values[order], 0.0)
-        found = [values[_find(keys, np.frombuffer(x.as_buffer(), "<u8"))].tobytes() for x in asked.column("keys")]
-        return pa.table({"block": asked.column("block"), "keys": asked.column("keys"), "values": pa.array(found, pa.binary())})
+        keys, values = keys[order], values[order]
+        # which of the asked keys are known, and the values of those only
+        found = [_find(keys, _loose(x, "<u8")) for x in asked.column("keys")]
+        known_ = pa.array([_squeezed(np.packbits(f >= 0)) for f in found], pa.binary())
+        return pa.table({"block": asked.column("block"), "part": asked.column("shard"), "known": known_, "values": pa.array([_squeezed(values[f[f >= 0]]) for f in found], pa.binary())})
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
         known = shared.value
         row = {name: block.column(name)[0] for name in block.column_names}
         hashes, begins, bounds, folds_ = _opened({n: row[n].as_py() for n in ("folds", "bounds", "hashes", "codes")})
-        keys, values = _joined(answers, "keys", "<u8"), _joined(answers, "values", "<f8")
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
         states = _states(hashes, begins, known)
         asked = _asked(hashes, states)
+        keys = np.unique(np.concatenate(asked))
+        values, shard = np.zeros(len(keys)), mixed(keys) % np.uint64(shards)
+        for part, known_, found in zip(answers.column("part").to_pylist(), answers.column("known"), answers.column("values")):
+            own = np.flatnonzero(shard == np.uint64(part))
+            values[own[np.unpackbits(_loose(known_, "u1"), count=len(own)).astype(bool)]] = _loose(found, "<f8")
         root = values[np.searchsorted(keys, asked[0])]
-        base = np.where(root > 0, root, ADDED / (tokens + ADDED * (types + 1)) if tokens else 1.0)
+        base = (root + ADDED) / (tokens + ADDED * (types + 1)) if tokens else np.ones(len(root))
         chance = base
         for level, number, key in zip(known, states, asked[1:]):
             own = values[np.searchsorted(keys, key)]
@@ -433,7 +458,7 @@ def suffix_tree_scores(docs: DataFrame, id_column: str = "doc_id", text_column:
             "train_tokens": pa.array(np.full(len(folds_), tokens)), "base_score": pa.array(base), "score": pa.array(chance), "n_deep": pa.array(deep.astype(np.int64))})
 
     requests = blocks.select(*_BLOCK_COLUMNS).mapInArrow(ask, "shard long, block long, keys binary")
-    answers = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, "block long, keys binary, values binary")
+    answers = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, "block long, part long, known binary, values binary")
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
     fields = f"id {kind}, fold int, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_deep long"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, fields).withColumnRenamed("id", id_column)
