@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorframe.llm.session import stored
+from sensorframe.llm.session import dropped, stored
 from sensorframe.llm.words import LETTERS, chunks, split_words
 
 WINDOW = 10
@@ -307,6 +307,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_column: str = "doc_id",
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents in which no window of any item occurs, with all their columns."""
-    bad = contamination(docs, items, id_column, text_column).filter("n_hit > 0").select(F.col(id_column).alias("_id"), F.col("key").alias("_key")).distinct()
+    index = build_index(docs, id_column, text_column)
+    found = find_phrases(index, items).filter(F.size("spans") > 0)
+    bad = stored(found.select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct(), "contaminated")
+    dropped(index)  # as large as the documents
     same = docs[id_column].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_column].cast("string")) == bad["_key"])
     return docs.join(bad, same, "left_anti")
