@@ -1,21 +1,25 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-**Tree.** A context is the last 1 to ``DEPTH`` tokens. Candidates are contexts that occur before at least
-``P_MIN`` of all training tokens, so there are at most 1 / P_MIN of them at each depth whatever the corpus
-size. A candidate is retained if what follows it diverges from what follows its suffix (the context
-without its oldest token): the gain of its followers' likelihood over the suffix's has to exceed half the
-logarithm of the corpus for each follower, the usual price of a parameter. Followers seen once count
-together as one. Suffixes of retained contexts are retained.
+**Tree.** A context is the last 1 to ``DEPTH`` tokens. Candidates are contexts that occur at least ``LEAST`` times
+before a token of the training documents, at every corpus size, so their number grows with the corpus. A
+candidate is retained if what follows it diverges from what follows its suffix (the context without its
+oldest token): the gain of its followers' likelihood over the suffix's has to exceed half the logarithm of
+the corpus for each follower, the usual price of a parameter. Followers seen once count together as one.
+Suffixes of retained contexts are retained.
 
 **Smoothing.** P(w | s) = (c - D) / n for followers seen twice or more, plus the mass left over times
 P(w | suffix of s), down to the root (c + 0.1) / (N + 0.1 (V + 1)). Every distribution sums to one.
 
 **Score.** Each token is scored from the longest retained suffix of the tokens before it.
 
-**How it runs.** Documents become stored blocks of bounded size with their tokens as codes. Counts, the
-divergence test, the model and the lookups are shuffles of packed arrays, cut into shards by hash; the
-number of shards follows the number of blocks, so each holds about as much as two blocks. The driver and
-broadcasts hold candidate contexts only. Words are told apart by a 64-bit hash.
+**How it runs.** Documents become stored blocks of bounded size with their tokens as codes. A context of d
+tokens and a follower after d - 1 are both word sequences, so one count of all sequences of 1 to ``DEPTH`` + 1
+tokens gives context totals and followers alike. Blocks send their sequences' hashes with their own counts to
+shards by hash, and the shard adds up and answers each block. Lengths are counted one after the other, without
+sequences that are sure to be seen once or to follow a context that cannot pass the test. From the answers a
+block has the divergence terms of its own share of every follower; they are added by context in shards. Retained contexts are a stored
+table that blocks look up by shuffled key. The number of shards follows the number of blocks; nothing but the
+corpus size and the vocabulary size reaches the driver. Sequences are told apart by 61 bits of a hash.
 
 Results for odd input: a null or empty text is the end token alone; null ids are in fold 0, which is not
 trained on; without training rows all counts are 0 and every token has probability 1 / (V + 1) = 1; equal
@@ -42,23 +46,14 @@ from sensorframe.llm.session import dropped, stored
 from sensorframe.llm.words import FOLDED, chunks, mixed, split_words, word_hashes
 
 DEPTH = 3
-P_MIN = 5e-6
+#: Occurrences of a candidate context; a context seen once never passes the divergence test.
+LEAST = 2
 DISCOUNT = 0.5
 ADDED = 0.1
 FOLDS = 10
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-class Level(NamedTuple):
-    """Candidate contexts of one depth, by ascending key."""
-
-    keys: np.ndarray
-    words: np.ndarray  # contexts x depth, the latest token first
-    parent: np.ndarray  # number of the suffix one level up
-    total: np.ndarray  # tokens that follow
-    spare: np.ndarray  # mass left to the suffix
-    retained: np.ndarray
+_LENGTH_BITS = 3
 
 
 # ---------------------------------------------------------------- keys
@@ -71,28 +66,33 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _longer(word: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Key of the context that has one more token before context ``number``."""
-    return mixed(word + (number + 1).astype(np.uint64) * _STEP)
+def _sequences(hashes: np.ndarray, begins: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For each length, the key of the tokens up to each place, 0 where the document has fewer; the low bits tell the length."""
+    place, words = np.arange(len(hashes)) - begins, mixed(hashes)
+    total, out = np.zeros(len(hashes), np.uint64), []
+    for n in range(1, longest + 1):
+        total[n - 1 :] += words[: len(words) - n + 1] * (mixed(np.array([n], np.uint64) * _STEP) | np.uint64(1))
+        key = (mixed(total + np.uint64(n)) >> np.uint64(_LENGTH_BITS) << np.uint64(_LENGTH_BITS)) | np.uint64(n)
+        out.append(np.where(place >= n - 1, key, np.uint64(0)))
+    return out
 
 
-def _pair(depth: int, number: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Key of a follower of a context; depth 0 is the root, which has number 0."""
-    return mixed(word ^ mixed((number + 1).astype(np.uint64) * _STEP + np.uint64(depth)))
+def _before(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Each place's value of the place before it in its document, 0 at the first."""
+    out = np.zeros_like(values)
+    out[1:] = values[:-1]
+    out[np.arange(len(values)) == begins] = 0
+    return out
 
 
-def _contexts(hashes: np.ndarray, begins: np.ndarray, levels: list[Level]) -> list[np.ndarray]:
-    """For each depth, the number of the context before each token, -1 where it is no candidate."""
-    n = len(hashes)
-    place = np.arange(n) - begins
-    found: list[np.ndarray] = []
-    for depth, level in enumerate(levels, 1):
-        at = np.flatnonzero(place >= depth) if depth == 1 else np.flatnonzero((found[-1] >= 0) & (place >= depth))
-        before = hashes[at - depth]
-        number = np.full(n, -1, np.int64)
-        number[at] = _find(level.keys, before if depth == 1 else _longer(before, found[-1][at]))
-        found.append(number)
-    return found
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys, and the place of each key among them."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+    place = np.empty(len(keys), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return ordered[new], place
 
 
 # ---------------------------------------------------------------- blocks and shards
@@ -159,7 +159,7 @@ def _packed(by: np.ndarray, shards: int, columns: dict[str, np.ndarray], **fixed
     filled = np.flatnonzero(np.diff(edges))
     columns = {name: values[order] for name, values in columns.items()}
     rows = {"shard": pa.array(filled.astype(np.int64))}
-    rows |= {name: pa.array([value] * len(filled)) for name, value in fixed.items()}
+    rows |= {name: pa.array([value] * len(filled), pa.int64()) for name, value in fixed.items()}
     rows |= {name: pa.array([_squeezed(values[edges[s] : edges[s + 1]]) for s in filled], pa.binary()) for name, values in columns.items()}
     yield pa.RecordBatch.from_arrays(list(rows.values()), list(rows))
 
@@ -168,14 +168,6 @@ def _joined(table: pa.Table, column: str, kind: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *[_loose(x, kind) for x in table.column(column)]])
 
 
-def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Ascending distinct keys, one place of each, and the sums of the values."""
-    order = np.argsort(keys, kind="stable")
-    ordered = keys[order]
-    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return ordered[first], order[first], [np.add.reduceat(v[order], first) if len(first) else v for v in values]
-
-
 def _released(spark) -> None:
     """Let Spark delete shuffle files of finished steps; what they made is stored."""
     gc.collect()
@@ -184,281 +176,253 @@ def _released(spark) -> None:
 
 # ---------------------------------------------------------------- counts
 
-def _counted(blocks: DataFrame, levels: list[Level], shards: int) -> DataFrame:
-    """Followers of the deepest level's contexts in training documents: packed numbers, words, counts and context sums.
+class Tree(NamedTuple):
+    """What every task has to know."""
+
+    tokens: int  # of the training documents
+    least: float  # occurrences of a candidate
+    shards: int
+
 
-    Without levels these are the counts of the words themselves, at the root.
+def _answered(answers: pa.Table, length: int, kind: str, keys: np.ndarray, shards: int) -> np.ndarray:
+    """Values of a block's ascending distinct keys from the shards' answers for this length."""
+    answers = answers.filter(pa.array(answers.column("length").to_numpy() == length))
+    values, shard = np.zeros(len(keys), kind), (mixed(keys) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    for part, found in zip(answers.column("part").to_pylist(), answers.column("values")):
+        values[order[edges[part] : edges[part + 1]]] = _loose(found, kind)
+    return values
+
+
+def _open_places(times: list[np.ndarray], begins: np.ndarray, tree: Tree) -> np.ndarray:
+    """Places whose context of len(times) tokens may be retained, from the counts of the sequences up to each place.
+
+    A context's gain is at most its total times log(suffix's total / 2), as a follower seen twice is seen as often behind
+    the suffix. Contexts for which that is below the least price cannot be retained, and neither can a longer one.
     """
-    shared = blocks.sparkSession.sparkContext.broadcast(levels)
-    depth = len(levels)
+    total = _before(times[-1], begins)
+    above = _before(times[-2], begins) if len(times) > 1 else np.full(len(total), tree.tokens)
+    at = np.flatnonzero(total >= tree.least)
+    return at[total[at] * np.log(np.maximum(above[at], 2) / 2) > math.log(max(tree.tokens, 2)) - 1e-6]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                hashes, begins, bounds, folds = _opened(row)
-                use = np.repeat(folds != 0, np.diff(bounds))
-                number = _contexts(hashes, begins, shared.value)[-1] if depth else np.zeros(len(hashes), np.int64)
-                use &= number >= 0
-                word, number = hashes[use], number[use]
-                keys, at, (times,) = _summed(_pair(depth, number, word), np.ones(len(word), np.int64))
-                yield from _packed(keys, shards, {"number": number[at].astype("<i4"), "word": word[at], "times": times.astype("<i8" if not depth else "<i4")})
-
-    def add(table: pa.Table) -> pa.Table:
-        number, word = _joined(table, "number", "<i4").astype(np.int64), _joined(table, "word", "<u8")
-        times = _joined(table, "times", "<i8" if not depth else "<i4").astype(np.int64)
-        _, at, (times,) = _summed(_pair(depth, number, word), times)
-        number, word = number[at], word[at]
-        context, _, (total, once, twice) = _summed(number.astype(np.uint64), times, (times == 1).astype(np.int64), (times > 1).astype(np.int64))
-        held = times > (1 if depth else 0)
-        values = {
-            "number": number[held].astype("<i4"), "word": word[held], "times": times[held], "context": context.astype("<i4"),
-            "total": total, "once": once, "twice": twice,
-        }
-        return pa.table({"shard": table.column("shard").slice(0, 1)} | {name: pa.array([_squeezed(v)], pa.binary()) for name, v in values.items()})
-
-    packed = blocks.select(*_BLOCK_COLUMNS).mapInArrow(count, "shard long, number binary, word binary, times binary")
-    fields = ("number", "word", "times", "context", "total", "once", "twice")
-    return stored(packed.groupBy("shard").applyInArrow(add, "shard long, " + ", ".join(f"{f} binary" for f in fields)), f"counts-{depth}")
-
-
-def _context_sums(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Followers in all, followers seen once, and distinct ones seen more often, of each context: at most one row a candidate."""
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_loose(row["context"], "<i4")), *[pa.array(_loose(row[c], "<i8")) for c in ("total", "once", "twice")]],
-                    ["context", "total", "once", "twice"])
-
-    sums = counts.select("context", "total", "once", "twice").mapInArrow(unpack, "context int, total long, once long, twice long")
-    table = sums.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("total", "once", "twice")]).toArrow()
-    out = tuple(np.zeros(size, np.int64) for _ in range(3))
-    at = table.column("context").to_numpy()
-    for values, name in zip(out, ("total", "once", "twice")):
-        values[at] = table.column(name).to_numpy()
-    return out
 
+def _counted_places(keys: np.ndarray, times: list[np.ndarray], begins: np.ndarray, tree: Tree) -> np.ndarray:
+    """Places whose sequence of one token more than counted so far has to be counted: the others are seen once or decide nothing."""
+    if not times:
+        return np.arange(len(keys))
+    at = _open_places(times, begins, tree)
+    return at[(times[-1][at] > 1) & (keys[at] != 0)]
 
-def _frequent(counts: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(context number, word) of followers that are frequent enough to end a candidate: at most 1 / P_MIN rows."""
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                word = _loose(row["word"], "<u8")
-                held = (_loose(row["times"], "<i8") >= least) & (word != END)
-                yield pa.RecordBatch.from_arrays([pa.array(_loose(row["number"], "<i4")[held]), pa.array(word[held].view(np.int64))], ["number", "word"])
-
-    table = counts.select("number", "word", "times").mapInArrow(pick, "number int, word long").toArrow()
-    return table.column("number").to_numpy().astype(np.int64), table.column("word").to_numpy().view(np.uint64)
-
-
-def _level(levels: list[Level], number: np.ndarray, word: np.ndarray) -> Level:
-    """The candidates (context of the last level, word behind it) as contexts one token deeper."""
-    depth = len(levels) + 1
-    words = word[:, None] if depth == 1 else np.concatenate([word[:, None], levels[-1].words[number]], axis=1)
-    parent = np.zeros(len(words), np.int64)
-    for k, level in enumerate(levels):  # down from the root: the suffix has all tokens but the oldest
-        found = _find(level.keys, words[:, 0] if k == 0 else _longer(words[:, k], parent))
-        parent = found
-    known = parent >= 0
-    words, parent = words[known], parent[known]
-    keys = words[:, 0] if depth == 1 else _longer(words[:, -1], parent)
-    order = np.argsort(keys)
-    zero = np.zeros(len(order))
-    return Level(keys[order], words[order], parent[order], zero, zero, zero > 1)
 
+def _times(keys: list[np.ndarray], begins: np.ndarray, answers: pa.Table, tree: Tree) -> list[np.ndarray]:
+    """For each length the training count of the sequence up to each place, 0 where it is seen once or decides nothing."""
+    times: list[np.ndarray] = []
+    for n, key in enumerate(keys, 1):
+        at = _counted_places(key, times, begins, tree)
+        distinct, place = _distinct(key[at])
+        own = np.zeros(len(key), np.int64)
+        own[at] = _answered(answers, n, "<i8", distinct, tree.shards)[place]
+        times.append(own)
+    return times
 
-# ---------------------------------------------------------------- divergence and model
 
-def _by_word(counts: list[DataFrame], shards: int) -> DataFrame:
-    """All followers of all depths, those of one word in one shard: a word has one row a candidate at most."""
-    def deal(depth: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    word = _loose(row["word"], "<u8")
-                    yield from _packed(word, shards, {"number": _loose(row["number"], "<i4"), "word": word, "times": _loose(row["times"], "<i8")}, depth=depth)
+def _row(block: pa.Table) -> dict:
+    return {name: block.column(name)[0].as_py() for name in ("block", "folds", "bounds", "hashes", "codes")}
 
-        return run
 
-    every = None
-    for depth, table in enumerate(counts):
-        dealt = table.select("number", "word", "times").mapInArrow(deal(depth), "shard long, depth long, number binary, word binary, times binary")
-        every = dealt if every is None else every.union(dealt)
-    return every
-
-
-def _followers(table: pa.Table, depths: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each depth the ascending pair keys, numbers, words and counts in a shard."""
-    depth = table.column("depth").to_numpy()
-    out = []
-    for d in range(depths + 1):
-        part = table.filter(pa.array(depth == d))
-        number, word, times = _joined(part, "number", "<i4").astype(np.int64), _joined(part, "word", "<u8"), _joined(part, "times", "<i8")
-        keys = _pair(d, number, word)
-        order = np.argsort(keys)
-        out.append((keys[order], number[order], word[order], times[order]))
-    return out
+_ANSWER = "block long, part long, length long, values binary"
 
 
-def _tested(followers: DataFrame, levels: list[Level], tokens: int, once: list[np.ndarray], twice: list[np.ndarray]) -> list[Level]:
-    """Levels with their retained contexts marked."""
-    shared = followers.sparkSession.sparkContext.broadcast(levels)
-
-    def gains(table: pa.Table) -> pa.Table:
-        known = shared.value
-        own = _followers(table, len(known))
-        rows = []
-        for d, level in enumerate(known, 1):
-            _, number, word, times = own[d]
-            parent = level.parent[number] if d > 1 else np.zeros(len(number), np.int64)
-            above = own[d - 1][3][np.searchsorted(own[d - 1][0], _pair(d - 1, parent, word))]
-            share = above / (known[d - 2].total[parent] if d > 1 else tokens)
-            gain = times * np.log(times / level.total[number] / share)
-            context, _, (gain, share) = _summed(number.astype(np.uint64), gain, share)
-            rows.append((np.full(len(context), d), context.astype(np.int64), gain, share))
-        columns = [np.concatenate([r[i] for r in rows]) for i in range(4)]
-        return pa.table([pa.array(columns[0].astype(np.int64)), *map(pa.array, columns[1:])], names=["depth", "number", "gain", "share"])
-
-    sums = followers.groupBy("shard").applyInArrow(gains, "depth long, number long, gain double, share double")
-    table = sums.groupBy("depth", "number").agg(F.sum("gain").alias("gain"), F.sum("share").alias("share")).toArrow()
-    depth = table.column("depth").to_numpy()
-    price = 0.5 * math.log(max(tokens, 2))
-    out = []
-    for d, level in enumerate(levels, 1):
-        gain, share = np.zeros(len(level.keys)), np.zeros(len(level.keys))
-        at = table.column("number").to_numpy()[depth == d]
-        gain[at], share[at] = table.column("gain").to_numpy()[depth == d], table.column("share").to_numpy()[depth == d]
-        alone = once[d - 1] > 0
-        rest = np.log(np.where(alone, once[d - 1], 1) / np.maximum(level.total, 1)) - np.log(np.maximum(1 - share, 1e-12))
-        gain = gain + np.where(alone, once[d - 1] * rest, 0)
-        spare = (once[d - 1] + DISCOUNT * twice[d - 1]) / np.maximum(level.total, 1)
-        out.append(level._replace(spare=spare, retained=gain > price * (twice[d - 1] + 1)))
-    for d in range(len(out) - 1, 0, -1):  # a retained context keeps its suffix
-        out[d - 1].retained[out[d].parent[out[d].retained]] = True
-    return out
+def _counted(blocks: DataFrame, longest: int, tree: Tree) -> tuple[DataFrame, int]:
+    """Answers to all blocks with the counts of their sequences, and the number of distinct training tokens.
 
+    Lengths are counted one after the other, each for the places that the shorter ones leave open.
+    """
+    def requests(row: dict, answers: pa.Table | None, n: int) -> Iterator[pa.RecordBatch]:
+        hashes, begins, bounds, folds = _opened(row)
+        keys = _sequences(hashes, begins, n)
+        at = _counted_places(keys[-1], _times(keys[:-1], begins, answers, tree) if n > 1 else [], begins, tree)
+        distinct, place = _distinct(keys[-1][at])
+        times = np.bincount(place, np.repeat(folds != 0, np.diff(bounds))[at], len(distinct)).astype("<i4")
+        yield from _packed(distinct, tree.shards, {"keys": distinct, "times": times}, block=row["block"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                yield from requests(row, None, 1)
+
+    def later(n: int):
+        return lambda block, answers: pa.Table.from_batches(requests(_row(block), answers, n))
+
+    def add(n: int):
+        def run(table: pa.Table) -> pa.Table:
+            asked = [_loose(x, "<u8") for x in table.column("keys")]
+            keys, place = _distinct(np.concatenate(asked))
+            total = np.bincount(place, _joined(table, "times", "<i4"), len(keys)).astype("<i8")
+            types = int((total > 0).sum())
+            total[total < (1 if n == 1 else 2)] = 0
+            answers = np.split(total[place], np.cumsum([len(a) for a in asked])[:-1])
+            return pa.table({
+                "block": table.column("block"), "part": table.column("shard"), "length": pa.array(np.full(len(asked), n)),
+                "values": pa.array([_squeezed(a) for a in answers], pa.binary()), "types": pa.array([types] + [0] * (len(asked) - 1), pa.int64())})
 
-def _model(followers: DataFrame, levels: list[Level], tokens: int, types: int, shards: int) -> DataFrame:
-    """Probabilities of the followers of the root and the retained contexts, in shards by pair key."""
-    shared = followers.sparkSession.sparkContext.broadcast(levels)
-
-    def weigh(table: pa.Table) -> pa.Table:
-        known = shared.value
-        own = _followers(table, len(known))
-        keys, values = [own[0][0]], [own[0][3].astype(np.float64)]  # the root's are counts
-        chance = (own[0][3] + ADDED) / (tokens + ADDED * (types + 1))
-        above = own[0][0]
-        for d, level in enumerate(known, 1):
-            key, number, word, times = own[d]
-            held = level.retained[number]
-            key, number, word, times = key[held], number[held], word[held], times[held]
-            parent = level.parent[number] if d > 1 else np.zeros(len(number), np.int64)
-            chance = (times - DISCOUNT) / level.total[number] + level.spare[number] * chance[np.searchsorted(above, _pair(d - 1, parent, word))]
-            above = key
-            keys.append(key)
-            values.append(chance)
-        key = np.concatenate(keys)
-        order = np.argsort(key)
-        return pa.Table.from_batches(_packed(key[order], shards, {"keys": key[order], "values": np.concatenate(values)[order]}))
-
-    return followers.groupBy("shard").applyInArrow(weigh, "shard long, keys binary, values binary")
+        return run
 
+    asked, fields = blocks.select(*_BLOCK_COLUMNS), "shard long, block long, keys binary, times binary"
+    answers = types = None
+    for n in range(1, longest + 1):
+        wanted = asked.mapInArrow(first, fields) if n == 1 else asked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later(n), fields)
+        found = stored(wanted.groupBy("shard").applyInArrow(add(n), _ANSWER + ", types long"), f"counts-{n}")
+        _released(blocks.sparkSession)
+        own = found.select("block", "part", "length", "values")
+        if n == 1:
+            types = int(found.agg(F.sum("types")).first()[0] or 0)
+        answers = own if answers is None else answers.union(own)
+    return answers, types
 
-# ---------------------------------------------------------------- scoring
 
-def _states(hashes: np.ndarray, begins: np.ndarray, levels: list[Level]) -> list[np.ndarray]:
-    """For each depth, the number of the retained context before each token, -1 where it is not retained."""
-    return [np.where((number >= 0) & (level.retained[number] if len(level.keys) else False), number, -1)
-            for number, level in zip(_contexts(hashes, begins, levels), levels)]
+def _training_tokens(blocks: DataFrame) -> int:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [int(np.diff(_loose(b, "<i8"))[_loose(f, "<i4") != 0].sum()) for b, f in zip(batch.column("bounds"), batch.column("folds"))]
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["n"])
+
+    return int(blocks.select("bounds", "folds").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0)
+
+
+# ---------------------------------------------------------------- divergence
+
+def _levels(row: dict, answers: pa.Table, depth: int, tree: Tree) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple[np.ndarray, ...]]]:
+    """Keys and counts of the sequences up to each place, and for each depth: the open places, and there the context's key, its
+    total, its suffix's total, the follower's count and the follower's count behind the suffix."""
+    hashes, begins, _, _ = _opened(row)
+    keys = _sequences(hashes, begins, depth + 1)
+    times = _times(keys, begins, answers, tree)
+    above, levels = np.full(len(hashes), tree.tokens), []
+    for d in range(1, depth + 1):
+        at = _open_places(times[:d], begins, tree)
+        total = _before(times[d - 1], begins)
+        levels.append((at, keys[d - 1][at - 1], total[at], above[at], times[d][at], times[d - 1][at]))
+        above = total
+    return keys, times, levels
+
+
+def _retained(blocks: DataFrame, answers: DataFrame, depth: int, tree: Tree) -> DataFrame:
+    """(key, spare) of the retained contexts: the share of their mass that is left to the suffix."""
+    price = 0.5 * math.log(max(tree.tokens, 2))
+    names = {"key": "<u8", "suffix": "<u8", "last": "<u8", "total": "<i8", "times": "<i8", "gain": "<f8", "share": "<f8", "twice": "<f8"}
+
+    def terms(block: pa.Table, answers: pa.Table) -> pa.Table:
+        row = _row(block)
+        _, _, bounds, folds = _opened(row)
+        use = np.repeat(folds != 0, np.diff(bounds))
+        sequences, _, levels = _levels(row, answers, depth, tree)
+        found = []
+        for d, (at, key, total, above, times, over) in enumerate(levels, 1):
+            held = use[at] & (times > 1)
+            at, key, total, above, times, over = (x[held] for x in (at, key, total, above, times, over))
+            share = over / above
+            keys, place = _distinct(key)
+            one = np.zeros(len(keys), np.int64)
+            one[place] = np.arange(len(place))
+            # every occurrence of a follower brings its part, so all blocks together bring each follower once
+            sums = [np.bincount(place, x, len(keys)) for x in (np.log(times / total / share), share / times, 1 / times)]
+            zero = np.zeros(len(keys), np.uint64)
+            ups = [sequences[d - 2][at - 1][one] if d > 1 else zero, sequences[0][at - 1][one] if d > 2 else zero]
+            found.append([keys, *ups, total[one], np.bincount(place, minlength=len(keys)), *sums])
+        columns = [np.concatenate([f[i] for f in found]) for i in range(len(names))]
+        return pa.Table.from_batches(_packed(columns[0], tree.shards, {n: c.astype(t) for (n, t), c in zip(names.items(), columns)}))
+
+    def test(table: pa.Table) -> pa.Table:
+        columns = {name: _joined(table, name, kind) for name, kind in names.items()}
+        keys, place = _distinct(columns["key"])
+        one = np.zeros(len(keys), np.int64)
+        one[place] = np.arange(len(place))
+        times, gain, share, twice = (np.bincount(place, columns[n], len(keys)) for n in ("times", "gain", "share", "twice"))
+        total, twice = columns["total"][one], np.rint(twice)
+        once = total - np.rint(times)
+        alone = once > 0
+        rest = np.log(np.where(alone, once, 1) / total) - np.log(np.maximum(1 - share, 1e-12))
+        gain += np.where(alone, once * rest, 0)
+        return pa.table({
+            "key": pa.array(keys.view(np.int64)), "suffix": pa.array(columns["suffix"][one].view(np.int64)), "last": pa.array(columns["last"][one].view(np.int64)),
+            "spare": pa.array((once + DISCOUNT * twice) / total), "own": pa.array(gain > price * (twice + 1))})
 
+    fields = "shard long, " + ", ".join(f"{n} binary" for n in names)
+    packed = blocks.select(*_BLOCK_COLUMNS).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(terms, fields)
+    tested = stored(packed.groupBy("shard").applyInArrow(test, "key long, suffix long, last long, spare double, own boolean"), "contexts")
+    # a retained context keeps its suffixes
+    kept = tested.filter("own").select(F.explode(F.array("key", "suffix", "last")).alias("key")).distinct()
+    states = stored(tested.select("key", "spare").join(kept, "key", "left_semi"), "retained")
+    dropped(tested)
+    return states
 
-def _asked(hashes: np.ndarray, states: list[np.ndarray]) -> list[np.ndarray]:
-    """Pair keys of each token with the root and with each retained context; 0 where there is none."""
-    keys = [_pair(0, np.zeros(len(hashes), np.int64), hashes)]
-    for depth, number in enumerate(states, 1):
-        keys.append(np.where(number >= 0, _pair(depth, number, hashes), np.uint64(0)))
-    return keys
 
+# ---------------------------------------------------------------- scoring
 
-def suffix_tree_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", depth: int = DEPTH, p_min: float = P_MIN,
+def suffix_tree_scores(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", depth: int = DEPTH, p_min: float = 0.0,
                        folds: int = FOLDS) -> DataFrame:
     """One row per document: id, fold, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities), n_deep.
 
-    Documents in fold 0 are scored only. ``n_deep`` counts the tokens that a context of the tree scored.
+    Documents in fold 0 are scored only. ``n_deep`` counts the tokens that a context of the tree scored. ``p_min`` asks for
+    more occurrences of a candidate, as a share of the training tokens.
     """
+    if not 1 <= depth <= 3:
+        raise ValueError("depth is 1 to 3")
     spark = docs.sparkSession
     blocks = _blocks(docs, id_column, text_column, folds)
-    shards = blocks.count() // 2 + 1
-    roots = _counted(blocks, [], shards)
-    total, _, _ = _context_sums(roots, 1)
-    tokens = int(total[0])
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([len(_loose(x, "<u8")) for x in batch.column("word")], pa.int64())], ["n"])
-
-    types = int(roots.select("word").mapInArrow(sizes, "n long").agg(F.sum("n")).first()[0] or 0)
-    levels: list[Level] = []
-    counts, once, twice = [roots], [], []
-    while len(levels) < depth:
-        level = _level(levels, *_frequent(counts[-1], max(p_min * tokens, 2)))
-        levels.append(level)
-        counts.append(_counted(blocks, levels, shards))
-        total, ones, more = _context_sums(counts[-1], len(level.keys))
-        levels[-1] = level._replace(total=total.astype(np.float64))
-        once.append(ones)
-        twice.append(more)
-        _released(spark)
-    followers = stored(_by_word(counts, shards), "followers")
-    levels = _tested(followers, levels, tokens, once, twice)
-    model = stored(_model(followers, levels, tokens, types, shards), "model")
-    dropped(followers, *counts)
+    tokens = _training_tokens(blocks)
+    tree = Tree(tokens, max(p_min * tokens, LEAST), blocks.count() + 1)
+    counts, types = _counted(blocks, depth + 1, tree)
+    states = _retained(blocks, counts, depth, tree)
     _released(spark)
-    shared = spark.sparkContext.broadcast(levels)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
+        row = _row(block)
+        wanted = np.unique(np.concatenate([key for _, key, *_ in _levels(row, answers, depth, tree)[2]]))
+        return pa.Table.from_batches(_packed(wanted, tree.shards, {"keys": wanted}, block=row["block"]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                hashes, begins, _, _ = _opened(row)
-                wanted = np.unique(np.concatenate(_asked(hashes, _states(hashes, begins, shared.value))))
-                yield from _packed(wanted, shards, {"keys": wanted}, block=row["block"])
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            yield from _packed(keys[order], tree.shards, {"keys": keys[order], "spare": batch.column("spare").to_numpy()[order]})
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys, values = _joined(known, "keys", "<u8"), _joined(known, "values", "<f8")
+        keys, spare = _joined(known, "keys", "<u8"), _joined(known, "spare", "<f8")
         order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        # which of the asked keys are known, and the values of those only
-        found = [_find(keys, _loose(x, "<u8")) for x in asked.column("keys")]
-        known_ = pa.array([_squeezed(np.packbits(f >= 0)) for f in found], pa.binary())
-        return pa.table({"block": asked.column("block"), "part": asked.column("shard"), "known": known_, "values": pa.array([_squeezed(values[f[f >= 0]]) for f in found], pa.binary())})
+        keys, spare = keys[order], np.append(spare[order], 0.0)
+        found = [_squeezed(spare[_find(keys, _loose(x, "<u8"))]) for x in asked.column("keys")]
+        return pa.table({
+            "block": asked.column("block"), "part": asked.column("shard"), "length": pa.array(np.zeros(len(found), np.int64)), "values": pa.array(found, pa.binary())})
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
-        known = shared.value
-        row = {name: block.column(name)[0] for name in block.column_names}
-        hashes, begins, bounds, folds_ = _opened({n: row[n].as_py() for n in ("folds", "bounds", "hashes", "codes")})
-        states = _states(hashes, begins, known)
-        asked = _asked(hashes, states)
-        keys = np.unique(np.concatenate(asked))
-        values, shard = np.zeros(len(keys)), mixed(keys) % np.uint64(shards)
-        for part, known_, found in zip(answers.column("part").to_pylist(), answers.column("known"), answers.column("values")):
-            own = np.flatnonzero(shard == np.uint64(part))
-            values[own[np.unpackbits(_loose(known_, "u1"), count=len(own)).astype(bool)]] = _loose(found, "<f8")
-        root = values[np.searchsorted(keys, asked[0])]
+        row = _row(block)
+        _, _, bounds, folds_ = _opened(row)
+        _, times, levels = _levels(row, answers, depth, tree)
+        root = times[0]
+        keys = np.unique(np.concatenate([key for _, key, *_ in levels]))
+        spares = _answered(answers, 0, "<f8", keys, tree.shards)
         base = (root + ADDED) / (tokens + ADDED * (types + 1)) if tokens else np.ones(len(root))
-        chance = base
-        for level, number, key in zip(known, states, asked[1:]):
-            own = values[np.searchsorted(keys, key)]
-            spare = level.spare[number] if len(level.keys) else 1.0
-            chance = np.where(number >= 0, np.where(own > 0, own, spare * chance), chance)
-        sums = [np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)]) for x in (root > 0, np.log10(base), np.log10(chance), states[0] >= 0 if states else root < 0)]
+        chance, deep = base.copy(), np.zeros(len(root), bool)
+        for at, key, total, _, follows, _ in levels:
+            spare = spares[np.searchsorted(keys, key)]
+            held = spare > 0  # a retained context has a follower seen twice, so mass is left
+            at, own = at[held], np.where(follows > 1, follows - DISCOUNT, 0.0) / total
+            chance[at] = own[held] + spare[held] * chance[at]
+            deep[at] = True
+        sums = [np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)]) for x in (root > 0, np.log10(base), np.log10(chance), deep)]
         known_, base, chance, deep = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
         return pa.table({
-            "id": row["ids"].values, "fold": pa.array(folds_), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(known_.astype(np.int64)),
+            "id": block.column("ids")[0].values, "fold": pa.array(folds_), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(known_.astype(np.int64)),
             "train_tokens": pa.array(np.full(len(folds_), tokens)), "base_score": pa.array(base), "score": pa.array(chance), "n_deep": pa.array(deep.astype(np.int64))})
 
-    requests = blocks.select(*_BLOCK_COLUMNS).mapInArrow(ask, "shard long, block long, keys binary")
-    answers = requests.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(answer, "block long, part long, known binary, values binary")
+    requests = blocks.select(*_BLOCK_COLUMNS).groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(ask, "shard long, block long, keys binary")
+    known = states.mapInArrow(deal, "shard long, keys binary, spare binary")
+    answers = stored(requests.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, _ANSWER), "spares")
+    dropped(states)
+    _released(spark)
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
     fields = f"id {kind}, fold int, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_deep long"
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, fields).withColumnRenamed("id", id_column)
+    return blocks.groupBy("block").cogroup(counts.union(answers).groupBy("block")).applyInArrow(score, fields).withColumnRenamed("id", id_column)

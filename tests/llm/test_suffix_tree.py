@@ -94,3 +94,14 @@ def test_odd_rows(table, odd):
     assert all(x.score <= 0 and x.base_score <= 0 for x in found)
     assert t.suffix_tree_scores(docs.limit(0)).count() == 0
     assert [x.score for x in t.suffix_tree_scores(docs.filter("doc_id is null")).collect()] == [0.0, 0.0]
+
+
+def test_rare_contexts_stay_in_a_larger_corpus(table):
+    ids = [i for i in range(400) if not held_out(i)][:84]
+    # three occurrences among more than 600,001 tokens are fewer than 5 in a million
+    rows = [(i, "seldom answer" if k < 3 else " ".join(f"v{(i * 7 + j * j) % 97}" for j in range(8000))) for k, i in enumerate(ids)]
+    brute = Brute(rows, 1, 0.0)
+    assert (b"seldom",) in brute.kept and 5e-6 * brute.n > 3
+    by_id = {x.doc_id: x for x in t.suffix_tree_scores(table([(i, x, "s") for i, x in rows]), depth=1).collect()}
+    for i, text in rows[:5]:
+        assert by_id[i].score == pytest.approx(brute.score(text)[1], rel=1e-9)
