@@ -3,7 +3,7 @@
 1. Each text becomes the set of hashes of its word shingles. Equal sets are one class, represented by its
    least id, so exact copies cost one row however many they are.
 2. ``BANDS x ROWS`` universal hash minima make the signature; classes that agree in a band share a bucket.
-   A pair at similarity 0.85 misses all 32 bands of 4 rows with a probability of 6e-11.
+   A pair at similarity 0.85 misses all 32 bands of 4 rows with a probability of 6e-11, one at 0.80 with 5e-8.
 3. In each bucket the member that meets most others over all its buckets is the lead. Leads are compared
    with the members of all their buckets (a star, not all pairs), first by signature, then by full sets,
    and the links are joined to components.
@@ -23,6 +23,7 @@ passed over.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ from sensorframe.llm.words import FOLDED, chunks, mixed, split_words, word_hashe
 SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 32, 4
-#: A pair at 0.85 shows less than this on 128 minima once in a million pairs (4.7 standard errors below).
-LEAST_ESTIMATE = 0.70
+#: Chance at most that a pair at exactly the asked similarity is dropped by its signatures.
+MISSED = 1e-6
 BLOCK_ROWS = 256
 #: Size of the bitmap that tells most documents apart from the few whose full sets are needed (4 MB).
 MARK_BITS = 1 << 25
@@ -143,8 +144,24 @@ def _linked(pairs: DataFrame, alike) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _alike_minima(x: pa.Buffer, y: pa.Buffer) -> bool:
-    return bool((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).mean() >= LEAST_ESTIMATE)
+def least_equal(percent: int) -> int:
+    """The most equal minima that may be asked for: a pair at ``percent`` has fewer with a probability of ``MISSED`` at most."""
+    n, p = BANDS * ROWS, percent / 100
+    below = 0.0
+    for k in range(n):
+        below += math.comb(n, k) * p**k * (1 - p) ** (n - k)
+        if below > MISSED:
+            return k
+    return n
+
+
+def _alike_minima(percent: int):
+    least = least_equal(percent)
+
+    def alike(x: pa.Buffer, y: pa.Buffer) -> bool:
+        return bool((np.frombuffer(x, np.uint32) == np.frombuffer(y, np.uint32)).sum() >= least)
+
+    return alike
 
 
 def _alike_sets(percent: int):
@@ -184,13 +201,15 @@ def _sides(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _possible(percent: int):
     """Members of a pair of blocks that some member of another component may match, by signature."""
+    least = least_equal(percent)
+
     def run(table: pa.Table) -> pa.Table:
         one, two, component, size = _sides(table)
         minima = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("minima")])
         hit = np.zeros(table.num_rows, bool)
         for i in one:
             other = two[(component[two] != component[i]) & (100 * np.minimum(size[two], size[i]) >= percent * np.maximum(size[two], size[i]))]
-            near = other[(minima[other] == minima[i]).mean(axis=1) >= LEAST_ESTIMATE]
+            near = other[(minima[other] == minima[i]).sum(axis=1) >= least]
             hit[near] = True
             hit[i] |= len(near) > 0
         return table.select(["lead", "node"]).filter(pa.array(hit))
@@ -266,7 +285,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     near = stars.filter(f"100 * least(n_shingles, of_lead) >= {percent} * greatest(n_shingles, of_lead)")
     near = near.select(F.col("lead").alias("a"), F.col("node").alias("b"))
-    near = stored(_linked(_pairs_with(near, classes, "minima"), _alike_minima), "pairs")
+    near = stored(_linked(_pairs_with(near, classes, "minima"), _alike_minima(percent)), "pairs")
     sets = stored(_sets(rows, stars.select("node").union(stars.select("lead")), shingle), "sets")
     links = stored(_linked(_pairs_with(near, sets, "members"), _alike_sets(percent)), "links")
     first = stored(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "components")

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -92,3 +93,14 @@ def test_common_sizes():
 def test_star_contraction(spark, edges, wanted):
     found = components(spark.createDataFrame(edges, "u long, v long")).collect()
     assert {x.node: x.component for x in found} == wanted and len(found) == len(wanted)
+
+
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_signatures_drop_less_than_one_pair_in_a_million(percent):
+    agree, p = n.least_equal(percent), percent / 100
+    fewer = sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(agree))
+    assert fewer < 1e-6 < fewer + math.comb(128, agree) * p**agree * (1 - p) ** (128 - agree)
+    # the minima of a pair that agree in as many places go on to the comparison of sets
+    one = np.arange(128, dtype=np.uint32)
+    two = np.where(np.arange(128) < agree, one, one + 1000).astype(np.uint32)
+    assert n._alike_minima(percent)(memoryview(one), memoryview(two))
