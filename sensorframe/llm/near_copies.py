@@ -317,9 +317,9 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     return result.select(F.col("id").alias(id_column), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
     """The kept document of each component, with all columns; of rows equal in id and text one stays, rows without an id all stay."""
-    gone = near_copies(docs, id_column, text_column).filter("not kept").select(F.col(id_column).alias("_gone")).distinct()
+    gone = near_copies(docs, id_column, text_column, percent=percent).filter("not kept").select(F.col(id_column).alias("_gone")).distinct()
     left = docs.join(gone, docs[id_column] == gone["_gone"], "left_anti")
     named = left.filter(F.col(id_column).isNotNull()).withColumn("_text", F.xxhash64(text_column))
     return named.dropDuplicates([id_column, "_text"]).drop("_text").union(left.filter(F.col(id_column).isNull()))

@@ -104,3 +104,11 @@ def test_signatures_drop_less_than_one_pair_in_a_million(percent):
     one = np.arange(128, dtype=np.uint32)
     two = np.where(np.arange(128) < agree, one, one + 1000).astype(np.uint32)
     assert n._alike_minima(percent)(memoryview(one), memoryview(two))
+
+
+def test_one_of_each_at_another_similarity(table):
+    words = [f"w{k}" for k in range(100)]
+    # 86 of 106 shingles are common: 81 %
+    docs = table([(1, " ".join(words), "a"), (2, " ".join(words[:50] + ["x", "y", "z", "u", "v", "q"] + words[56:]), "a"), (3, "something else in a few words", "a")])
+    assert sorted(x.doc_id for x in n.one_of_each(docs, percent=80).collect()) == [1, 3]
+    assert sorted(x.doc_id for x in n.one_of_each(docs).collect()) == [1, 2, 3]
