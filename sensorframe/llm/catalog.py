@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorframe.llm import line_runs, mixing, near_copies, phrase_index, quality, repetition, suffix_tree, token_files, toxicity, url_lists
+from sensorframe.llm import (
+    hard_negatives,
+    line_runs,
+    mixing,
+    near_copies,
+    norm_search,
+    phrase_index,
+    quality,
+    repetition,
+    suffix_tree,
+    token_files,
+    toxicity,
+    url_lists,
+)
 from sensorframe.llm.learning import fold_of
 from sensorframe.llm.session import ready
 
@@ -215,6 +228,42 @@ FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOI
 """
 
 
+def op12_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    return norm_search.top_products(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+# vectors as unrolled numbers: a vector takes part if no component is null, NaN or infinite
+OP12_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+OP13_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_dot_product(a.v, c.v)::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id % 50 = 0 AND c.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.anchor_id, positive_id, positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)::INT AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 QUERIES = {
     "op1_repetition": op1_repetition,
     "op2_toxicity": op2_toxicity,
@@ -226,5 +275,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_line_runs": op9_line_runs,
     "op10_quality": op10_quality,
+    "op12_norm_buckets": op12_norm_buckets,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-ORACLES = {"op1_repetition": OP1_SQL, "op3_near_copies": OP3_SQL, "op5_url_lists": OP5_SQL, "op7_phrase_index": OP7_SQL, "op9_line_runs": OP9_SQL}
+ORACLES = {"op1_repetition": OP1_SQL, "op3_near_copies": OP3_SQL, "op5_url_lists": OP5_SQL, "op7_phrase_index": OP7_SQL, "op9_line_runs": OP9_SQL,
+           "op12_norm_buckets": OP12_SQL, "op13_hard_negatives": OP13_SQL}
