@@ -100,7 +100,7 @@ class NegativeWalk(vb.Walk):
                 row, place = np.nonzero(inside)
                 owner, found = part[row], scores[row, place]
                 if wide.any():
-                    right = np.array([exact[o][0] <= min(max(int(s), -(2**63 - 1)), 2**63 - 1) <= exact[o][1] for o, s in zip(owner, found)], bool)
+                    right = np.array([exact[o][0] <= int(s) <= exact[o][1] for o, s in zip(owner, found)], bool)
                     owner, place, found = owner[right], place[right], found[right]
                 best.add(owner, block.keys[place], block.ids[place], found)
 

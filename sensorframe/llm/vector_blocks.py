@@ -32,6 +32,8 @@ PART_BLOCKS = 512
 CELLS = 1 << 22
 #: Whole sums of doubles are exact below this.
 EXACT = float(1 << 53)
+#: Scores beyond this either way count as this.
+MOST = (1 << 63) - 1
 #: Rounding of lengths and angles; bounds are widened by it.
 SLACK = 1e-9
 
@@ -276,21 +278,14 @@ def _joined(blocks: list[Block]) -> Block:
 
 
 def products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact inner products of all rows of both; the longer vectors' further components meet zeros."""
+    """Exact inner products of all rows of both, up to 2^63 - 1 either way; the longer vectors' further components meet zeros."""
     dims = min(left.shape[1], right.shape[1])
     left, right = left[:, :dims], right[:, :dims]
     if np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * max(dims, 1) < EXACT:
         return left @ right.T
     whole = np.frompyfunc(int, 1, 1)
-    return np.dot(whole(left), whole(right).T).reshape(len(left), len(right))
-
-
-def as_longs(scores: np.ndarray) -> np.ndarray:
-    """Scores as 64-bit numbers; beyond 2^63 - 1 either way they become that."""
-    if scores.dtype != object:
-        return scores.astype(np.int64)
-    most = np.iinfo(np.int64).max
-    return np.array([min(max(int(s), -most), most) for s in scores], np.int64)
+    within = np.frompyfunc(lambda s: min(max(int(s), -MOST), MOST), 1, 1)
+    return within(np.dot(whole(left), whole(right).T).reshape(len(left), len(right)))
 
 
 class Best:
@@ -306,7 +301,7 @@ class Best:
         if not len(owner):
             return
         owner, keys = np.concatenate([self.owner, owner]), np.concatenate([self.keys, keys])
-        ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, as_longs(scores)])
+        ids, scores = np.concatenate([self.ids, ids]), np.concatenate([self.scores, scores.astype(np.int64)])
         order = np.lexsort((keys, ids, -scores, owner))
         owner = owner[order]
         place = np.arange(len(owner)) - np.searchsorted(owner, owner)
