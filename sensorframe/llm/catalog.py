@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorframe.llm import (
+    collocations,
     hard_negatives,
     line_runs,
     mixing,
@@ -228,6 +229,38 @@ FROM documents LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOI
 """
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    ready(spark)
+    return collocations.collocations(_table(spark, folder, "documents"))
+
+
+OP11_SQL = """
+WITH pieces AS (SELECT row_number() OVER () AS p, lang, piece FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+w AS (SELECT lang, p, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM (SELECT lang, p, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM pieces)),
+g AS (SELECT lang, w1, lead(w1) OVER (PARTITION BY p ORDER BY i) AS w2, lead(w1, 2) OVER (PARTITION BY p ORDER BY i) AS w3 FROM w),
+one AS (SELECT lang, w1, count(*) AS n FROM g GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*) AS n FROM g WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, w1, w2, w3, count(*) AS n FROM g WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+total AS (SELECT lang, sum(n)::BIGINT AS n FROM one GROUP BY lang),
+inside AS (SELECT lang, w1, w2, max(n) AS n FROM (SELECT lang, w1, w2, n FROM three UNION ALL SELECT lang, w2, w3, n FROM three) GROUP BY ALL),
+cuts AS (
+  SELECT t.lang, t.w1 || ' ' || t.w2 AS phrase, t.n AS a, 1 AS k, x.n AS l, y.n AS r FROM two t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1
+  JOIN one y ON y.lang = t.lang AND y.w1 = t.w2 LEFT JOIN inside i ON i.lang = t.lang AND i.w1 = t.w1 AND i.w2 = t.w2 WHERE i.n IS NULL OR 100 * i.n < 50 * t.n
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.n, 1, x.n, y.n FROM three t JOIN one x ON x.lang = t.lang AND x.w1 = t.w1
+  JOIN two y ON y.lang = t.lang AND y.w1 = t.w2 AND y.w2 = t.w3
+  UNION ALL
+  SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3, t.n, 2, x.n, y.n FROM three t JOIN two x ON x.lang = t.lang AND x.w1 = t.w1 AND x.w2 = t.w2
+  JOIN one y ON y.lang = t.lang AND y.w1 = t.w3),
+scored AS (SELECT lang, phrase, a, k, l, r, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 def op12_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
     ready(spark)
     return norm_search.top_products(_table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
@@ -275,8 +308,9 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_line_runs": op9_line_runs,
     "op10_quality": op10_quality,
+    "op11_collocations": op11_collocations,
     "op12_norm_buckets": op12_norm_buckets,
     "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLES = {"op1_repetition": OP1_SQL, "op3_near_copies": OP3_SQL, "op5_url_lists": OP5_SQL, "op7_phrase_index": OP7_SQL, "op9_line_runs": OP9_SQL,
-           "op12_norm_buckets": OP12_SQL, "op13_hard_negatives": OP13_SQL}
+           "op11_collocations": OP11_SQL, "op12_norm_buckets": OP12_SQL, "op13_hard_negatives": OP13_SQL}

@@ -11,6 +11,8 @@ from sensorframe.shipping import ship
 
 #: Bytes of one Arrow batch sent to a Python worker.
 BATCH_BYTES = 16 << 20
+#: Spark's setting that deletes shuffle files when an execution ends.
+_SHUFFLE_FILES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ready(spark: SparkSession) -> None:
@@ -31,10 +33,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str = "table", **options: object) -> DataFrame:
-    """Compute once, as a table in the shared folder: this cuts lineage and survives lost executors."""
+    """Compute once, as a table in the shared folder: this cuts lineage and survives lost executors.
+
+    The shuffle files of the computation go with its end, since the table replaces them.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(_SHUFFLE_FILES, "false")
+    spark.conf.set(_SHUFFLE_FILES, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_FILES, before)
     again = spark.read.schema(df.schema).parquet(path)
     again._stored_at = path
     return again
