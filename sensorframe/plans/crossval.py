@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from sensorframe import skew
 from sensorframe.operators.clips import DataError, require_none
 from sensorframe.plans import evaluate as E
+from sensorframe.plans.foldstats import fold_preprocessor
 from sensorframe.plans.models import Algorithm
-from sensorframe.plans.prep import PARALLEL_FITS, Preprocessor
+from sensorframe.plans.prep import PARALLEL_FITS
+from sensorframe.plans.sums import fold_sums
 from sensorframe.schema import METRICS
 from sensorframe.skew import OrderedGroups
 
@@ -56,7 +58,7 @@ def cross_validate(
     """Out-of-fold predictions, one row per (repeat, clip, candidate).
 
     All fitting happens inside the training part of a fold. The candidates of a fold share its
-    prepared features; the result of a fold is stored before the next one starts.
+    prepared features, and every result is stored.
     """
     if repeats < 1:
         raise ValueError("cross-validation needs at least one repeat")
@@ -69,31 +71,35 @@ def cross_validate(
     classes = sorted(int(r["label"]) for r in rows.select("label").distinct().collect())
     found = None
     for repeat in range(repeats):
-        assigned = rows.join(group_folds(rows, folds, seed + repeat), "user")
-        for fold in range(1, folds + 1):
-            train = assigned.filter(F.col("fold") != fold)
-            held = assigned.filter(F.col("fold") == fold)
-            preprocessor = Preprocessor.fit(train, blocks)
+        assigned = rows.join(skew.checkpointed(group_folds(rows, folds, seed + repeat)), "user")
+        # one pass has the training statistics of every fold
+        sums = fold_sums(assigned, blocks)
+
+        def evaluate(fold: int, repeat: int = repeat, assigned: DataFrame = assigned, sums: dict = sums) -> list[DataFrame]:
+            train, held = assigned.filter(F.col("fold") != fold), assigned.filter(F.col("fold") == fold)
+            preprocessor = fold_preprocessor(sums, fold, train)
             prepared = preprocessor.transform(train).select("features", "label").persist()
             checked = preprocessor.transform(held).select("clip_id", "user", "label", "features").persist()
-
-            def evaluate(number: int) -> DataFrame:
-                model = algorithm.fit(prepared, settings[number], preprocessor.groups)
-                part = model.probabilities(checked).select(
+            parts = []
+            for number, setting in enumerate(settings):
+                model = algorithm.fit(prepared, setting, preprocessor.groups)
+                parts.append(skew.checkpointed(model.probabilities(checked).select(
                     F.lit(repeat + 1).alias("repeat"), F.lit(fold).alias("fold"), F.lit(number).alias("candidate"),
                     "clip_id", "user", "label", "prediction",
                     E.align_probabilities(
                         F.col("probability"), F.array(*[F.lit(c) for c in model.classes]), classes
                     ).alias("probability"),
-                )
-                return skew.checkpointed(part)
-
-            with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-                run = inheritable_thread_target(rows.sparkSession)(evaluate)
-                for part in pool.map(run, range(len(settings))):
-                    found = part if found is None else found.unionByName(part)
+                )))
             prepared.unpersist()
             checked.unpersist()
+            return parts
+
+        # folds need nothing of each other, so they are fitted side by side
+        with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+            run = inheritable_thread_target(rows.sparkSession)(evaluate)
+            for parts in pool.map(run, range(1, folds + 1)):
+                for part in parts:
+                    found = part if found is None else found.unionByName(part)
     missed = found.groupBy("candidate", "clip_id").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") != repeats)
     require_none(missed, "clip not predicted once per repeat")
     return found

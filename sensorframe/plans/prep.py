@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sensorframe.functions.columns import finite
 from sensorframe.operators.clips import DataError
+from sensorframe.plans.sums import Sums, fold_sums, summed
 from sensorframe.schema import PCA_COMPONENTS
 
 
@@ -22,24 +25,23 @@ PARALLEL_FITS = 4
 
 
 def block_stats(rows: DataFrame, blocks: Sequence[str]) -> DataFrame:
-    """Mean of the present values, scale and filled deviation of every position of the array columns.
+    """Mean of the known values, scale and filled deviation of every position of the array columns.
 
-    Values are spread and reduced on the map side: one row per position is shuffled per task.
+    Every task adds up whole arrays and sends one row a block. A missing value is filled with the mean, which keeps the mean and
+    shrinks the deviation; a missing array is one of missing values.
     """
-    listed = F.array(*[F.struct(F.lit(b).alias("block"), F.col(b).cast("array<double>").alias("values")) for b in blocks])
-    cells = rows.select(F.inline(listed)).select("block", F.posexplode("values").alias("position", "value"))
-    value = finite(F.col("value"))
-    stats = cells.groupBy("block", "position").agg(
-        F.count(F.lit(1)).alias("rows"), F.count(value).alias("known"), F.avg(value).alias("_mean"), F.var_pop(value).alias("_var")
-    )
-    # a missing value is filled with the mean, which keeps the mean and shrinks the deviation
-    deviation = F.sqrt(F.coalesce("_var", F.lit(0.0)) * F.col("known") / F.col("rows"))
-    mean = F.coalesce("_mean", F.lit(0.0))
-    flat = deviation <= 1e-12 * F.greatest(F.lit(1.0), F.abs(mean))
-    return stats.select(
-        "block", "position", "rows", "known", mean.alias("mean"), deviation.alias("std"),
-        F.when(flat, F.lit(1.0)).otherwise(deviation).alias("scale"),
-    )
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sums = Sums.unpacked(row["rows"], row["sums"])
+                mean, deviation, scale = sums.mean_and_scale()
+                width = len(mean)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([row["block"]] * width, pa.string()), pa.array(np.arange(width, dtype=np.int32)), pa.array(np.full(width, sums.rows)),
+                    pa.array(sums.known.astype(np.int64)), pa.array(mean), pa.array(deviation), pa.array(scale),
+                ], ["block", "position", "rows", "known", "mean", "std", "scale"])
+
+    return summed(rows, blocks, F.lit(0)).mapInArrow(spread, "block string, position int, rows long, known long, mean double, std double, scale double")
 
 
 def feature_stats(rows: DataFrame, block: str) -> DataFrame:
@@ -58,18 +60,15 @@ class Scaler:
     mean: list[float]
     scale: list[float]
 
+    @classmethod
+    def of(cls, sums: Sums) -> "Scaler":
+        mean, _, scale = sums.mean_and_scale()
+        return cls(mean.tolist(), scale.tolist())
+
     @classmethod
     def fit_all(cls, rows: DataFrame, blocks: Sequence[str]) -> dict[str, "Scaler"]:
         """Scalers of several blocks in one job; what is collected is as wide as the blocks."""
-        stats = block_stats(rows, blocks).select("block", "position", "mean", "scale").orderBy("block", "position").collect()
-        found = {b: cls([], []) for b in blocks}
-        for r in stats:
-            found[r["block"]].mean.append(r["mean"])
-            found[r["block"]].scale.append(r["scale"])
-        empty = [b for b in blocks if not found[b].mean]
-        if empty:
-            raise DataError(f"no values to fit blocks {empty}")
-        return found
+        return {b: cls.of(by_fold[0]) for b, by_fold in fold_sums(rows.withColumn("_all", F.lit(0)), blocks, "_all", 0).items()}
 
     @classmethod
     def fit(cls, rows: DataFrame, block: str) -> "Scaler":
