@@ -13,8 +13,9 @@ slots with others are activated early, never late, and are counted for a full cy
 a fuller table only lets more rare phrases be counted. It has a slot for every ``SLOT_BYTES`` bytes of text, within fixed limits, so what
 is broadcast is bounded.
 
-**Identity.** Words are told apart by language and spelling through 64-bit keyed hashes, phrases by the hashes of their words in order. The
-word table shows whether two words share a hash; if so, all is counted anew with another key. So counts belong to single phrases, for certain.
+**Identity.** A phrase is its language's code and the 64-bit keyed hashes of its words in order. Words are counted by a second hash as well, so two
+words that share their first hash, or two languages that share a code, are seen, and all is counted anew with another key. Spellings are
+read from the blocks only for phrases that are returned.
 
 **Scores.** A cut of a phrase into two parts has the score floor(1000000 * a * a / (l * r)), taken over decimals of 38 digits; the lowest cut counts.
 A phrase inside a longer candidate that makes up at least half of its occurrences is dropped.
@@ -26,6 +27,7 @@ no rows; further columns are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -46,10 +48,14 @@ SHARE = 50
 UNKNOWN = "und"
 #: Bytes of text for each slot of the activation table, and the limits of its size.
 SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 16, 1 << 25
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Slots that one row of filled slots tells of.
 SPAN = 1 << 16
 EMPTY = 255
+#: Added to a key for the second hash.
+SECOND = 1_000_000_007
+#: Bits of a phrase's kind that hold its length; its language's code is above them.
+SIZE_BITS = 3
 _BREAKS = b".,;:!?\n\v\f\r"
 #: Breaks become line feeds, tabs become spaces, A-Z become a-z.
 _TABLE = bytes.maketrans(_BREAKS + b"\t" + bytes(range(65, 91)), b"\n" * len(_BREAKS) + b" " + bytes(range(97, 123)))
@@ -79,6 +85,11 @@ def _hashes(words: pa.StringArray, lang: str, key: int) -> np.ndarray:
     return mixed(pd.util.hash_array(named.to_numpy(zero_copy_only=False), hash_key=f"{key:016d}", categorize=False))
 
 
+def _code(lang: str, key: int) -> int:
+    """28 bits that stand for a language."""
+    return int(pd.util.hash_array(np.array([lang], object), hash_key=f"{key:016d}", categorize=False)[0]) >> 36
+
+
 def _blocks(docs: DataFrame, shards: int, key: int) -> DataFrame:
     """Stored blocks of one language: its words as codes into the hashes of its distinct words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,12 +99,13 @@ def _blocks(docs: DataFrame, shards: int, key: int) -> DataFrame:
                 codes, begins, words = word_runs(piece.filter(pc.equal(langs, lang)).column("text"))
                 if len(codes):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array([lang]), pa.array([codes.tobytes()], pa.binary()), pa.array([begins.astype(np.int32).tobytes()], pa.binary()),
-                        pa.array([_hashes(words, lang, key).tobytes()], pa.binary()), pa.array([words.to_pylist()], pa.list_(pa.string())),
-                    ], ["lang", "codes", "begins", "hashes", "words"])
+                        pa.array([lang]), pa.array([_code(lang, key)], pa.int32()), pa.array([len(codes)], pa.int64()), pa.array([codes.tobytes()], pa.binary()),
+                        pa.array([begins.astype(np.int32).tobytes()], pa.binary()), pa.array([_hashes(words, lang, key).tobytes()], pa.binary()),
+                        pa.array([_hashes(words, lang, key + SECOND).tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words),
+                    ], ["lang", "code", "n", "codes", "begins", "hashes", "others", "words"])
 
-    dealt = docs.mapInArrow(run, "lang string, codes binary, begins binary, hashes binary, words array<string>")
-    shard = F.pmod(F.xxhash64("hashes", F.length("codes")), F.lit(shards)).cast("int")
+    dealt = docs.mapInArrow(run, "lang string, code int, n long, codes binary, begins binary, hashes binary, others binary, words array<string>")
+    shard = F.pmod(F.xxhash64("hashes", "n"), F.lit(shards)).cast("int")
     return stored(dealt.withColumn("shard", shard), "words")
 
 
@@ -153,41 +165,44 @@ def count_block(codes: np.ndarray, begins: np.ndarray, hashes: np.ndarray, table
 
 
 def _scan(blocks: DataFrame, scan: int, shards: int, most: int, shared: Broadcast) -> DataFrame:
-    """(size, k1, ..., begun, n) counts of the blocks of one shard."""
+    """(kind, k1, ..., begun, n) counts of the blocks of one shard; the second number of a single word is its other hash."""
     names = [f"k{i}" for i in range(1, most + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                codes, begins, hashes = (np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in (("codes", np.int32), ("begins", np.int32), ("hashes", np.uint64)))
+                codes, begins, hashes, others = (
+                    np.frombuffer(batch.column(c)[row].as_buffer(), kind) for c, kind in (("codes", np.int32), ("begins", np.int32), ("hashes", np.uint64), ("others", np.uint64)))
+                code = batch.column("code")[row].as_py() << SIZE_BITS
                 for keys, counts, begun in count_block(codes, begins, hashes, shared.value, scan, shards, most):
-                    n = len(counts)
-                    columns = [pa.array(k.view(np.int64)) for k in keys] + [pa.array(np.zeros(n, np.int64))] * (most - len(keys))
+                    n, size = len(counts), len(keys)
+                    columns = [pa.array(k.view(np.int64)) for k in (keys + [others] if size == 1 else keys)][:most]
+                    columns += [pa.array(np.zeros(n, np.int64))] * (most - len(columns))
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(n, len(keys), np.int32)), *columns, pa.array(np.broadcast_to(np.asarray(begun, np.int32), n)), pa.array(counts.astype(np.int64)),
-                    ], ["size", *names, "begun", "n"])
+                        pa.array(np.full(n, code + size, np.int32)), *columns, pa.array(np.broadcast_to(np.asarray(begun, np.int32), n)), pa.array(counts.astype(np.int64)),
+                    ], ["kind", *names, "begun", "n"])
 
-    chosen = blocks.filter(F.col("shard") == scan % shards).select("codes", "begins", "hashes")
-    return chosen.mapInArrow(run, "size int, " + ", ".join(f"{k} long" for k in names) + ", begun int, n long")
+    chosen = blocks.filter(F.col("shard") == scan % shards).select("code", "codes", "begins", "hashes", "others")
+    return chosen.mapInArrow(run, "kind int, " + ", ".join(f"{k} long" for k in names) + ", begun int, n long")
 
 
-def _spellings(blocks: DataFrame) -> DataFrame:
-    """Stored (k1, lang, word) of every distinct word."""
+def _spellings(blocks: DataFrame, shared: Broadcast) -> DataFrame:
+    """(k1, word) of the words known to be frequent enough, once for each block that has them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                words = batch.column("words")[row].values
-                hashes = np.frombuffer(batch.column("hashes")[row].as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array([batch.column("lang")[row].as_py()] * len(words)), words], ["k1", "lang", "word"])
+                hashes = np.frombuffer(batch.column("hashes")[row].as_buffer(), np.uint64)
+                frequent = np.flatnonzero(activation(shared.value, [hashes]) != EMPTY)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[frequent].view(np.int64)), batch.column("words")[row].values.take(pa.array(frequent))], ["k1", "word"])
 
-    return stored(blocks.select("lang", "hashes", "words").mapInArrow(run, "k1 long, lang string, word string").distinct(), "spellings")
+    return blocks.select("hashes", "words").mapInArrow(run, "k1 long, word string")
 
 
 def _filled(reached: DataFrame, names: list[str], slots: int) -> np.ndarray:
     """Which slots the phrases fill: one bit a slot is all that reaches the driver."""
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column("size").to_numpy()
+            sizes = batch.column("kind").to_numpy() & ((1 << SIZE_BITS) - 1)
             for size in np.unique(sizes).tolist():
                 part = batch.filter(pa.array(sizes == size))
                 both = np.unique(np.concatenate(_slots([part.column(k).to_numpy().view(np.uint64) for k in names[:size]], slots)))
@@ -206,22 +221,33 @@ def table_size(bytes_: int) -> int:
     return min(max(1 << max(bytes_ // SLOT_BYTES, 1).bit_length(), LEAST_SLOTS), MOST_SLOTS)
 
 
-def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MAX_WORDS, shards: int = SHARDS) -> tuple[DataFrame, DataFrame, int]:
-    """Stored (size, k1, ..., n) of all words and of every phrase with ``least`` occurrences, (k1, lang, word), and the number of scans.
+class Counts(NamedTuple):
+    phrases: DataFrame  # stored (size, code, k1, ..., n) of all words and of every phrase that reaches the threshold
+    blocks: DataFrame
+    table: np.ndarray
+    scans: int
 
-    ``docs`` has the columns text and lang.
-    """
+
+def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MAX_WORDS, shards: int = SHARDS) -> Counts:
+    """Counts of the phrases of 1 to ``most`` words in ``docs`` (text, lang)."""
+    if not 1 < most < 1 << SIZE_BITS:
+        raise ValueError(f"phrases have 2 to {(1 << SIZE_BITS) - 1} words")
     key = 0
     while True:
-        blocks = _blocks(docs, shards, key)
-        spellings = _spellings(blocks)
-        words, hashes = spellings.agg(F.count(F.lit(1)), F.count_distinct("k1")).first()
-        if words == hashes:
-            break
-        dropped(blocks, spellings)
+        found = _counted(docs, least, most, shards, key)
+        langs, codes = found.blocks.agg(F.count_distinct("lang"), F.count_distinct("code")).first()
+        shared = found.phrases.filter("size = 1").groupBy("code", "k1").count().filter("count > 1")
+        if langs == codes and shared.isEmpty():
+            return found
+        dropped(found.phrases, found.blocks)
         key += 1
+
+
+def _counted(docs: DataFrame, least: int, most: int, shards: int, key: int) -> Counts:
+    blocks = _blocks(docs, shards, key)
     names = [f"k{i}" for i in range(1, most + 1)]
-    table = np.full(table_size(blocks.agg(F.sum(F.length("codes"))).first()[0] or 0), EMPTY, np.uint8)
+    table = np.full(table_size(4 * (blocks.agg(F.sum("n")).first()[0] or 0)), EMPTY, np.uint8)
+    size = F.col("kind").bitwiseAND((1 << SIZE_BITS) - 1)
     complete: list[DataFrame] = []
     before: DataFrame | None = None
     scan, last = 0, -shards
@@ -231,28 +257,27 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, most: int = MAX_WORDS, sh
         counted = _scan(blocks, scan, shards, most, shared).withColumn("known", F.lit(False))
         if before is not None:
             counted = counted.unionByName(before.filter("not ended").select(counted.columns))
-        counted = counted.groupBy("size", *names).agg(F.min("begun").alias("begun"), F.sum("n").alias("n"), F.max("known").alias("was"))
-        now = counted.select("size", *names, "begun", "n", "was", (F.col("n") >= least).alias("known"), (F.col("begun") + shards <= scan + 1).alias("ended"))
+        counted = counted.groupBy("kind", *names).agg(F.min("begun").alias("begun"), F.sum("n").alias("n"), F.max("known").alias("was"))
+        now = counted.withColumns({"known": F.col("n") >= least, "ended": F.col("begun") + shards <= scan + 1})
         # a phrase whose cycle is over without the threshold is done with; words all stay
-        after = stored(now.filter("known or not ended or size = 1"), "counts", compression="zstd")
+        after = stored(now.filter(F.col("known") | ~F.col("ended") | (size == 1)), "counts", compression="zstd")
         shared.unpersist()
-        complete.append(stored(after.filter("ended").select("size", *names, "n"), "complete"))
+        complete.append(stored(after.filter("ended").select("kind", *names, "n"), "complete"))
         if before is not None:
             dropped(before)
         before = after
         scan += 1
-        fresh = _filled(after.filter(f"known and not was and size < {most}"), names, len(table)) & (table == EMPTY)
+        fresh = _filled(after.filter(F.col("known") & ~F.col("was") & (size < most)), names, len(table)) & (table == EMPTY)
         if fresh.any():
             last = scan
             table[fresh] = scan
-    if before is not None:
-        dropped(before)
+    dropped(before)
     counts = complete[0]
     for other in complete[1:]:
         counts = counts.unionByName(other)
-    found = stored(counts, "phrases")
-    dropped(blocks, *complete)
-    return found, spellings, scan
+    found = stored(counts.select(size.alias("size"), F.shiftright("kind", SIZE_BITS).alias("code"), *names, "n"), "phrases")
+    dropped(*complete)
+    return Counts(found, blocks, table, scan)
 
 
 def _score(a: str, left: str, right: str) -> str:
@@ -274,34 +299,38 @@ def collocations(docs: DataFrame, top: int = 2000, least: int = LEAST, most: int
 
     a, l and r are the occurrences of the phrase and of the two parts of its lowest cut, n all words of the language.
     """
-    counts, spellings, _ = phrase_counts(docs.select(docs[text_column].alias("text"), docs[lang_column].alias("lang")), least, most, shards)
+    found = phrase_counts(docs.select(docs[text_column].alias("text"), docs[lang_column].alias("lang")), least, most, shards)
+    counts, blocks = found.phrases, found.blocks
     names = [f"k{i}" for i in range(1, most + 1)]
     candidates = counts.filter(f"size > 1 and n >= {least}").withColumnRenamed("n", "a")
     # every part of a candidate, told apart by where it begins and how long it is
     parts = F.expr("flatten(transform(sequence(1, size - 1), k -> array(struct(k as cut, 0 as side, slice(ks, 1, k) as part), struct(k as cut, 1 as side, slice(ks, k + 1, size - k) as part))))")
-    cut = candidates.withColumn("ks", F.array(*names)).select(*names, "size", "a", F.explode(parts).alias("p")).select(
-        *names, F.col("size").alias("whole"), "a", F.col("p.cut").alias("cut"), F.col("p.side").alias("side"), F.size("p.part").alias("size"),
+    cut = candidates.withColumn("ks", F.array(*names)).select("code", *names, "size", "a", F.explode(parts).alias("p")).select(
+        "code", *names, F.col("size").alias("whole"), "a", F.col("p.cut").alias("cut"), F.col("p.side").alias("side"), F.size("p.part").alias("size"),
         *[F.coalesce(F.get("p.part", F.lit(i)), F.lit(0)).alias(f"p{i + 1}") for i in range(most)])
-    keys = counts.select("size", *[F.col(k).alias(f"p{i + 1}") for i, k in enumerate(names)], "n")
-    sides = cut.join(keys, ["size", *[f"p{i + 1}" for i in range(most)]])
-    # all but the first and all but the last word, over again, reach every part of every longer candidate
-    both = sides.groupBy(*names, "whole", "a", "cut").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r"))
-    lowest = both.withColumn("score", F.expr(_score("a", "l", "r")).cast("long")).groupBy(*names, "whole", "a").agg(
-        F.min_by(F.struct("l", "r", "score"), F.struct("score", "cut")).alias("low")).select(*names, "whole", "a", "low.l", "low.r", "low.score")
+    of_word = lambda i, k: F.when(F.col("size") > i, F.col(k)).otherwise(0).alias(f"p{i + 1}")
+    keys = counts.filter(f"n >= {least}").select("code", "size", *[of_word(i, k) for i, k in enumerate(names)], "n")
+    sides = cut.join(keys, ["code", "size", *[f"p{i + 1}" for i in range(most)]])
+    both = sides.groupBy("code", *names, "whole", "a", "cut").agg(F.max(F.when(F.col("side") == 0, F.col("n"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("n"))).alias("r"))
+    lowest = both.withColumn("score", F.expr(_score("a", "l", "r")).cast("long")).groupBy("code", *names, "whole", "a").agg(
+        F.min_by(F.struct("l", "r", "score"), F.struct("score", "cut")).alias("low")).select("code", *names, "whole", "a", "low.l", "low.r", "low.score")
     inner = F.expr("flatten(transform(sequence(2, size - 1), k -> transform(sequence(1, size - k + 1), i -> slice(ks, i, k))))")
-    covers = candidates.filter("size > 2").withColumn("ks", F.array(*names)).select("a", F.explode(inner).alias("part")).groupBy(
-        F.size("part").alias("whole"), *[F.coalesce(F.get("part", F.lit(i)), F.lit(0)).alias(k) for i, k in enumerate(names)]).agg(F.max("a").alias("longer"))
-    kept = lowest.join(covers, ["whole", *names], "left").filter(f"longer is null or 100 * longer < {share} * a")
-    of_lang = spellings.select("k1", "lang")
-    spoken = stored(kept.join(of_lang, "k1"), "kept")
-    sizes = counts.filter("size = 1").join(of_lang, "k1").groupBy("lang").agg(F.sum("n").alias("n"))
+    covers = candidates.filter("size > 2").withColumn("ks", F.array(*names)).select("code", "a", F.explode(inner).alias("part")).groupBy(
+        "code", F.size("part").alias("whole"), *[F.coalesce(F.get("part", F.lit(i)), F.lit(0)).alias(k) for i, k in enumerate(names)]).agg(F.max("a").alias("longer"))
+    kept = lowest.join(covers, ["code", "whole", *names], "left").filter(f"longer is null or 100 * longer < {share} * a")
+    langs = blocks.groupBy("code", "lang").agg(F.sum("n").alias("n"))
+    spoken = stored(kept.join(langs.drop("n"), "code"), "kept")
     # spellings are looked up only for what can be among the first: scores as good as the last of them
     bars = _first(spoken, [F.desc("score"), F.desc("a")], top).groupBy("lang").agg(F.min(F.struct("score", "a")).alias("bar"))
     chosen = spoken.join(bars, "lang").filter(F.struct("score", "a") >= F.col("bar")).withColumn("row", F.struct(*names))
     each = chosen.select("lang", "row", "whole", "a", "l", "r", "score", F.posexplode(F.array(*names)).alias("at", "word_key")).filter("at < whole")
-    spelt = each.join(spellings.select(F.col("k1").alias("word_key"), "word"), "word_key").groupBy("lang", "row", "whole", "a", "l", "r", "score").agg(
+    table = docs.sparkSession.sparkContext.broadcast(found.table)
+    needed = each.select(F.col("word_key").alias("k1")).distinct()
+    words = _spellings(blocks, table).join(needed, "k1", "left_semi").distinct()
+    spelt = each.join(words.withColumnRenamed("k1", "word_key"), "word_key").groupBy("lang", "row", "whole", "a", "l", "r", "score").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     ranked = _first(spelt, [F.desc("score"), F.desc("a"), F.col("phrase")], top)
-    found = stored(ranked.join(sizes, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "collocations")
-    dropped(counts, spellings, spoken)
-    return found
+    best = stored(ranked.join(langs.drop("code"), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"), "collocations")
+    table.unpersist()
+    dropped(counts, blocks, spoken)
+    return best

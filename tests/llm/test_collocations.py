@@ -81,11 +81,13 @@ def test_counts_are_exact_whatever_the_table(spark, monkeypatch, slots):
     monkeypatch.setattr(c, "LEAST_SLOTS", slots)
     monkeypatch.setattr(c, "MOST_SLOTS", slots)
     rows = corpus(5, 300)
-    counts, spellings, scans = c.phrase_counts(table(spark, rows).select("text", "lang"), 4, 3, 3)
-    assert 6 <= scans <= 9
-    names = {r.k1: (r.lang, r.word) for r in spellings.collect()}
+    counted_ = c.phrase_counts(table(spark, rows).select("text", "lang"), 4, 3, 3)
+    assert 6 <= counted_.scans <= 9
+    names = {}
+    for block in counted_.blocks.collect():
+        names.update(zip(np.frombuffer(block.hashes, np.int64).tolist(), [(block.lang, w) for w in block.words]))
     found = {}
-    for r in counts.collect():
+    for r in counted_.phrases.collect():
         words = [names[k] for k in (r.k1, r.k2, r.k3)[: r["size"]]]
         key = words[0][0], tuple(w for _, w in words)
         assert key not in found
@@ -114,6 +116,13 @@ def test_phrases_wait_for_both_subphrases():
     assert len(keys) == 3 and (begun == 2).all() and sorted(zip(*keys)) == sorted([tuple(hashes[[0, 1, 0]]), tuple(hashes[[1, 0, 1]])])
 
 
+def test_languages_that_share_a_code_are_told_apart(spark, monkeypatch):
+    true = c._code
+    monkeypatch.setattr(c, "_code", lambda lang, key: 5 if key == 0 else true(lang, key))
+    rows = corpus(10, 60)
+    assert sorted(map(tuple, c.collocations(table(spark, rows), 50, 3).collect())) == brute(rows, 50, 3, 3, c.SHARE)
+
+
 def test_words_that_share_a_hash_are_told_apart(spark, monkeypatch):
     true = c._hashes
 
