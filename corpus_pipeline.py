@@ -14,6 +14,10 @@ from sensorframe.llm import catalog, mixing, near_copies, phrase_index, repetiti
 from sensorframe.llm.session import ready, shared_folder
 
 
+#: Hundredths of five-word shingles that near copies share.
+SIMILARITY = 80
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the limits on repetition."""
     ready(spark)
@@ -23,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copy_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
     ready(spark)
-    return near_copies.one_of_each(docs)
+    return near_copies.one_of_each(docs, percent=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
