@@ -100,11 +100,21 @@ def group_folds(spark, folder):
     return rows.join(X.group_folds(rows, 5, 42), "user").select("clip_id", "user", "label", "fold")
 
 
-GROUP_FOLDS_SQL = """WITH r AS (SELECT vec_id AS clip_id, label, (vec_id % 17)::VARCHAR AS "user" FROM embeddings),
-c AS (SELECT "user", label, count(*) AS n FROM r GROUP BY ALL),
-m AS (SELECT "user", arg_max(label, n * 1000000 + label) AS main, sum(n) AS size FROM c GROUP BY "user"),
-t AS (SELECT "user", row_number() OVER (ORDER BY main, -size, md5("user" || ':42'), "user") - 1 AS turn FROM m)
-SELECT clip_id, "user", label, CASE WHEN (turn // 5) % 2 = 1 THEN 5 - turn % 5 ELSE turn % 5 + 1 END::INTEGER AS fold FROM r JOIN t USING ("user")"""
+# every group by its class vector to the fold that has least of it, class sizes as weights, all in whole numbers
+GROUP_FOLDS_SQL = """WITH RECURSIVE r AS (SELECT vec_id AS clip_id, label, (vec_id % 17)::VARCHAR AS "user" FROM embeddings),
+k AS (SELECT label, count(*) AS n FROM r GROUP BY label),
+w AS (SELECT list(((1000 * (SELECT count(*) FROM r)) // n) ** 2 ORDER BY label)::HUGEINT[] AS w FROM k),
+v AS (SELECT "user", list(n ORDER BY label)::HUGEINT[] AS v, sum(n) AS size FROM (
+  SELECT u."user", k.label, count(r.clip_id) AS n FROM (SELECT DISTINCT "user" FROM r) u CROSS JOIN k LEFT JOIN r ON r."user" = u."user" AND r.label = k.label GROUP BY ALL) GROUP BY "user"),
+g AS (SELECT *, row_number() OVER (ORDER BY size DESC, md5("user" || ':42'), "user") AS i FROM v),
+s AS (
+  SELECT 0::BIGINT AS i, NULL::VARCHAR AS "user", 0 AS fold, list_transform(range(5), lambda f: list_transform(range(len(w)), lambda c: 0::HUGEINT)) AS totals FROM w
+  UNION ALL
+  SELECT i, "user", fold, list_transform(range(1, 6), lambda f: CASE WHEN f = fold THEN list_transform(range(1, len(v) + 1), lambda c: totals[f][c] + v[c]) ELSE totals[f] END)
+  FROM (SELECT g.i, g."user", v, totals, list_sort(list_transform(range(1, 6), lambda f: {
+          's': list_sum(list_transform(range(1, len(v) + 1), lambda c: totals[f][c] * v[c] * w[c])), 'n': list_sum(totals[f]), 'f': f}))[1].f::INTEGER AS fold
+        FROM s JOIN g ON g.i = s.i + 1, w))
+SELECT clip_id, "user", label, fold FROM r JOIN s USING ("user")"""
 
 
 def cross_validate(spark, folder):

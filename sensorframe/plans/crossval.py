@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorframe import skew
 from sensorframe.operators.clips import DataError, require_none
@@ -18,30 +20,83 @@ from sensorframe.plans.models import Algorithm
 from sensorframe.plans.prep import PARALLEL_FITS
 from sensorframe.plans.sums import fold_sums
 from sensorframe.schema import METRICS
-from sensorframe.skew import OrderedGroups
+
+
+#: Groups that one task deals out.
+SLICE_GROUPS = 100_000
+
+
+def _deal(totals: list[list[int]], vector: Sequence[int], weights: Sequence[int], open_folds: Sequence[int]) -> int:
+    """The fold that is fed best: the one that has least of what the vector holds, each class measured by its size; then the smallest, then the first.
+
+    Putting a vector v into a fold with totals t adds (2 t v + v v) / N N to the sum of squared class shares, and v v / N N is the same for all folds.
+    """
+    best = min(open_folds, key=lambda f: (sum(t * v * w for t, v, w in zip(totals[f], vector, weights) if v), sum(totals[f]), f))
+    totals[best] = [t + v for t, v in zip(totals[best], vector)]
+    return best
 
 
 def group_folds(rows: DataFrame, folds: int, seed: int, group: str = "user", label: str = "label") -> DataFrame:
     """Fold number (1..folds) of every group; a group is never split and folds keep the class shares.
 
-    Groups are ordered by their main class, then by size, then by a draw from seed and name, and dealt
-    out to and fro over the folds. So a fold gets every folds-th group of each class, as many groups as
-    the others, and large and small ones alike. One rule holds for any number of groups.
+    Groups are dealt out from the largest on (then by a draw from seed and name), each by its whole class vector, to the fold that has least of its
+    classes so far. With more groups than one task should deal, slices of them are dealt side by side, and then the folds of
+    each slice are matched to the folds of all by the same rule, slice after slice. Class counts are whole numbers, so every run agrees.
     """
     if folds < 2:
         raise ValueError("cross-validation needs at least two folds")
     counts = rows.groupBy(group, label).agg(F.count(F.lit(1)).alias("clips"))
-    main = counts.groupBy(group).agg(
-        F.max_by(label, F.struct("clips", label)).alias("_main"), F.sum("clips").alias("_size")
-    )
-    main = skew.checkpointed(main.withColumn("_draw", F.md5(F.concat_ws(":", F.col(group).cast("string"), F.lit(seed)))))
-    known = main.count()
+    sizes = {r[label]: r["clips"] for r in counts.filter(F.col(label).isNotNull()).groupBy(label).agg(F.sum("clips").alias("clips")).collect()}
+    classes = sorted(sizes)
+    total = sum(sizes.values())
+    weights = [(1000 * total // sizes[c]) ** 2 for c in classes]
+    held = F.coalesce(F.map_from_entries(F.filter(F.collect_list(F.struct(label, "clips")), lambda e: e[label].isNotNull())), F.create_map())
+    vectors = counts.groupBy(group).agg(held.alias("_of"), F.sum("clips").alias("_size"))
+    vectors = vectors.select(group, "_size", F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: F.coalesce(F.try_element_at("_of", c), F.lit(0))).alias("_vector"),
+                             F.md5(F.concat_ws(":", F.col(group).cast("string"), F.lit(seed))).alias("_draw"))
+    vectors = skew.checkpointed(vectors)
+    known = vectors.count()
     if known < folds:
         raise DataError(f"{known} participants cannot fill {folds} folds")
-    dealt = OrderedGroups(main, [], ["_main", -F.col("_size"), "_draw", group], None).scan(_turn=skew.position()).rows()
-    turn, back = F.col("_turn") % folds, F.floor(F.col("_turn") / folds) % 2 == 1
-    fold = F.when(back, folds - turn).otherwise(turn + 1)
-    return dealt.select(group, fold.cast("int").alias("fold"))
+    slices = -(-known // SLICE_GROUPS)
+    vectors = vectors.withColumn("_slice", F.pmod(F.xxhash64("_draw"), F.lit(slices)).cast("int"))
+    names = [group, "_slice", "_vector"]
+    schema = T.StructType([*[f for f in vectors.schema if f.name == group], T.StructField("_slice", T.IntegerType()), T.StructField("_local", T.IntegerType()),
+                           T.StructField("_vector", T.ArrayType(T.LongType()))])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, totals = None, []
+        for batch in batches:
+            found = []
+            for number, vector in zip(batch.column("_slice").to_pylist(), batch.column("_vector").to_pylist()):
+                if number != now:
+                    now, totals = number, [[0] * len(classes) for _ in range(folds)]
+                found.append(_deal(totals, vector, weights, range(folds)))
+            yield pa.RecordBatch.from_arrays([batch.column(group), batch.column("_slice"), pa.array(found, pa.int32()), batch.column("_vector")],
+                                             [group, "_slice", "_local", "_vector"])
+
+    ordered = vectors.repartition(slices, "_slice").sortWithinPartitions("_slice", F.desc("_size"), "_draw", group)
+    dealt = skew.checkpointed(ordered.select(*names).mapInArrow(deal, schema))
+    if slices == 1:
+        return dealt.select(group, (F.col("_local") + 1).alias("fold"))
+    # a row for each slice and fold: the groups of a million tasks would still be a small table
+    parts = dealt.select("_slice", "_local", F.posexplode("_vector").alias("c", "n")).groupBy("_slice", "_local", "c").agg(F.sum("n").alias("n"))
+    parts = parts.groupBy("_slice", "_local").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "n"))), lambda e: e["n"]).alias("_vector"))
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, free, totals = None, [], [[0] * len(classes) for _ in range(folds)]
+        for batch in batches:
+            found = []
+            for number, vector in zip(batch.column("_slice").to_pylist(), batch.column("_vector").to_pylist()):
+                if number != now:
+                    now, free = number, list(range(folds))
+                found.append(_deal(totals, vector, weights, free))
+                free.remove(found[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("_slice"), batch.column("_local"), pa.array([f + 1 for f in found], pa.int32())], ["_slice", "_local", "fold"])
+
+    size = F.aggregate("_vector", F.lit(0).cast("long"), lambda a, v: a + v)
+    matched = parts.coalesce(1).sortWithinPartitions("_slice", F.desc(size), "_local").mapInArrow(match, "_slice int, _local int, fold int")
+    return dealt.join(matched, ["_slice", "_local"]).select(group, "fold")
 
 
 def cross_validate(

@@ -121,6 +121,80 @@ def test_folds_keep_groups_whole(spark, cut, request):
         X.group_folds(df, 24, 42)
 
 
+def shares(folds, vectors):
+    """Sum of squared class shares of the folds; the best deal has the least."""
+    total = sum(np.array(v) for v in vectors.values())
+    sums = {}
+    for g, f in folds.items():
+        sums[f] = sums.get(f, 0) + np.array(vectors[g]) / total
+    return sum(float((s**2).sum()) for s in sums.values()), sums
+
+
+def mixed_participants(seed, groups, classes):
+    """Participants with most clips in a few classes and a share of others."""
+    rng = np.random.default_rng(seed)
+    return {f"u{g:04d}": np.maximum(rng.multinomial(rng.integers(5, 60), rng.dirichlet(np.full(classes, 0.5))), 0) for g in range(groups)}
+
+
+def clips_of(spark, vectors):
+    rows = [(g, c) for g, v in vectors.items() for c, n in enumerate(v) for _ in range(int(n))]
+    return spark.createDataFrame(rows, "user string, label int").repartition(3)
+
+
+def plain_folds(vectors, folds, seed):
+    """The rule, one group after the other."""
+    import hashlib
+
+    order = sorted(vectors, key=lambda g: (-int(sum(vectors[g])), hashlib.md5(f"{g}:{seed}".encode()).hexdigest(), g))
+    sizes = sum(np.array(v) for v in vectors.values())
+    present = [c for c in range(len(sizes)) if sizes[c]]
+    weights = [(1000 * int(sizes.sum()) // int(sizes[c])) ** 2 for c in present]
+    totals, found = [[0] * len(present) for _ in range(folds)], {}
+    for g in order:
+        v = [int(vectors[g][c]) for c in present]
+        costs = [(sum(a * b * w for a, b, w in zip(t, v, weights)), sum(t), f) for f, t in enumerate(totals)]
+        f = min(costs)[2]
+        totals[f] = [a + b for a, b in zip(totals[f], v)]
+        found[g] = f + 1
+    return found
+
+
+@pytest.mark.parametrize("seed, groups, classes, folds", [(1, 25, 6, 5), (2, 60, 12, 4), (3, 200, 40, 5)])
+def test_folds_keep_class_shares(spark, seed, groups, classes, folds):
+    """No fold is further from its share of a class than the two largest contributions to that class."""
+    vectors = mixed_participants(seed, groups, classes)
+    found = {r["user"]: r["fold"] for r in X.group_folds(clips_of(spark, vectors), folds, seed).collect()}
+    assert found == plain_folds(vectors, folds, seed)
+    table = np.array(list(vectors.values()))
+    largest = np.sort(table, axis=0)[-2:].sum(axis=0)
+    for f in range(1, folds + 1):
+        own = table[[found[g] == f for g in vectors]].sum(axis=0)
+        assert (np.abs(own - table.sum(axis=0) / folds) <= largest).all()
+    rng = np.random.default_rng(seed)
+    random = [shares({g: int(rng.integers(folds)) for g in vectors}, vectors)[0] for _ in range(200)]
+    assert shares(found, vectors)[0] < min(random)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_folds_are_near_the_best_of_all(spark, seed):
+    import itertools
+
+    vectors = mixed_participants(seed + 20, 11, 4)
+    found = {r["user"]: r["fold"] for r in X.group_folds(clips_of(spark, vectors), 2, 0).collect()}
+    best = min(shares(dict(zip(vectors, deal)), vectors)[0] for deal in itertools.product((1, 2), repeat=11) if len(set(deal)) == 2)
+    # the least conceivable is a half for each of four classes
+    assert shares(found, vectors)[0] <= best + 0.12
+
+
+def test_slices_of_groups_are_matched(spark, monkeypatch):
+    vectors = mixed_participants(9, 120, 5)
+    monkeypatch.setattr(X, "SLICE_GROUPS", 25)
+    found = {r["user"]: r["fold"] for r in X.group_folds(clips_of(spark, vectors), 4, 3).collect()}
+    assert set(found) == set(vectors) and set(found.values()) == {1, 2, 3, 4}
+    _, sums = shares(found, vectors)
+    assert all((np.abs(s - 0.25) < 0.08).all() for s in sums.values())
+
+
 def test_cross_validation(spark):
     rows = bundle(spark).cache()
     algorithm = M.get_algorithm("logistic_regression")
