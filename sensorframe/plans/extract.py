@@ -19,7 +19,7 @@ from sensorframe.plans import crossval as X
 from sensorframe.plans import models as M
 from sensorframe.schema import FeatureConfig
 from sensorframe.skew import OrderedGroups
-from sensorframe.sources import scan
+from sensorframe.sources import blockstore, scan
 
 
 def null_block(config: FeatureConfig, block: str):
@@ -71,24 +71,46 @@ def extract_blocks(
 
 def extract_split(spark, root: str, clips: DataFrame, config: FeatureConfig, blocks: Sequence[str] | None = None, *,
                   split: str = "train") -> DataFrame:
-    """Feature blocks of one extracted split; ``root`` is the folder above the modality folders."""
+    """Feature blocks of one extracted split; ``root`` is the folder above the modality folders.
+
+    Rows of other clips are left out where they are read, and no image of theirs is opened.
+    """
     wanted = normalize_blocks(blocks)
+    only = clips.select("clip_id").distinct()
     folder = (lambda m: f"{root}/{m}") if split == "train" else (lambda m: f"{root}/*/{m}")
     need = lambda *names: any(n in wanted for n in names)
     parts: dict[str, Any] = {}
     if need("depth", "depth_engineered"):
-        parts["depth"] = I.frame_groups(I.scan_frames(spark, folder("Depth_Color"), config, split=split, color=True))
+        parts["depth"] = I.frame_groups(I.scan_frames(spark, folder("Depth_Color"), config, split=split, color=True, only=only))
     if need("ir", "ir_engineered"):
-        parts["infrared"] = I.frame_groups(I.scan_frames(spark, folder("IR"), config, split=split))
+        parts["infrared"] = I.frame_groups(I.scan_frames(spark, folder("IR"), config, split=split, only=only))
     if need("imu", "imu_engineered"):
-        parts["imu"] = S.imu_groups(scan.scan_imu(spark, folder("IMU"), split))
+        parts["imu"] = S.imu_groups(scan.scan_imu(spark, folder("IMU"), split).join(only, "clip_id", "left_semi"))
     if need("skeleton", "skeleton_engineered"):
-        frames = scan.scan_skeleton(spark, folder("Skeleton"), split)
+        frames = scan.scan_skeleton(spark, folder("Skeleton"), split).join(only, "clip_id", "left_semi")
         # both skeleton blocks read these few rows per clip
         parts["skeleton"] = skew.checkpointed(P.skeleton_samples(frames, config))
     return extract_blocks(clips, config, wanted, **parts)
 
 
+def refresh_feature_table(spark, path: str, config: FeatureConfig, splits: dict[str, tuple[str, DataFrame]], blocks: Sequence[str] | None = None) -> dict:
+    """Bring a stored table to the clips of {split: (root, clips)} and at least these blocks; returns the clips extracted per (split, block).
+
+    Only missing (clip, block) pairs are extracted, so adding a block reads its modality alone, and adding clips only theirs.
+    """
+    def extracted(split: str, clips: DataFrame, due: Sequence[str]) -> DataFrame:
+        return extract_split(spark, splits[split][0], clips, config, due, split=split)
+
+    together = None
+    for split, (_, clips) in splits.items():
+        for name, kind in blockstore.CLIP_COLUMNS.items():
+            if name not in clips.columns:
+                clips = clips.withColumn(name, F.lit(None).cast(kind))
+        one = clips.select(F.lit(split).alias("split"), *blockstore.CLIP_COLUMNS)
+        together = one if together is None else together.unionByName(one)
+    return blockstore.refresh(spark, path, together, blocks, config, extracted)
+
+
 def index_split(spark, root: str, split: str, *, deep: bool = False) -> DataFrame:
     """Manifest of one extracted split, ordered for display."""
     manifest = K.build_manifest(scan.scan_split(spark, root, split)).withColumns(
