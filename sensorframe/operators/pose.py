@@ -5,12 +5,10 @@ A pose is a flat array of 51 numbers (17 joints by 3 axes) beside 17 scores.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sensorframe import skew
 from sensorframe.operators import signal as S
@@ -68,33 +66,35 @@ def _extent(points: Column) -> Column:
     ])
 
 
-def _compose(frames: pd.DataFrame, parts: list[str], order: list[str]) -> pd.DataFrame:
-    """Chain the frame-to-frame choices: for every possible entering person the person chosen here."""
-    frames = frames.sort_values(order, kind="stable")
-    reached = None
-    rows = []
-    for step in frames["_step"]:
-        if step is None:
-            rows.append(None)
-            continue
-        reached = list(step) if reached is None else [step[i] for i in reached]
-        rows.append(reached)
-    frames = frames.drop(columns="_step")
-    frames["_via"] = rows
-    return frames
-
-
-def _enter(slices: pd.DataFrame) -> pd.DataFrame:
-    """Person with which each slice of one clip is entered."""
-    slices = slices.sort_values(SLICE)
-    entry, rows = 0, []
-    for via in slices["_exit"]:
-        rows.append(entry)
-        if via is not None:
-            entry = int(via[entry])
-    slices = slices.drop(columns="_exit")
-    slices["_entry"] = rows
-    return slices
+#: Frames whose choices are chained before they are chained with others.
+CHUNK = 256
+_PERSONS = "array<int>"
+
+
+def _chained(tables: Column) -> Column:
+    """One table for a list of tables from person to person: for every person entered with, the person left with."""
+    empty = F.lit(None).cast(_PERSONS)
+    return F.aggregate(tables, empty, lambda so_far, t: F.when(t.isNull(), so_far).when(so_far.isNull(), t).otherwise(F.transform(so_far, lambda i: F.get(t, i))))
+
+
+def _walked(tables: Column, entry: Column, given: Callable[[Column, Column], Column]) -> Column:
+    """What ``given`` says of each table of a list and the person it is entered with, the first with ``entry``."""
+    start = F.struct(entry.cast("int").alias("at"), F.array().cast(_PERSONS).alias("out"))
+    leave = lambda at, t: F.when(t.isNull(), at).otherwise(F.get(t, at))
+    return F.aggregate(tables, start, lambda w, t: F.struct(leave(w["at"], t).alias("at"), F.concat(w["out"], F.array(given(w["at"], t))).alias("out")), lambda w: w["out"])
+
+
+def _chunks(tables: Column) -> Column:
+    # an empty list has no chunk, and a sequence would count down to it
+    last = F.floor((F.size(tables) - 1) / CHUNK).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda k: F.slice(tables, k * CHUNK + 1, CHUNK))
+
+
+def _chosen(tables: Column, entry: Column) -> Column:
+    """The person of every table of a list, null where the table is; chunks are chained first, so a long list costs little more than a short one."""
+    chunks = _chunks(tables)
+    entries = _walked(F.transform(chunks, _chained), entry, lambda at, t: at)
+    return F.flatten(F.zip_with(chunks, entries, lambda c, e: _walked(c, e, lambda at, t: F.get(t, at))))
 
 
 def person_track(groups: OrderedGroups, people: str = "people") -> DataFrame:
@@ -126,19 +126,20 @@ def person_track(groups: OrderedGroups, people: str = "people") -> DataFrame:
     )
     parts = groups.keys + ([SLICE] if groups.is_cut else [])
     linked = groups.df.select(*parts, *order, step.alias("_step"))
-    kinds = {f.name: f.dataType for f in linked.schema}
-    out = T.StructType([T.StructField(n, kinds[n]) for n in parts + order] + [T.StructField("_via", T.ArrayType(T.IntegerType()))])
-    chained = linked.groupBy(*parts).applyInPandas(lambda pdf: _compose(pdf, parts, order), out)
+    listed = linked.groupBy(*parts).agg(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("at"), "_step"))).alias("_frames"))
+    steps = F.transform("_frames", lambda f: f["_step"])
     if groups.is_cut:
-        last = F.max_by("_via", F.when(F.col("_via").isNotNull(), F.struct(*order)))
-        exits = chained.groupBy(*parts).agg(last.alias("_exit"))
-        shape = T.StructType([T.StructField(n, kinds[n]) for n in parts] + [T.StructField("_entry", T.IntegerType())])
-        entries = exits.groupBy(*groups.keys).applyInPandas(_enter, shape)
-        chained = skew._join_on(chained, entries, parts)
-        entry = F.col("_entry")
+        # slices are chained apart, and then each is entered with the person that the one before it was left with
+        listed = skew.checkpointed(listed)
+        exits = listed.select(*parts, _chained(F.transform(_chunks(steps), _chained)).alias("_exit"))
+        slices = exits.groupBy(*groups.keys).agg(F.array_sort(F.collect_list(F.struct(SLICE, "_exit"))).alias("_slices"))
+        entries = _walked(F.transform("_slices", lambda p: p["_exit"]), F.lit(0), lambda at, t: at)
+        entered = slices.select(*groups.keys, F.explode(F.arrays_zip(F.transform("_slices", lambda p: p[SLICE]).alias("slice"), entries.alias("entry"))).alias("e"))
+        listed = skew._join_on(listed, entered.select(*groups.keys, F.col("e.slice").alias(SLICE), F.col("e.entry").alias("_entry")), parts)
     else:
-        entry = F.lit(0)
-    chosen = chained.select(*groups.keys, *order, F.get("_via", entry).alias("person")).drop("_entry")
+        listed = listed.withColumn("_entry", F.lit(0))
+    pairs = F.arrays_zip(F.transform("_frames", lambda f: f["at"]).alias("at"), _chosen(steps, F.col("_entry")).alias("person"))
+    chosen = listed.select(*groups.keys, F.explode(pairs).alias("p")).select(*groups.keys, *[F.col(f"p.at.{o}").alias(o) for o in order], F.col("p.person").alias("person"))
     joined = skew._join_on(groups.df, chosen, [*groups.keys, *order])
     picked = F.get(people, F.col("person"))
     found = joined.withColumns({"points": picked["points"], "scores": picked["scores"]})

@@ -23,11 +23,14 @@ def crowd(clips=3, frames=25):
     return data
 
 
+@pytest.mark.parametrize("chunk", [256, 3])
 @pytest.mark.parametrize("cut", [False, True])
-def test_person_track(spark, cut, request):
+def test_person_track(spark, cut, chunk, request, monkeypatch):
     if cut:
         request.getfixturevalue("small_groups")
+    monkeypatch.setattr(P, "CHUNK", chunk)
     data = crowd()
+    data[7] = [[] for _ in range(5)]
     df = spark.createDataFrame([(k, i, p) for k, f in data.items() for i, p in enumerate(f)], PEOPLE)
     found = {}
     tracked = P.person_track(OrderedGroups(df, ["k"], ["i"], F.col("i")))
@@ -35,6 +38,17 @@ def test_person_track(spark, cut, request):
         found.setdefault(r["k"], []).append(r["person"])
     for k, frames in data.items():
         assert found[k] == restated.person_choice(frames)
+    assert "Python" not in tracked._jdf.queryExecution().executedPlan().toString() and "Pandas" not in tracked._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_long_clip_is_tracked(spark):
+    data = {k: f * 40 for k, f in crowd().items()}
+    df = spark.createDataFrame([(k, i, p) for k, f in data.items() for i, p in enumerate(f)], PEOPLE)
+    tracked = P.person_track(OrderedGroups(df, ["k"], ["i"], F.col("i")))
+    found = {}
+    for r in tracked.orderBy("k", "i").collect():
+        found.setdefault(r["k"], []).append(r["person"])
+    assert max(map(len, found.values())) > P.CHUNK and found == {k: restated.person_choice(f) for k, f in data.items()}
 
 
 def poses(frames=7, seed=2):
