@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from sensorframe.llm.session import dropped, stored
 from sensorframe.llm.words import chunks, mixed, plain_strings, text_bytes
 
-SHARDS = 3
+SHARDS = 2
 LEAST = 10
 MAX_WORDS = 3
 #: A longer candidate with so many hundredths of a phrase's occurrences drops it.
