@@ -170,18 +170,21 @@ REPORT = (
 
 
 def sorted_json(text: Column) -> Column:
-    """A flat JSON object with sorted keys and a blank after colons and commas; numbers stay as written."""
+    """A flat JSON object with sorted keys and a blank after colons and commas; numbers stay as written.
+
+    The text is read twice in all, for what is written and for its kinds; both maps have the keys in the order of the text.
+    """
     written, kinds = F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
-    pairs = F.array_sort(F.map_entries(written))
     # to_json escapes; of an array with one text it leaves the brackets to take off
     quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
 
-    def shown(pair: Column) -> Column:
-        is_text = F.schema_of_variant(F.try_element_at(kinds, pair["key"])) == "STRING"
-        value = F.when(is_text, quoted(pair["value"])).otherwise(F.coalesce(pair["value"], F.lit("null")))
-        return F.concat(quoted(pair["key"]), F.lit(": "), value)
+    def shown(entry: Column) -> Column:
+        value = F.when(F.schema_of_variant(entry["kind"]) == "STRING", quoted(entry["value"])).otherwise(F.coalesce(entry["value"], F.lit("null")))
+        return F.struct(entry["key"].alias("key"), F.concat(quoted(entry["key"]), F.lit(": "), value).alias("text"))
 
-    return F.concat(F.lit("{"), F.array_join(F.transform(pairs, shown), ", "), F.lit("}"))
+    entries = F.arrays_zip(F.map_keys(written).alias("key"), F.map_values(written).alias("value"), F.map_values(kinds).alias("kind"))
+    ordered = F.array_sort(F.transform(entries, shown))
+    return F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda e: e["text"]), ", "), F.lit("}"))
 
 
 def feature_block_list(report: Column) -> Column:
@@ -212,19 +215,25 @@ def parsed_reports(reports: DataFrame) -> DataFrame:
     return reports.filter("error IS NULL").withColumn("r", F.from_json("value", REPORT)).drop("value", "error")
 
 
-def _chosen(candidates: Column, selected: Column) -> Column:
-    same = F.filter(candidates, lambda c: sorted_json(c["parameters"]).eqNullSafe(sorted_json(selected)))
-    return F.get(same, F.lit(0))
+def _with_selected(reports: DataFrame) -> DataFrame:
+    """The selected parameters as sorted text, written once a report rather than once a candidate."""
+    return reports.withColumn("_selected", sorted_json(F.col("r.selected_parameters")))
+
+
+def _chosen(candidates: Column) -> Column:
+    return F.get(F.filter(candidates, lambda c: sorted_json(c["parameters"]).eqNullSafe(F.col("_selected"))), F.lit(0))
 
 
 def comparison_rows(reports: DataFrame) -> DataFrame:
     """One row per run with the metrics of its selected parameters."""
     r = F.col("r")
-    metrics = _chosen(r["aggregate_metrics"], r["selected_parameters"])["metrics"]
+    # the chosen candidate is a column of its own, so that its metrics do not look for it one by one
+    reports = _with_selected(reports).withColumn("_metrics", _chosen(r["aggregate_metrics"])["metrics"])
+    metrics = F.col("_metrics")
     return reports.select(
         F.coalesce(F.nullif(r["algorithm"], F.lit("")), "artifact_name").alias("algorithm"),
         "artifact_name",
-        F.coalesce(sorted_json(r["selected_parameters"]), F.lit("{}")).alias("parameters"),
+        F.coalesce("_selected", F.lit("{}")).alias("parameters"),
         *[metrics[m].alias(m) for m in METRICS],
         r["training_clips"].alias("training_clips"),
         "report",
@@ -251,8 +260,8 @@ def fold_table(reports: DataFrame) -> DataFrame:
 
 def fold_series(reports: DataFrame, metric: str) -> DataFrame:
     """Metric per fold of the selected parameters, else of the first candidate."""
-    rows = reports.select("report", F.col("r.selected_parameters").alias("s"), F.posexplode("r.folds").alias("i", "f"))
-    best = F.coalesce(_chosen(F.col("f.candidates"), F.col("s")), F.get("f.candidates", F.lit(0)))
+    rows = _with_selected(reports).select("report", "_selected", F.posexplode("r.folds").alias("i", "f"))
+    best = F.coalesce(_chosen(F.col("f.candidates")), F.get("f.candidates", F.lit(0)))
     return rows.withColumn("b", best).filter("b IS NOT NULL").select(
         "report", F.coalesce("f.fold", F.col("i") + 1).alias("fold"), F.col("b")["metrics"][metric].alias(metric)
     )
