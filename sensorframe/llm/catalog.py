@@ -214,12 +214,15 @@ def op9_line_runs(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_deleted", F.md5("text").alias("text_md5"))
 
 
+# a line of more than 50 words is a run by itself, so that a passage on one line is deleted like one on several
 OP9_SQL = """
 WITH all_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents),
 lines AS (SELECT doc_id, nr, line, row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS i FROM all_lines WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
 pairs AS (SELECT a.doc_id, a.i, a.line AS one, b.line AS two FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
 copies AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY one, two ORDER BY doc_id, i) AS k FROM pairs) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1]) AS i FROM copies),
+alone AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY line ORDER BY doc_id, i) AS k FROM lines
+          WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) > 50) WHERE k > 1),
+gone AS (SELECT doc_id, unnest([i, i + 1]) AS i FROM copies UNION SELECT doc_id, i FROM alone),
 gone_lines AS (SELECT doc_id, nr FROM gone JOIN lines USING (doc_id, i)),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY nr) AS text FROM all_lines ANTI JOIN gone_lines USING (doc_id, nr) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id),

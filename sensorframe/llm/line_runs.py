@@ -15,7 +15,9 @@ width and both move on.
 
 **Deletion.** Cutting the array where neighbours have fewer than ``min_lines`` common lines leaves intervals of
 suffixes that begin alike. The earliest place of an interval (by id, then row, then line) stays; every other
-begins a later copy, whose lines are deleted. The copies that begin inside a longer run cover the rest of it.
+begins a later copy, whose lines are deleted. The copies that begin inside a longer run cover the rest of it. Cutting it where
+neighbours have no common line leaves the copies of single lines, of which those with more than ``long_words`` words go in the same way: a
+passage that is one line is as long a repetition as one of several short lines.
 
 Results for odd input: null and empty texts have no lines and stay as they are; blank lines are never part of
 a run and stay; of equal rows the first by a row number keeps its lines; null ids come first; an empty table
@@ -26,12 +28,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorframe.llm.session import dropped, stored
 
 MIN_LINES = 2
+#: A single line with more words than this is a run by itself.
+LONG_WORDS = 50
 
 
 def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
@@ -47,12 +51,17 @@ def running(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame
     return out
 
 
-def line_table(numbered: DataFrame) -> DataFrame:
-    """(doc, id, at, line_number, key) of the lines that hold something; ``at`` numbers them from 0 in each document."""
+def line_table(numbered: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc, id, at, line_number, key, long) of the lines that hold something; ``at`` numbers them from 0 in each document."""
     parts = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line_number"), x.alias("line")))
     filled = F.filter(parts, lambda p: p["line"].rlike("[^\\x20\\x09-\\x0D]"))
     return numbered.select("doc", "id", F.posexplode(filled).alias("at", "part")).select(
-        "doc", "id", "at", F.col("part.line_number").alias("line_number"), F.xxhash64("part.line").alias("key"))
+        "doc", "id", "at", F.col("part.line_number").alias("line_number"), F.xxhash64("part.line").alias("key"), _is_long(F.col("part.line"), long_words).alias("long"))
+
+
+def _is_long(line: Column, words: int) -> Column:
+    """Whether a line has more than so many words; one word more takes two characters for each, less one, so most lines are not split."""
+    return F.when(F.length(line) > 2 * words, F.size(F.regexp_extract_all(line, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))) > words).otherwise(False)
 
 
 def doubled_ranks(lines: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
@@ -104,28 +113,36 @@ def common_prefixes(every: DataFrame, levels: list[DataFrame], min_lines: int) -
 
 
 def later_copies(lines: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
-    """(doc, at) where a run of ``min_lines`` or more lines begins that an earlier place has as well."""
-    every, rounds, levels = doubled_ranks(lines)
+    """(doc, at, length) where a run of ``min_lines`` or more lines, or one long line, begins that an earlier place has as well.
+
+    ``length`` is the number of lines that go for it: ``min_lines``, or 1.
+    """
+    every, rounds, levels = doubled_ranks(lines.drop("long"))
     if not levels:
-        return lines.select("doc", "at").limit(0)
+        return lines.select("doc", "at", F.lit(1).alias("length")).limit(0)
+    # the least doubling: suffixes of one rank share their first line, so its intervals need no lengths
+    single = rounds[0].filter("n > 1").join(lines.filter("long").select("doc", "at"), ["doc", "at"], "left_semi")
+    first = single.groupBy("rank").agg(F.min(F.struct("id", "doc", "at")).alias("first"))
+    alone = stored(single.join(first, "rank").filter("doc != first.doc or at != first.at").select("doc", "at", F.lit(1).alias("length")), "copies")
     array = common_prefixes(every, levels, min_lines)
     # each interval has the number of cuts up to its first place
     cut = array.withColumn("cut", (F.col("common") < min_lines).cast("int"))
     intervals = running(cut, ["place"], "cut", "cuts").withColumn("interval", F.col("cuts") + F.col("cut"))
     earliest = intervals.groupBy("interval").agg(F.min(F.struct("id", "doc", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = intervals.join(earliest, "interval").filter("doc != first.doc or at != first.at").select("doc", "at")
-    found = stored(copies, "copies")
-    dropped(intervals, *rounds, *levels)
+    copies = intervals.join(earliest, "interval").filter("doc != first.doc or at != first.at").select("doc", "at", F.lit(min_lines).alias("length"))
+    found = stored(copies.unionByName(alone), "copies")
+    dropped(intervals, alone, *rounds, *levels)
     return found
 
 
-def without_repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_lines: int = MIN_LINES) -> DataFrame:
+def without_repeated_runs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_lines: int = MIN_LINES,
+                          long_words: int = LONG_WORDS) -> DataFrame:
     """One row per document: id, n_lines (that hold something), n_deleted, deleted (line numbers from 0) and the text without them."""
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
     numbered = stored(rows.withColumn("doc", F.monotonically_increasing_id()), "numbered")
-    lines = stored(line_table(numbered), "lines")
+    lines = stored(line_table(numbered, long_words), "lines")
     copies = later_copies(lines.drop("line_number"), min_lines)
-    covered = copies.select("doc", F.explode(F.sequence(F.col("at"), F.col("at") + (min_lines - 1))).alias("at")).distinct()
+    covered = copies.select("doc", F.explode(F.sequence(F.col("at"), F.col("at") + F.col("length") - 1)).alias("at")).distinct()
     gone = lines.join(covered, ["doc", "at"], "left_semi").groupBy("doc").agg(F.sort_array(F.collect_list("line_number")).alias("deleted"))
     counts = lines.groupBy("doc").agg(F.count(F.lit(1)).alias("n_lines"))
     parts = F.split("text", "\n", -1)

@@ -5,8 +5,8 @@ import pytest
 from sensorframe.llm import line_runs as r
 
 
-def brute(rows, least):
-    """Texts without later copies of runs, rows in order."""
+def brute(rows, least, long_words=50):
+    """Texts without later copies of runs and of long lines, rows in order."""
     seen, out = set(), {}
     for i, text in rows:
         lines = (text or "").split("\n")
@@ -17,6 +17,11 @@ def brute(rows, least):
             if piece in seen:
                 gone |= set(filled[a : a + least])
             seen.add(piece)
+        for k in filled:
+            if len(lines[k].split()) > long_words:
+                if (lines[k],) in seen:
+                    gone.add(k)
+                seen.add((lines[k],))
         out[i] = None if text is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
@@ -37,10 +42,22 @@ def test_later_copies_go(table, least):
     assert sum(x.n_deleted for x in found) == sum(len(x.deleted) for x in found) > 0
 
 
+def test_long_single_lines_go(table):
+    """Copies of a passage on one line go, whatever stands around it; short lines stay."""
+    passage = " ".join(f"w{k}" for k in range(200))
+    rows = [(i, f"own {i} a\n{passage}\nown {i} b\nshort line of all") for i in range(3)] + [(3, passage), (4, " ".join(passage.split()[:50])), (5, " ".join(passage.split()[:50]))]
+    rows += [(6, f"{passage}\n{passage} "), (7, f"x\n{passage} ")]
+    found = {x.doc_id: x for x in r.without_repeated_runs(table([(i, t, "s") for i, t in rows])).collect()}
+    assert {i: x.text for i, x in found.items()} == brute(rows, 2)
+    assert [found[i].n_deleted for i in range(8)] == [0, 1, 1, 1, 0, 0, 1, 1] and found[1].text == "own 1 a\nown 1 b\nshort line of all"
+    few = r.without_repeated_runs(table([(i, t, "s") for i, t in rows]), long_words=30).collect()
+    assert {x.doc_id: x.text for x in few} == brute(rows, 2, 30)
+
+
 def test_prefixes_are_those_of_a_suffix_array(table):
     rng = random.Random(9)
     rows = [(i, "\n".join(rng.choice("abc") for _ in range(rng.choice([3, 9, 20])))) for i in range(25)]
-    lines = r.stored(r.line_table(table([(i, t, "s") for i, t in rows]).selectExpr("doc_id as id", "text", "doc_id as doc")).drop("line_number"))
+    lines = r.stored(r.line_table(table([(i, t, "s") for i, t in rows]).selectExpr("doc_id as id", "text", "doc_id as doc")).drop("line_number", "long"))
     every, _, levels = r.doubled_ranks(lines)
     array = sorted(r.common_prefixes(every, levels, 2).collect(), key=lambda x: x.place)
     texts = {i: t.split("\n") for i, t in rows}
