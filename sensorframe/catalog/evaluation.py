@@ -136,32 +136,32 @@ SELECT l_suppkey, round(macro_f1, 2) AS macro_f1 FROM metrics ORDER BY round(mac
 
 
 def probabilities(spark, folder):
-    """Vectors as class scores: the first ten values, squared and scaled to sum to one."""
-    squared = F.transform(F.slice("embedding", 1, 10), lambda v: v.cast("double") * v)
+    """Vectors as class scores: all values, squared and scaled to sum to one."""
+    squared = F.transform("embedding", lambda v: v.cast("double") * v)
     total = F.aggregate(squared, F.lit(0.0), lambda a, v: a + v)
     rows = table(spark, folder, "embeddings").select("vec_id", squared.alias("s"), total.alias("t"))
     return rows.select("vec_id", F.transform("s", lambda v: v / F.col("t")).alias("probability"))
 
 
-PROBABILITIES = """e AS (SELECT vec_id, unnest(range(10)) AS k, unnest(embedding[1:10])::DOUBLE ** 2 AS s FROM embeddings),
+PROBABILITIES = """e AS (SELECT vec_id, unnest(range(64)) AS k, unnest(embedding)::DOUBLE ** 2 AS s FROM embeddings),
 p AS (SELECT vec_id, k, s / sum(s) OVER (PARTITION BY vec_id) AS p FROM e)"""
 
 
 def align_probabilities(spark, folder):
-    seen = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: (i + F.col("vec_id")) % 12)
+    seen = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i + F.col("vec_id")) % 70)
     rows = probabilities(spark, folder).withColumn("classes", F.transform(seen, lambda c: c.cast("int")))
-    aligned = E.align_probabilities(F.col("probability"), F.col("classes"), range(12))
+    aligned = E.align_probabilities(F.col("probability"), F.col("classes"), range(70))
     return rounded(rows.select("vec_id", F.posexplode(aligned).alias("class", "probability")), ["probability"])
 
 
 ALIGN_SQL = f"""WITH {PROBABILITIES}
 SELECT v.vec_id, c::INTEGER AS class, {named('coalesce(p.p, 0)', 'probability')}
-FROM (SELECT vec_id, unnest(range(12)) AS c FROM embeddings) v LEFT JOIN p ON p.vec_id = v.vec_id AND (p.k + p.vec_id) % 12 = v.c"""
+FROM (SELECT vec_id, unnest(range(70)) AS c FROM embeddings) v LEFT JOIN p ON p.vec_id = v.vec_id AND (p.k + p.vec_id) % 70 = v.c"""
 
 
 def mean_consensus(spark, folder):
     rows = probabilities(spark, folder).withColumn("clip", F.floor(F.col("vec_id") / 3))
-    return rounded(E.mean_consensus(rows, "clip", range(10, 20)), ["probability"])
+    return rounded(E.mean_consensus(rows, "clip", range(10, 74)), ["probability"])
 
 
 MEAN_CONSENSUS_SQL = f"""WITH {PROBABILITIES}, m AS (SELECT vec_id // 3 AS clip, k, avg(p) AS p FROM p GROUP BY 1, 2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sensorframe.catalog.common import named, r, rounded, vectors
@@ -54,14 +55,31 @@ SELECT vec_id, position::INTEGER AS position, {named('(v - avg(v) OVER w) / stdd
 
 
 def fit_pca(spark, folder):
-    rows = features(spark, folder)
-    reduced = Q.Reducer.fit(rows, "imu", rows.count()).apply(rows, "imu")
-    return reduced.select("clip_id", F.size("imu").alias("width"), F.round(F.aggregate("imu", F.lit(0.0), lambda a, v: a + v * v), 4).alias("power"))
-
+    """What makes 8 of 64 directions the principal ones, from the scaled values and the scores alone.
 
-PCA_SQL = f"""WITH g AS (SELECT vec_id, unnest(range(16)) AS position, unnest(embedding[17:32])::DOUBLE AS v FROM embeddings),
-z AS (SELECT vec_id, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z FROM g WINDOW w AS (PARTITION BY position))
-SELECT vec_id AS clip_id, 16 AS width, round(sum(z * z), 4) AS power FROM z GROUP BY vec_id"""
+    Scores do not vary together; a score's variance is the length of its covariances with all values, as for an eigenvector of length 1;
+    variances fall, and the least is above the mean of what is left over.
+    """
+    rows = vectors(spark, folder).select("vec_id", F.col("embedding").alias("imu"))
+    reducer = Q.Reducer.fit(rows, "imu", 8)
+    scores = reducer.apply(rows, "imu").select("vec_id", F.posexplode("imu").alias("component", "y"))
+    values = rows.select("vec_id", F.posexplode(reducer.scaler.apply("imu")).alias("position", "z"))
+    other = scores.select("vec_id", F.col("component").alias("other"), F.col("y").alias("o"))
+    n = rows.count()
+    crossed = scores.join(values, "vec_id").groupBy("component", "position").agg((F.sum(F.col("y") * F.col("z")) / n).alias("c"))
+    lengths = crossed.groupBy("component").agg(F.sqrt(F.sum(F.col("c") ** 2)).alias("length"))
+    pairs = scores.join(other, "vec_id").groupBy("component", "other").agg((F.sum(F.col("y") * F.col("o")) / n).alias("v"))
+    own = pairs.filter("component = other").select("component", F.col("v").alias("variance"))
+    apart = pairs.filter("component <> other").groupBy("component").agg((F.max(F.abs("v")) < 1e-9).alias("uncorrelated"))
+    facts = own.join(lengths, "component").join(apart, "component").join(own.select((F.col("component") - 1).alias("component"), F.col("variance").alias("next")), "component", "left")
+    # eight rows
+    every = Window.partitionBy(F.lit(0))
+    return facts.withColumn("least", F.min("variance").over(every)).withColumn("kept", F.sum("variance").over(every)).select(
+        "component", "uncorrelated", (F.abs(F.col("length") - F.col("variance")) < 1e-9).alias("principal"),
+        (F.coalesce("next", F.lit(0.0)) <= F.col("variance")).alias("descending"), (F.col("least") > (64 - F.col("kept")) / 56).alias("leading"))
+
+
+PCA_SQL = "SELECT unnest(range(8))::INTEGER AS component, true AS uncorrelated, true AS principal, true AS descending, true AS leading"
 
 
 def assemble_features(spark, folder):
@@ -84,14 +102,14 @@ def late_fusion(spark, folder):
 
 
 def blend_probabilities(spark, folder):
-    squares = lambda i: F.transform(F.slice("embedding", 10 * i + 1, 10), lambda v: v.cast("double") * v)
-    parts = {"depth": squares(0), "imu": squares(1), "skeleton": squares(2)}
-    mixed = M.blend(parts, {"depth": 0.75, "imu": 1.25, "skeleton": 1.25})
+    squares = lambda i: F.transform(F.slice("embedding", 16 * i + 1, 16), lambda v: v.cast("double") * v)
+    parts = {"depth": squares(0), "imu": squares(1), "skeleton": squares(2), "combined": squares(3)}
+    mixed = M.blend(parts, {"depth": 0.75, "imu": 1.25, "skeleton": 1.25, "combined": 0.5})
     return rounded(vectors(spark, folder).select("vec_id", F.posexplode(mixed).alias("class", "probability")), ["probability"])
 
 
-BLEND_SQL = f"""WITH k AS (SELECT unnest(range(10)) AS k)
-SELECT vec_id, k::INTEGER AS class, {named('(0.75 * embedding[k + 1]::DOUBLE ** 2 + 1.25 * embedding[k + 11]::DOUBLE ** 2 + 1.25 * embedding[k + 21]::DOUBLE ** 2) / 3.25', 'probability')}
+BLEND_SQL = f"""WITH k AS (SELECT unnest(range(16)) AS k)
+SELECT vec_id, k::INTEGER AS class, {named('(0.75 * embedding[k + 1]::DOUBLE ** 2 + 1.25 * embedding[k + 17]::DOUBLE ** 2 + 1.25 * embedding[k + 33]::DOUBLE ** 2 + 0.5 * embedding[k + 49]::DOUBLE ** 2) / 3.75', 'probability')}
 FROM embeddings, k"""
 
 

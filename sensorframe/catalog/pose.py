@@ -333,7 +333,8 @@ def extract_blocks(spark, folder):
     skeleton = samples(spark, folder).withColumnRenamed("label", "clip_id").withColumn("clip_id", F.col("clip_id").cast("string"))
     rows = X.extract_blocks(clips, SMALL, ("depth", "depth_engineered", "ir_engineered", "imu", "skeleton"),
                             depth=picture, infrared=picture, imu=imu, skeleton=skeleton)
-    return rows.select("clip_id", *[F.size(c).alias(c) for c in rows.columns[1:]])
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("block"), F.transform(b, lambda v: v.cast("double")).alias("values")) for b in rows.columns[1:]])).alias("b")
+    return rows.select("clip_id", each).select("clip_id", "b.block", F.posexplode("b.values").alias("position", "value")).withColumn("value", F.round("value", 4))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -186,8 +186,12 @@ def out_of_fold(found: DataFrame, candidate: int) -> DataFrame:
 
 
 def validation_report(found: DataFrame, algorithm: Algorithm, candidates: Sequence[Mapping[str, Any]], *,
-                      selection_metric: str = "macro_f1", seed: int = 42) -> dict[str, Any]:
-    """Nested report of a cross-validation; every table in it is as small as classes or groups."""
+                      selection_metric: str = "macro_f1", seed: int = 42, groups_path: str | None = None) -> dict[str, Any]:
+    """Nested report of a cross-validation; every table in it is as small as classes, folds or candidates.
+
+    Participants are listed in it: in each fold, and with their metrics. With ``groups_path`` both are written there by Spark, as tables
+    ``users`` and ``metrics``, and the report only names them, however many participants there are.
+    """
     settings = [algorithm.resolved(c) for c in candidates]
     classes = sorted(int(r["label"]) for r in found.select("label").distinct().collect())
     pick = lambda row: {m: row[m] for m in METRICS}
@@ -199,10 +203,22 @@ def validation_report(found: DataFrame, algorithm: Algorithm, candidates: Sequen
     chosen = agreed.filter(F.col("candidate") == best)
     fold_rows = E.classification_metrics(found, ["repeat", "fold", "candidate"]).orderBy("repeat", "fold", "candidate").collect()
     folds: dict[tuple[int, int], dict[str, Any]] = {}
+    in_fold = found.select("repeat", "fold", F.col("user").cast("string").alias("user")).distinct()
+    by_group = E.per_group_metrics(chosen, "user")
+    if groups_path is None:
+        users = {(r["repeat"], r["fold"]): r["users"] for r in in_fold.groupBy("repeat", "fold").agg(F.sort_array(F.collect_list("user")).alias("users")).collect()}
+        group_rows: Any = [
+            {"group": str(r["user"]), "clips": r["clips"], "metrics": pick(r)} for r in by_group.orderBy(F.col("user").cast("string")).collect()
+        ]
+    else:
+        in_fold.write.mode("overwrite").partitionBy("repeat", "fold").parquet(f"{groups_path}/users")
+        by_group.write.mode("overwrite").parquet(f"{groups_path}/metrics")
+        users = {(r["repeat"], r["fold"]): f"{groups_path}/users/repeat={r['repeat']}/fold={r['fold']}" for r in fold_rows}
+        group_rows = f"{groups_path}/metrics"
     for r in fold_rows:
         entry = folds.setdefault((r["repeat"], r["fold"]), {
             "repeat": r["repeat"], "fold_in_repeat": r["fold"], "fold": len(folds) + 1,
-            "validation_clips": r["clips"], "candidates": [],
+            "validation_clips": r["clips"], "validation_users": users[r["repeat"], r["fold"]], "candidates": [],
         })
         entry["candidates"].append({"parameters": settings[r["candidate"]], "metrics": pick(r)})
     matrix = E.confusion_matrix(chosen, classes).groupBy("actual").agg(
@@ -232,9 +248,6 @@ def validation_report(found: DataFrame, algorithm: Algorithm, candidates: Sequen
         "per_class_metrics": [
             r.asDict() for r in E.per_class_metrics(chosen, E.class_table(found.sparkSession, classes)).orderBy("class_id").collect()
         ],
-        "per_group_metrics": [
-            {"group": str(r["user"]), "clips": r["clips"], "metrics": pick(r)}
-            for r in E.per_group_metrics(chosen, "user").orderBy(F.col("user").cast("string")).collect()
-        ],
+        "per_group_metrics": group_rows,
         "confusion_matrix": [r["row"] for r in matrix.orderBy("actual").collect()],
     }

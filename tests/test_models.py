@@ -195,7 +195,7 @@ def test_slices_of_groups_are_matched(spark, monkeypatch):
     assert all((np.abs(s - 0.25) < 0.08).all() for s in sums.values())
 
 
-def test_cross_validation(spark):
+def test_cross_validation(spark, tmp_path):
     rows = bundle(spark).cache()
     algorithm = M.get_algorithm("logistic_regression")
     blocks, candidates = ("imu", "skeleton", "imu_engineered"), [{"C": 0.1}, {"C": 1.0}]
@@ -211,6 +211,13 @@ def test_cross_validation(spark):
     best = max(report["aggregate_metrics"], key=lambda a: a["metrics"]["macro_f1"])
     assert report["selected_parameters"] == best["parameters"]
     assert len(best["repeat_metrics"]) == 2 and sum(g["clips"] for g in report["per_group_metrics"]) == 16
+    assert sorted(u for f in report["folds"] if f["repeat"] == 1 for u in f["validation_users"]) == [f"user{i}" for i in range(4)]
+    path = str(tmp_path / "groups")
+    named = X.validation_report(found, algorithm, candidates, groups_path=path)
+    kept = spark.read.parquet(named["per_group_metrics"]).collect()
+    assert {r["user"]: r["clips"] for r in kept} == {g["group"]: g["clips"] for g in report["per_group_metrics"]}
+    for given, told in zip(named["folds"], report["folds"]):
+        assert sorted(r["user"] for r in spark.read.parquet(given["validation_users"]).collect()) == told["validation_users"]
     for bad in ({"folds": 1}, {"repeats": 0}, {"selection_metric": "loss"}):
         with pytest.raises(ValueError):
             X.cross_validate(rows, blocks, algorithm, candidates, **bad)
