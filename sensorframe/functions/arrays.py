@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,26 +64,32 @@ def dynamics(signals: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(DOUBLES)
 def dynamic_figures(samples: pd.Series) -> pd.Series:
-    out = pd.Series([None] * len(samples), dtype=object)
+    out: list[np.ndarray | None] = [None] * len(samples)
     for rows, matrix in _by_length(samples):
-        for row, figures in zip(rows, dynamics(matrix)):
-            out.iloc[row] = figures
-    return out
+        for row, figures in zip(rows.tolist(), dynamics(matrix)):
+            out[row] = figures
+    return pd.Series(out, dtype=object)
 
 
-@F.pandas_udf(DOUBLES)
-def pair_figures(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Correlation, root mean square and mean absolute difference of two sample arrays."""
-    out = pd.Series([None] * len(left), dtype=object)
-    both = left.notna() & right.notna()
-    rows = np.flatnonzero(both.to_numpy())
-    if len(rows):
-        a = np.stack([np.asarray(left.iloc[r], dtype=np.float64) for r in rows])
-        b = np.stack([np.asarray(right.iloc[r], dtype=np.float64) for r in rows])
-        gap = a - b
-        figures = np.column_stack(
-            (_centered_correlation(a, b), np.sqrt((gap**2).mean(axis=1)), np.abs(gap).mean(axis=1))
-        )
-        for row, values in zip(rows, figures):
-            out.iloc[row] = values
-    return out
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def pair_figures(left: Column, right: Column) -> Column:
+    """Correlation, root mean square and mean absolute difference of two sample arrays of one length; NULL where one is missing."""
+    n = F.size(left)
+    doubles = lambda c: F.transform(c, lambda v: v.cast("double"))
+    centred = lambda c: _let(_total(c) / n, lambda mean: F.transform(c, lambda v: v - mean))
+    pairs = F.arrays_zip(centred(doubles(left)).alias("a"), centred(doubles(right)).alias("b"))
+    start = F.struct(*[F.lit(0.0).alias(c) for c in ("ab", "aa", "bb")])
+    sums = F.aggregate(pairs, start, lambda s, p: F.struct(
+        (s["ab"] + p["a"] * p["b"]).alias("ab"), (s["aa"] + p["a"] * p["a"]).alias("aa"), (s["bb"] + p["b"] * p["b"]).alias("bb")))
+    correlation = _let(sums, lambda s: _let(F.sqrt(s["aa"] * s["bb"]), lambda scale: F.when(scale > 1e-12, s["ab"] / scale).otherwise(0.0)))
+    gaps = F.zip_with(doubles(left), doubles(right), lambda a, b: a - b)
+    errors = _let(gaps, lambda g: F.array(F.sqrt(_total(F.transform(g, lambda v: v * v)) / n), _total(F.transform(g, F.abs)) / n))
+    return F.when(left.isNotNull() & right.isNotNull() & (n > 0), F.concat(F.array(correlation), errors))

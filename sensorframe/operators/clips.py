@@ -483,7 +483,8 @@ def issue_counts(rows: DataFrame, text: str = "issues", separator: str = "; ") -
 def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
     """Equal-width bins of the present values; the highest value belongs to the last bin."""
     present = rows.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    low, high = present.agg(F.min("v")).scalar(), present.agg(F.max("v")).scalar()
+    ends = present.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
     width = (high - low) / bins
     index = F.when(width > 0, F.least(F.floor((F.col("v") - low) / width), F.lit(bins - 1))).otherwise(F.lit(0))
     return present.groupBy(index.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("clips"))

@@ -99,8 +99,8 @@ def next_unlabeled(rows: DataFrame, item: str, place: str, labeled: Column) -> D
     ahead = groups.scan(_ahead=skew.next_valid(F.col("_open")))
     ahead = ahead.scan(_skip=skew.following(F.col("_ahead"))).rows()
     ends = rows.withColumn("_done", labeled)
-    first = ends.agg(F.min_by(here, place)).scalar()
-    first_open = ends.agg(F.min(open_here)).scalar()
+    both = ends.agg(F.struct(F.min_by(here, place).alias("first"), F.min(open_here).alias("open"))).scalar()
+    first, first_open = both["first"], both["open"]
     wrapped = F.when(first_open["v"] != F.col(item), first_open["v"])
     return ahead.withColumn(
         "next_item", F.coalesce(F.col("_skip")["v"], wrapped, F.col("_after")["v"], first["v"])

@@ -323,7 +323,7 @@ def pair_features(samples: DataFrame, keys: Sequence[str], device: str, pairs=IM
             ])
         ),
     )
-    figured = rows.withColumn("_f", pair_figures("a", "b"))
+    figured = rows.withColumn("_f", pair_figures(F.col("a"), F.col("b")))
     return figured.select(
         *keys, "channel", "left", "right",
         F.col("_f")[0].alias("corr"), F.col("_f")[1].alias("rmse"), F.col("_f")[2].alias("mae"),
