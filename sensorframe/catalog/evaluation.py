@@ -172,6 +172,10 @@ def majority_vote(spark, folder):
     return E.majority_vote(predicted(spark, folder), "part", 42)
 
 
+VOTE_SQL = f"""WITH v AS (SELECT part, prediction, count(*) AS votes FROM ({predicted_sql()}) GROUP BY 1, 2)
+SELECT part, prediction, votes FROM v QUALIFY row_number() OVER (PARTITION BY part ORDER BY votes DESC, md5(part || ':' || prediction || ':42') DESC) = 1"""
+
+
 # ---------------------------------------------------------------- customers as runs
 
 
@@ -327,6 +331,7 @@ ORACLES = {
     "best_candidate": BEST_SQL,
     "align_probabilities": ALIGN_SQL,
     "mean_consensus": MEAN_CONSENSUS_SQL,
+    "majority_vote": VOTE_SQL,
     "unique_run_labels": f"WITH {RUNS} SELECT place, label FROM labeled",
     "filter_runs": f"WITH {RUNS} SELECT place, algorithm, feature_blocks FROM runs WHERE macro_f1 IS NOT NULL AND algorithm IN ('BUILDING', 'MACHINERY') AND feature_blocks IN ('depth, ir', 'imu')",
     "leaderboard": f"WITH {RUNS} SELECT place, row_number() OVER (ORDER BY coalesce(macro_f1, -1) DESC, place) AS rank FROM runs",

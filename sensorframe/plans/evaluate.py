@@ -147,9 +147,9 @@ def mean_consensus(rows: DataFrame, clip: str, classes: Sequence[int], probabili
 
 
 def majority_vote(rows: DataFrame, clip: str, seed: int, prediction: str = "prediction") -> DataFrame:
-    """Most frequent prediction; ties fall by a seeded hash instead of the lowest class."""
+    """Most frequent prediction; ties fall by a draw from clip, class and seed instead of the lowest class."""
     votes = rows.groupBy(clip, prediction).agg(F.count(F.lit(1)).alias("votes"))
-    draw = F.xxhash64(F.col(clip), F.col(prediction), F.lit(seed))
+    draw = F.md5(F.concat_ws(":", F.col(clip).cast("string"), F.col(prediction).cast("string"), F.lit(seed)))
     return votes.groupBy(clip).agg(
         F.max_by(prediction, F.struct(F.col("votes"), draw)).alias("prediction"), F.max("votes").alias("votes")
     )
