@@ -408,6 +408,16 @@ def prediction_coverage(spark, folder):
     return K.prediction_coverage(*labeled_documents(spark, folder))
 
 
+def unused_predictions(spark, folder):
+    """Predictions of documents under a number that no document has, beside all others."""
+    clips, predictions = labeled_documents(spark, folder)
+    number = F.when(F.col("clip_id") % 5 == 0, -1 - F.col("clip_id")).otherwise(F.col("clip_id"))
+    return K.unused_predictions(clips, predictions.withColumn("clip_id", number)).select("clip_id", "action_id")
+
+
+UNUSED_SQL = "SELECT -1 - doc_id AS clip_id, quality AS action_id FROM labels WHERE doc_id % 5 = 0"
+
+
 def combine_predictions(spark, folder):
     rows = table(spark, folder, "customer").select(F.col("c_custkey").alias("clip_id"), "c_acctbal")
     both, repeats = K.combine_predictions(rows.filter("c_acctbal > 2000"), rows.filter("c_acctbal < 4000"))
@@ -697,7 +707,7 @@ QUERIES = {f.__name__: f for f in (
     file_count_box, modality_combinations, quality_kpis, issue_counts, flagged_clips, content_quality, member_index,
     member_order, manifest_order, complete_case, discovery_funnel, modality_keys, has_all, inspect_devices, class_counts,
     crosstab, duration_histogram, feature_health, attach_test_index, class_mapping, map_actions, add_predictions,
-    filter_clips, correct_flag, prediction_coverage, combine_predictions, active_subset, resume_labels,
+    filter_clips, correct_flag, prediction_coverage, unused_predictions, combine_predictions, active_subset, resume_labels,
     feature_table_stale, assemble_blocks, union_splits, align_timeline, evenly_sample, round_robin_sample, split_budget,
     initial_unlabeled, next_unlabeled, safe_float, parse_time, natural_key, pretty_label, path_tail, test_index,
     text_flags, check_predictions, radar_frames,
@@ -735,6 +745,7 @@ ORACLES = {
     "add_predictions": f"WITH {DOCUMENTS} SELECT * FROM d",
     "filter_clips": FILTER_SQL,
     "correct_flag": f"WITH {DOCUMENTS} SELECT split, prediction_correct, count(*) AS clips FROM d GROUP BY 1, 2",
+    "unused_predictions": UNUSED_SQL,
     "prediction_coverage": f"WITH {DOCUMENTS} SELECT split, count(*) AS matched FROM d WHERE prediction_action_id IS NOT NULL GROUP BY split",
     "combine_predictions": f"SELECT * FROM ({COMBINE_SQL}) WHERE \"rows\" > 0",
     "active_subset": ACTIVE_SQL,

@@ -185,6 +185,12 @@ def out_of_fold(found: DataFrame, candidate: int) -> DataFrame:
     return agreed.join(means, "clip_id").join(repeats, "clip_id").withColumn("classes", F.array(*[F.lit(c) for c in classes]))
 
 
+def selected_out_of_fold(found: DataFrame, report: Mapping[str, Any]) -> DataFrame:
+    """The out-of-fold table of the parameters that a report selected."""
+    tried = [a["parameters"] for a in report["aggregate_metrics"]]
+    return out_of_fold(found, tried.index(report["selected_parameters"]))
+
+
 def validation_report(found: DataFrame, algorithm: Algorithm, candidates: Sequence[Mapping[str, Any]], *,
                       selection_metric: str = "macro_f1", seed: int = 42, groups_path: str | None = None) -> dict[str, Any]:
     """Nested report of a cross-validation; every table in it is as small as classes, folds or candidates.

@@ -205,8 +205,7 @@ def test_train_writes_submission(spark, tree, tmp_path):
     assert report["test_feature_health"]["imu"]["all_missing_rows"] == 1
     assert found.count() == 6
     sink.write_report(spark, report, str(tmp_path / "runs" / "a" / "validation.json"))
-    best = next(i for i, a in enumerate(report["aggregate_metrics"]) if a["parameters"] == report["selected_parameters"])
-    sink.write_oof(XV.out_of_fold(found, best), str(tmp_path / "oof"))
+    sink.write_oof(XV.selected_out_of_fold(found, report), str(tmp_path / "oof"))
     stored = spark.read.parquet(str(tmp_path / "oof")).collect()
     assert len(stored) == 6 and all(len(r["repeats"]) == 1 and r["classes"] == [3, 12] and abs(sum(r["probability"]) - 1) < 1e-6 for r in stored)
     assert {r["clip_id"]: r["prediction"] for r in stored} == {r["clip_id"]: r["prediction"] for r in found.collect()}
