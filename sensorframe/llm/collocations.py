@@ -47,8 +47,10 @@ MAX_WORDS = 3
 SHARE = 50
 UNKNOWN = "und"
 #: Bytes of text for each slot of the activation table, and the limits of its size.
-SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 16, 1 << 16, 1 << 25
+SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 32, 1 << 16, 1 << 25
 BLOCK_BYTES = 4 << 20
+#: Counts sent on at a time.
+SENT_ROWS = 1 << 16
 #: Slots that one row of filled slots tells of.
 SPAN = 1 << 16
 EMPTY = 255
@@ -106,7 +108,7 @@ def _blocks(docs: DataFrame, shards: int, key: int) -> DataFrame:
 
     dealt = docs.mapInArrow(run, "lang string, code int, n long, codes binary, begins binary, hashes binary, others binary, words array<string>")
     shard = F.pmod(F.xxhash64("hashes", "n"), F.lit(shards)).cast("int")
-    return stored(dealt.withColumn("shard", shard), "words")
+    return stored(dealt.withColumn("shard", shard), "words", compression="zstd")
 
 
 def _weights(n: int) -> np.ndarray:
@@ -176,11 +178,15 @@ def _scan(blocks: DataFrame, scan: int, shards: int, most: int, shared: Broadcas
                 code = batch.column("code")[row].as_py() << SIZE_BITS
                 for keys, counts, begun in count_block(codes, begins, hashes, shared.value, scan, shards, most):
                     n, size = len(counts), len(keys)
-                    columns = [pa.array(k.view(np.int64)) for k in (keys + [others] if size == 1 else keys)][:most]
-                    columns += [pa.array(np.zeros(n, np.int64))] * (most - len(columns))
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(n, code + size, np.int32)), *columns, pa.array(np.broadcast_to(np.asarray(begun, np.int32), n)), pa.array(counts.astype(np.int64)),
-                    ], ["kind", *names, "begun", "n"])
+                    columns = (keys + [others] if size == 1 else keys)[:most]
+                    begun = np.broadcast_to(np.asarray(begun, np.int32), n)
+                    for at in range(0, n, SENT_ROWS):
+                        part = slice(at, min(at + SENT_ROWS, n))
+                        m = part.stop - at
+                        sent = [pa.array(k[part].view(np.int64)) for k in columns] + [pa.array(np.zeros(m, np.int64))] * (most - len(columns))
+                        yield pa.RecordBatch.from_arrays([
+                            pa.array(np.full(m, code + size, np.int32)), *sent, pa.array(begun[part]), pa.array(counts[part].astype(np.int64)),
+                        ], ["kind", *names, "begun", "n"])
 
     chosen = blocks.filter(F.col("shard") == scan % shards).select("code", "codes", "begins", "hashes", "others")
     return chosen.mapInArrow(run, "kind int, " + ", ".join(f"{k} long" for k in names) + ", begun int, n long")
