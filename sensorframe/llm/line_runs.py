@@ -60,8 +60,14 @@ def line_table(numbered: DataFrame, long_words: int = LONG_WORDS) -> DataFrame:
 
 
 def _is_long(line: Column, words: int) -> Column:
-    """Whether a line has more than so many words; one word more takes two characters for each, less one, so most lines are not split."""
-    return F.when(F.length(line) > 2 * words, F.size(F.regexp_extract_all(line, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))) > words).otherwise(False)
+    """Whether a line has more than so many words. Only lines with other white space than single blanks between words are split for it."""
+    blanks = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit("")))
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for white in ("  ", "\t", "\v", "\f", "\r"):
+        odd = odd | F.contains(line, F.lit(white))
+    split = F.size(F.regexp_extract_all(line, F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0)))
+    # with one word more a line has two bytes for each, less one
+    return F.when(F.octet_length(line) > 2 * words, F.when(odd, split).otherwise(blanks + 1) > words).otherwise(False)
 
 
 def doubled_ranks(lines: DataFrame) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:

@@ -47,9 +47,12 @@ def test_long_single_lines_go(table):
     passage = " ".join(f"w{k}" for k in range(200))
     rows = [(i, f"own {i} a\n{passage}\nown {i} b\nshort line of all") for i in range(3)] + [(3, passage), (4, " ".join(passage.split()[:50])), (5, " ".join(passage.split()[:50]))]
     rows += [(6, f"{passage}\n{passage} "), (7, f"x\n{passage} ")]
+    # 50 and 51 words between other white space
+    odd = ["  ".join(passage.split()[:50]), "\t".join(passage.split()[:51]), " \f".join(passage.split()[:50]) + "\r", " " + "\v".join(passage.split()[:51])]
+    rows += [(8 + i, f"{i}\n" + t) for i, t in enumerate(odd + odd)]
     found = {x.doc_id: x for x in r.without_repeated_runs(table([(i, t, "s") for i, t in rows])).collect()}
     assert {i: x.text for i, x in found.items()} == brute(rows, 2)
-    assert [found[i].n_deleted for i in range(8)] == [0, 1, 1, 1, 0, 0, 1, 1] and found[1].text == "own 1 a\nown 1 b\nshort line of all"
+    assert [found[i].n_deleted for i in range(16)] == [0, 1, 1, 1, 0, 0, 1, 1, 0, 0, 0, 0, 0, 1, 0, 1] and found[1].text == "own 1 a\nown 1 b\nshort line of all"
     few = r.without_repeated_runs(table([(i, t, "s") for i, t in rows]), long_words=30).collect()
     assert {x.doc_id: x.text for x in few} == brute(rows, 2, 30)
 
