@@ -18,8 +18,8 @@ tokens gives context totals and followers alike. Blocks send their sequences' ha
 shards by hash, and the shard adds up and answers each block. Lengths are counted one after the other, without
 sequences that are sure to be seen once or to follow a context that cannot pass the test. From the answers a
 block has the divergence terms of its own share of every follower; they are added by context in shards. Retained contexts are a stored
-table that blocks look up by shuffled key. The number of shards follows the number of blocks; nothing but the
-corpus size and the vocabulary size reaches the driver. Sequences are told apart by 61 bits of a hash.
+table that blocks look up by shuffled key. The counts are settled in the blocks once, so later steps read them without a shuffle, and every table is
+deleted when the next one has it. The number of shards follows the number of tokens; nothing but the corpus size and the vocabulary size reaches the driver. Sequences are told apart by 61 bits of a hash.
 
 Results for odd input: a null or empty text is the end token alone; null ids are in fold 0, which is not
 trained on; without training rows all counts are 0 and every token has probability 1 / (V + 1) = 1; equal
@@ -29,7 +29,6 @@ passed over.
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -54,6 +53,10 @@ FOLDS = 10
 END = np.uint64(0x5851F42D4C957F2D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _LENGTH_BITS = 3
+#: Text of a block; the work on one holds some sixty bytes for each of it.
+BLOCK_BYTES = 4 << 20
+#: Tokens for each shard that counts them, and the longest context whose sequences the length bits can name.
+SHARD_TOKENS, DEEPEST = 1 << 20, (1 << _LENGTH_BITS) - 2
 
 
 # ---------------------------------------------------------------- keys
@@ -97,10 +100,13 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- blocks and shards
 
+#: Rows of blocks are large, so files look at their size often.
+_WHOLE_ROWS = {"parquet.page.size.row.check.min": 2, "parquet.block.size.row.check.min": 2}
+
 def _blocks(docs: DataFrame, id_column: str, text_column: str, folds: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for piece in chunks(batches, "text"):
+        for piece in chunks(batches, "text", BLOCK_BYTES):
             words = split_words(piece.column("text"), FOLDED)
             bounds = words.bounds + np.arange(len(words.bounds))
             codes = np.insert(words.codes.astype(np.int32), words.bounds[1:], len(words.vocabulary)).astype("<i4")
@@ -124,7 +130,7 @@ def _blocks(docs: DataFrame, id_column: str, text_column: str, folds: int) -> Da
     source = docs.select(docs[id_column].alias("id"), fold_of(docs[id_column], folds).cast("int").alias("fold"), docs[text_column].cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
     built = source.mapInArrow(build, f"block long, ids array<{kind}>, folds binary, bounds binary, hashes binary, codes binary")
-    return stored(built, "tokens", **{"parquet.page.size.row.check.min": 2, "parquet.block.size.row.check.min": 2})
+    return stored(built, "tokens", **_WHOLE_ROWS)
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -168,12 +174,6 @@ def _joined(table: pa.Table, column: str, kind: str) -> np.ndarray:
     return np.concatenate([np.zeros(0, kind), *[_loose(x, kind) for x in table.column(column)]])
 
 
-def _released(spark) -> None:
-    """Let Spark delete shuffle files of finished steps; what they made is stored."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 # ---------------------------------------------------------------- counts
 
 class Tree(NamedTuple):
@@ -215,16 +215,13 @@ def _counted_places(keys: np.ndarray, times: list[np.ndarray], begins: np.ndarra
     return at[(times[-1][at] > 1) & (keys[at] != 0)]
 
 
-def _times(keys: list[np.ndarray], begins: np.ndarray, answers: pa.Table, tree: Tree) -> list[np.ndarray]:
-    """For each length the training count of the sequence up to each place, 0 where it is seen once or decides nothing."""
-    times: list[np.ndarray] = []
-    for n, key in enumerate(keys, 1):
-        at = _counted_places(key, times, begins, tree)
-        distinct, place = _distinct(key[at])
-        own = np.zeros(len(key), np.int64)
-        own[at] = _answered(answers, n, "<i8", distinct, tree.shards)[place]
-        times.append(own)
-    return times
+def _known_times(row: dict) -> list[np.ndarray]:
+    """For each length counted so far, the training count of the sequence up to each place, 0 where it is seen once or decides nothing.
+
+    Counts of single tokens are kept once for each word of the block.
+    """
+    times = [_loose(t, "<i8") for t in row["times"]]
+    return [times[0][_loose(row["codes"], "<i4")], *times[1:]] if times else []
 
 
 def _row(block: pa.Table) -> dict:
@@ -235,25 +232,41 @@ _ANSWER = "block long, part long, length long, values binary"
 
 
 def _counted(blocks: DataFrame, longest: int, tree: Tree) -> tuple[DataFrame, int]:
-    """Answers to all blocks with the counts of their sequences, and the number of distinct training tokens.
+    """Stored blocks with the counts of their sequences at each place, and the number of distinct training tokens.
 
-    Lengths are counted one after the other, each for the places that the shorter ones leave open.
+    Lengths are counted one after the other, each for the places that the shorter ones leave open. The answers to a length are settled in the
+    blocks, and the blocks and answers they come from are deleted; so every step reads one row a block.
     """
-    def requests(row: dict, answers: pa.Table | None, n: int) -> Iterator[pa.RecordBatch]:
-        hashes, begins, bounds, folds = _opened(row)
-        keys = _sequences(hashes, begins, n)
-        at = _counted_places(keys[-1], _times(keys[:-1], begins, answers, tree) if n > 1 else [], begins, tree)
-        distinct, place = _distinct(keys[-1][at])
-        times = np.bincount(place, np.repeat(folds != 0, np.diff(bounds))[at], len(distinct)).astype("<i4")
-        yield from _packed(distinct, tree.shards, {"keys": distinct, "times": times}, block=row["block"])
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                yield from requests(row, None, 1)
+    def places(row: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose sequence of n tokens is to be counted, the distinct keys there, and each place's key among them."""
+        hashes, begins, _, _ = _opened(row)
+        key = _sequences(hashes, begins, n)[-1]
+        at = _counted_places(key, _known_times(row), begins, tree)
+        return at, *_distinct(key[at])
+
+    def requests(n: int):
+        def run(row: dict) -> Iterator[pa.RecordBatch]:
+            at, distinct, place = places(row, n)
+            bounds, folds = _loose(row["bounds"], "<i8"), _loose(row["folds"], "<i4")
+            times = np.bincount(place, np.repeat(folds != 0, np.diff(bounds))[at], len(distinct)).astype("<i4")
+            yield from _packed(distinct, tree.shards, {"keys": distinct, "times": times}, block=row["block"])
+
+        return run
 
-    def later(n: int):
-        return lambda block, answers: pa.Table.from_batches(requests(_row(block), answers, n))
+    def settle(n: int):
+        def run(block: pa.Table, told: pa.Table) -> pa.Table:
+            row = _row(block) | {"times": block.column("times")[0].as_py()}
+            at, distinct, place = places(row, n)
+            own = np.zeros(int(_loose(row["bounds"], "<i8")[-1]), "<i8")
+            own[at] = _answered(told, n, "<i8", distinct, tree.shards)[place]
+            if n == 1:
+                places_of, own = own, np.zeros(len(_loose(row["hashes"], "<u8")), "<i8")
+                own[_loose(row["codes"], "<i4")] = places_of
+            times = row["times"] + [_squeezed(own)]
+            kept = block.drop_columns(["times"])
+            return kept.append_column("times", pa.ListArray.from_arrays(pa.array([0, len(times)], pa.int32()), pa.array(times, pa.binary())))
+
+        return run
 
     def add(n: int):
         def run(table: pa.Table) -> pa.Table:
@@ -269,17 +282,19 @@ def _counted(blocks: DataFrame, longest: int, tree: Tree) -> tuple[DataFrame, in
 
         return run
 
-    asked, fields = blocks.select(*_BLOCK_COLUMNS), "shard long, block long, keys binary, times binary"
-    answers = types = None
+    kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    fields = f"block long, ids array<{kind}>, folds binary, bounds binary, hashes binary, codes binary, times array<binary>"
+    state, types = blocks.withColumn("times", F.array().cast("array<binary>")), 0
     for n in range(1, longest + 1):
-        wanted = asked.mapInArrow(first, fields) if n == 1 else asked.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later(n), fields)
+        wanted = _each(state, requests(n), "shard long, block long, keys binary, times binary")
         found = stored(wanted.groupBy("shard").applyInArrow(add(n), _ANSWER + ", types long"), f"counts-{n}")
-        _released(blocks.sparkSession)
-        own = found.select("block", "part", "length", "values")
         if n == 1:
             types = int(found.agg(F.sum("types")).first()[0] or 0)
-        answers = own if answers is None else answers.union(own)
-    return answers, types
+        told = found.select("block", "part", "length", "values").groupBy("block")
+        after = stored(state.groupBy("block").cogroup(told).applyInArrow(settle(n), fields), "settled", **_WHOLE_ROWS)
+        dropped(found, blocks if n == 1 else state)
+        state = after
+    return state, types
 
 
 def _training_tokens(blocks: DataFrame) -> int:
@@ -291,14 +306,24 @@ def _training_tokens(blocks: DataFrame) -> int:
     return int(blocks.select("bounds", "folds").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0)
 
 
+def _each(blocks: DataFrame, work, fields: str) -> DataFrame:
+    """What ``work`` makes of every settled block, one at a time."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                yield from work({name: batch.column(name)[at].as_py() for name in batch.schema.names})
+
+    return blocks.select(*_BLOCK_COLUMNS, "times").mapInArrow(run, fields)
+
+
 # ---------------------------------------------------------------- divergence
 
-def _levels(row: dict, answers: pa.Table, depth: int, tree: Tree) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple[np.ndarray, ...]]]:
+def _levels(row: dict, depth: int, tree: Tree) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple[np.ndarray, ...]]]:
     """Keys and counts of the sequences up to each place, and for each depth: the open places, and there the context's key, its
     total, its suffix's total, the follower's count and the follower's count behind the suffix."""
     hashes, begins, _, _ = _opened(row)
     keys = _sequences(hashes, begins, depth + 1)
-    times = _times(keys, begins, answers, tree)
+    times = _known_times(row)
     above, levels = np.full(len(hashes), tree.tokens), []
     for d in range(1, depth + 1):
         at = _open_places(times[:d], begins, tree)
@@ -308,16 +333,16 @@ def _levels(row: dict, answers: pa.Table, depth: int, tree: Tree) -> tuple[list[
     return keys, times, levels
 
 
-def _retained(blocks: DataFrame, answers: DataFrame, depth: int, tree: Tree) -> DataFrame:
+def _retained(blocks: DataFrame, depth: int, tree: Tree) -> DataFrame:
     """(key, spare) of the retained contexts: the share of their mass that is left to the suffix."""
     price = 0.5 * math.log(max(tree.tokens, 2))
-    names = {"key": "<u8", "suffix": "<u8", "last": "<u8", "total": "<i8", "times": "<i8", "gain": "<f8", "share": "<f8", "twice": "<f8"}
+    suffixes = [f"suffix{d}" for d in range(1, depth)]
+    names = {"key": "<u8", **{s: "<u8" for s in suffixes}, "total": "<i8", "times": "<i8", "gain": "<f8", "share": "<f8", "twice": "<f8"}
 
-    def terms(block: pa.Table, answers: pa.Table) -> pa.Table:
-        row = _row(block)
+    def terms(row: dict) -> Iterator[pa.RecordBatch]:
         _, _, bounds, folds = _opened(row)
         use = np.repeat(folds != 0, np.diff(bounds))
-        sequences, _, levels = _levels(row, answers, depth, tree)
+        sequences, _, levels = _levels(row, depth, tree)
         found = []
         for d, (at, key, total, above, times, over) in enumerate(levels, 1):
             held = use[at] & (times > 1)
@@ -329,10 +354,10 @@ def _retained(blocks: DataFrame, answers: DataFrame, depth: int, tree: Tree) ->
             # every occurrence of a follower brings its part, so all blocks together bring each follower once
             sums = [np.bincount(place, x, len(keys)) for x in (np.log(times / total / share), share / times, 1 / times)]
             zero = np.zeros(len(keys), np.uint64)
-            ups = [sequences[d - 2][at - 1][one] if d > 1 else zero, sequences[0][at - 1][one] if d > 2 else zero]
+            ups = [sequences[k - 1][at - 1][one] if k < d else zero for k in range(1, depth)]
             found.append([keys, *ups, total[one], np.bincount(place, minlength=len(keys)), *sums])
         columns = [np.concatenate([f[i] for f in found]) for i in range(len(names))]
-        return pa.Table.from_batches(_packed(columns[0], tree.shards, {n: c.astype(t) for (n, t), c in zip(names.items(), columns)}))
+        yield from _packed(columns[0], tree.shards, {n: c.astype(t) for (n, t), c in zip(names.items(), columns)})
 
     def test(table: pa.Table) -> pa.Table:
         columns = {name: _joined(table, name, kind) for name, kind in names.items()}
@@ -346,14 +371,14 @@ def _retained(blocks: DataFrame, answers: DataFrame, depth: int, tree: Tree) ->
         rest = np.log(np.where(alone, once, 1) / total) - np.log(np.maximum(1 - share, 1e-12))
         gain += np.where(alone, once * rest, 0)
         return pa.table({
-            "key": pa.array(keys.view(np.int64)), "suffix": pa.array(columns["suffix"][one].view(np.int64)), "last": pa.array(columns["last"][one].view(np.int64)),
+            "key": pa.array(keys.view(np.int64)), **{s: pa.array(columns[s][one].view(np.int64)) for s in suffixes},
             "spare": pa.array((once + DISCOUNT * twice) / total), "own": pa.array(gain > price * (twice + 1))})
 
     fields = "shard long, " + ", ".join(f"{n} binary" for n in names)
-    packed = blocks.select(*_BLOCK_COLUMNS).groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(terms, fields)
-    tested = stored(packed.groupBy("shard").applyInArrow(test, "key long, suffix long, last long, spare double, own boolean"), "contexts")
+    packed = _each(blocks, terms, fields)
+    tested = stored(packed.groupBy("shard").applyInArrow(test, "key long, " + "".join(f"{s} long, " for s in suffixes) + "spare double, own boolean"), "contexts")
     # a retained context keeps its suffixes
-    kept = tested.filter("own").select(F.explode(F.array("key", "suffix", "last")).alias("key")).distinct()
+    kept = tested.filter("own").select(F.explode(F.array("key", *suffixes)).alias("key")).distinct()
     states = stored(tested.select("key", "spare").join(kept, "key", "left_semi"), "retained")
     dropped(tested)
     return states
@@ -368,20 +393,17 @@ def suffix_tree_scores(docs: DataFrame, id_column: str = "doc_id", text_column:
     Documents in fold 0 are scored only. ``n_deep`` counts the tokens that a context of the tree scored. ``p_min`` asks for
     more occurrences of a candidate, as a share of the training tokens.
     """
-    if not 1 <= depth <= 3:
-        raise ValueError("depth is 1 to 3")
-    spark = docs.sparkSession
+    if not 1 <= depth <= DEEPEST:
+        raise ValueError(f"depth is 1 to {DEEPEST}")
     blocks = _blocks(docs, id_column, text_column, folds)
     tokens = _training_tokens(blocks)
-    tree = Tree(tokens, max(p_min * tokens, LEAST), blocks.count() + 1)
-    counts, types = _counted(blocks, depth + 1, tree)
-    states = _retained(blocks, counts, depth, tree)
-    _released(spark)
+    tree = Tree(tokens, max(p_min * tokens, LEAST), -(-tokens // SHARD_TOKENS) + 1)
+    blocks, types = _counted(blocks, depth + 1, tree)
+    states = _retained(blocks, depth, tree)
 
-    def ask(block: pa.Table, answers: pa.Table) -> pa.Table:
-        row = _row(block)
-        wanted = np.unique(np.concatenate([key for _, key, *_ in _levels(row, answers, depth, tree)[2]]))
-        return pa.Table.from_batches(_packed(wanted, tree.shards, {"keys": wanted}, block=row["block"]))
+    def ask(row: dict) -> Iterator[pa.RecordBatch]:
+        wanted = np.unique(np.concatenate([key for _, key, *_ in _levels(row, depth, tree)[2]]))
+        yield from _packed(wanted, tree.shards, {"keys": wanted}, block=row["block"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -398,9 +420,9 @@ def suffix_tree_scores(docs: DataFrame, id_column: str = "doc_id", text_column:
             "block": asked.column("block"), "part": asked.column("shard"), "length": pa.array(np.zeros(len(found), np.int64)), "values": pa.array(found, pa.binary())})
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
-        row = _row(block)
+        row = _row(block) | {"times": block.column("times")[0].as_py()}
         _, _, bounds, folds_ = _opened(row)
-        _, times, levels = _levels(row, answers, depth, tree)
+        _, times, levels = _levels(row, depth, tree)
         root = times[0]
         keys = np.unique(np.concatenate([key for _, key, *_ in levels]))
         spares = _answered(answers, 0, "<f8", keys, tree.shards)
@@ -418,11 +440,12 @@ def suffix_tree_scores(docs: DataFrame, id_column: str = "doc_id", text_column:
             "id": block.column("ids")[0].values, "fold": pa.array(folds_), "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(known_.astype(np.int64)),
             "train_tokens": pa.array(np.full(len(folds_), tokens)), "base_score": pa.array(base), "score": pa.array(chance), "n_deep": pa.array(deep.astype(np.int64))})
 
-    requests = blocks.select(*_BLOCK_COLUMNS).groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(ask, "shard long, block long, keys binary")
+    requests = _each(blocks, ask, "shard long, block long, keys binary")
     known = states.mapInArrow(deal, "shard long, keys binary, spare binary")
     answers = stored(requests.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(answer, _ANSWER), "spares")
     dropped(states)
-    _released(spark)
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
     fields = f"id {kind}, fold int, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_deep long"
-    return blocks.groupBy("block").cogroup(counts.union(answers).groupBy("block")).applyInArrow(score, fields).withColumnRenamed("id", id_column)
+    scores = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, fields), "scores")
+    dropped(blocks, answers)
+    return scores.withColumnRenamed("id", id_column)

@@ -61,11 +61,13 @@ class Brute:
         return base, total
 
 
-@pytest.mark.parametrize("depth,p_min", [(1, 1e-3), (3, 1e-3), (3, 1e-6)])
+@pytest.mark.parametrize("depth,p_min", [(1, 1e-3), (3, 1e-3), (3, 1e-6), (5, 1e-6)])
 def test_scores_match_brute_force(table, depth, p_min, monkeypatch):
-    monkeypatch.setattr(t, "chunks", lambda batches, column: (b.slice(k, 7) for b in batches for k in range(0, b.num_rows, 7)))  # many blocks
+    monkeypatch.setattr(t, "chunks", lambda batches, column, limit: (b.slice(k, 7) for b in batches for k in range(0, b.num_rows, 7)))  # many blocks
     rng = random.Random(depth)
-    endings = [[f"a{k % 2}", f"b{k // 2}", "mid", f"end{k}"] for k in range(4)]  # what follows "mid" depends on up to three words
+    # what follows "mid" depends on up to three words, or on up to five
+    between = ["of", "the"] if depth > 3 else []
+    endings = [[f"a{k % 2}", f"b{k // 2}", *between, "mid", f"end{k}"] for k in range(4)]
     rows = []
     for i in range(150):
         words = [f"w{int(rng.paretovariate(0.7))}" for _ in range(rng.randrange(40))]
@@ -93,6 +95,8 @@ def test_odd_rows(table, odd):
     assert by_id[1].n_tokens == by_id[2].n_tokens == by_id[3].n_tokens == 1 and by_id[5].n_tokens == 30_001
     assert all(x.score <= 0 and x.base_score <= 0 for x in found)
     assert t.suffix_tree_scores(docs.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        t.suffix_tree_scores(docs, depth=t.DEEPEST + 1)
     assert [x.score for x in t.suffix_tree_scores(docs.filter("doc_id is null")).collect()] == [0.0, 0.0]
 
 
