@@ -187,7 +187,8 @@ class OrderedGroups:
         groups = Window.partitionBy(*parts) if parts else Window.partitionBy(F.lit(0))
         ordered = groups.orderBy(*self.order)
         upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        onward = ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+        # a frame that ends at the last row is read again for every row; the same rows backwards are read once
+        backwards = groups.orderBy(*[F.desc(o) for o in self.order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         local = {}
         for name, scan in scans.items():
             src = scan.source
@@ -200,7 +201,7 @@ class OrderedGroups:
                 "running_sum": lambda: F.coalesce(F.sum(src).over(upto), F.lit(0)),
                 "running_max": lambda: F.max(src).over(upto),
                 "last_valid": lambda: F.last(src, ignorenulls=True).over(upto),
-                "next_valid": lambda: F.first(src, ignorenulls=True).over(onward),
+                "next_valid": lambda: F.last(src, ignorenulls=True).over(backwards),
             }[scan.kind]()
         scanned = self.df.withColumns(local)
         if not self.is_cut:

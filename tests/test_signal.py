@@ -133,3 +133,12 @@ def test_one_group_with_most_rows_is_spread(spark, small_groups):
     want = [v for k, _, v in rows if k == 1]
     assert [r["p"] for r in got] == list(range(len(want)))
     np.testing.assert_allclose([r["s"] for r in got], np.cumsum(want))
+
+
+def test_no_frame_is_read_again_for_every_row(spark):
+    """A frame from the current row to the last costs the square of a group."""
+    rows = spark.createDataFrame([(0, i, None if i % 3 else float(i)) for i in range(9)], "k int, i int, v double")
+    groups = OrderedGroups(rows, ["k"], ["i"], F.col("i")).scan(near=skew.next_valid(F.col("v")))
+    plan = groups.df._jdf.queryExecution().executedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan
+    assert [r["near"] for r in groups.df.orderBy("i").collect()] == [0, 3, 3, 3, 6, 6, 6, None, None]
