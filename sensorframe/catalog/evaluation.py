@@ -219,6 +219,10 @@ def leaderboard(spark, folder):
     return E.leaderboard(runs(spark, folder), "macro_f1", "place").select("place", "rank")
 
 
+# Half up of the decimal text of a number, as the runs are rounded; rounding the binary number puts ties on either side.
+RANKED_RUNS = RUNS.replace("round(c_acctbal / 20000 + 0.25, 3)", "round((c_acctbal / 20000 + 0.25)::VARCHAR::DECIMAL(38, 20), 3)::DOUBLE")
+
+
 def ablation_summary(spark, folder):
     rows = E.ablation_summary(E.unique_run_labels(runs(spark, folder), "place"), "place")
     return rounded(rows, METRICS)
@@ -334,7 +338,7 @@ ORACLES = {
     "majority_vote": VOTE_SQL,
     "unique_run_labels": f"WITH {RUNS} SELECT place, label FROM labeled",
     "filter_runs": f"WITH {RUNS} SELECT place, algorithm, feature_blocks FROM runs WHERE macro_f1 IS NOT NULL AND algorithm IN ('BUILDING', 'MACHINERY') AND feature_blocks IN ('depth, ir', 'imu')",
-    "leaderboard": f"WITH {RUNS} SELECT place, row_number() OVER (ORDER BY coalesce(macro_f1, -1) DESC, place) AS rank FROM runs",
+    "leaderboard": f"WITH {RANKED_RUNS} SELECT place, row_number() OVER (ORDER BY coalesce(macro_f1, -1) DESC, place) AS rank FROM runs",
     "ablation_summary": ABLATION_SQL,
     "block_impact": BLOCK_IMPACT_SQL,
     "comparison_rows": COMPARISON_SQL,

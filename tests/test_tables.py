@@ -155,3 +155,17 @@ def test_timeline(spark):
     assert [found["c", "Thermal", i] for i in range(3)] == ["t0", "t4", "t7"]
     assert [found["t", "Thermal", i] for i in range(4)] == ["t0", "t1", "t2", "t3"]
     assert len(found) == 10
+
+
+def test_leaderboard_and_its_sql_round_alike(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from compare import compare
+
+    # every balance puts the score halfway between two thousandths
+    rows = [(k, 20.0 * ((k * 37) % 500) + 10, "BUILDING", 1) for k in range(1, 500)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    assert compare(entry.queries()["leaderboard"](spark, str(tmp_path)), con, entry.oracle_sql()["leaderboard"])[0] is None
