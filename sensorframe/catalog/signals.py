@@ -145,8 +145,7 @@ WITH {FILLED},
 a AS (SELECT user_id, event_type, pos, n, radians(filled * 7) AS q, lag(radians(filled * 7)) OVER w AS was
   FROM f WHERE filled IS NOT NULL WINDOW w AS (PARTITION BY user_id, event_type ORDER BY pos)),
 b AS (SELECT *, q - was AS ch FROM a),
-c AS (SELECT *, CASE WHEN abs(ch) >= pi() THEN
-    (ch + pi()) - 2 * pi() * floor((ch + pi()) / (2 * pi())) - pi() - ch ELSE 0 END AS fix FROM b),
+c AS (SELECT *, coalesce(-sign(ch) * ceil((abs(ch) - pi()) / (2 * pi()) - 1e-9) * 2 * pi(), 0) AS fix FROM b),
 d AS (SELECT *, q + coalesce(sum(fix) OVER (PARTITION BY user_id, event_type ORDER BY pos), 0) AS un,
   ntile(4) OVER (PARTITION BY user_id, event_type ORDER BY pos) AS part FROM c)
 SELECT user_id, event_type, {named('avg(sin(q))', 'mean_sin')}, {named('avg(cos(q))', 'mean_cos')},

@@ -191,9 +191,9 @@ def circular_features(groups: OrderedGroups, channels: Sequence[str], bins: int
     fixes = {}
     for c in channels:
         change = F.col(f"_rad_{c}") - F.col(f"_was_{c}")
-        wrapped = F.pmod(change + math.pi, F.lit(2 * math.pi)) - math.pi
-        wrapped = F.when((wrapped == -math.pi) & (change > 0), F.lit(math.pi)).otherwise(wrapped)
-        fixes[f"_fix_{c}"] = F.when(F.abs(change) >= math.pi, wrapped - change).otherwise(F.lit(0.0))
+        # a jump of exactly half a turn stays as it is, which no rounding of the difference may decide
+        turns = F.ceil((F.abs(change) - math.pi) / (2 * math.pi) - 1e-9)
+        fixes[f"_fix_{c}"] = F.coalesce(-F.signum(change) * turns * (2 * math.pi), F.lit(0.0))
     groups = groups.on(groups.df.withColumns(fixes))
     groups = groups.scan(**{f"_sum_{c}": skew.running_sum(F.col(f"_fix_{c}")) for c in channels})
     rows = _long(groups, channels, {"rad": "_rad_", "fix": "_sum_"}).filter(F.col("v").isNotNull())

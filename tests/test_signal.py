@@ -142,3 +142,10 @@ def test_no_frame_is_read_again_for_every_row(spark):
     plan = groups.df._jdf.queryExecution().executedPlan().toString()
     assert "currentrow$(), unboundedfollowing$()" not in plan
     assert [r["near"] for r in groups.df.orderBy("i").collect()] == [0, 3, 3, 3, 6, 6, 6, None, None]
+
+
+@pytest.mark.parametrize("way", [1, -1])
+def test_half_turns_stay_as_they_are(spark, way):
+    data = {k: [k * 0.37 + way * 180.0 * i if i in (0, 7) else None for i in range(8)] for k in range(40)}
+    found = S.circular_features(groups(spark, data), ["v"]).collect()
+    np.testing.assert_allclose([r["unwrapped_range"] for r in found], 3.5)
