@@ -103,13 +103,13 @@ def dynamic_sql(relation: str, keys: list[str], length: int) -> str:
     bins = length // 2
     return f"""
 WITH {relation},
-m AS (SELECT {k}, avg(v) AS mean, stddev_pop(v) AS sd FROM s GROUP BY {k}),
-c AS (SELECT a.*, a.v - b.mean AS c, b.sd, lag(a.v) OVER w AS p1, lag(a.v, 2) OVER w AS p2,
+m AS (SELECT {k}, avg(v) AS mean, stddev_pop(v) AS sd, 1e-12 * max(abs(v)) AS eps FROM s GROUP BY {k}),
+c AS (SELECT a.*, a.v - b.mean AS c, b.sd, b.eps, lag(a.v) OVER w AS p1, lag(a.v, 2) OVER w AS p2,
   lag(a.v - b.mean) OVER w AS cp
   FROM s a JOIN m b ON {same} WINDOW w AS (PARTITION BY {", ".join("a." + x for x in keys)} ORDER BY a.i)),
 f AS (SELECT {k}, sqrt(avg((v - p1) ** 2)) AS rms_diff,
   sqrt(avg(CASE WHEN i >= 2 THEN (v - 2 * p1 + p2) ** 2 END)) AS rms_diff2,
-  avg(CASE WHEN i > 0 THEN CASE WHEN (c < 0) <> (cp < 0) THEN 1.0 ELSE 0.0 END END) AS sign_changes,
+  avg(CASE WHEN i > 0 THEN CASE WHEN (c < -eps) <> (cp < -eps) THEN 1.0 ELSE 0.0 END END) AS sign_changes,
   CASE WHEN max(sd) > 1e-12 THEN avg((c / sd) ** 3) ELSE 0 END AS skewness,
   CASE WHEN max(sd) > 1e-12 THEN avg((c / sd) ** 4) - 3 ELSE 0 END AS kurtosis,
   CASE WHEN max(sd) > 1e-12 THEN coalesce(corr(c, cp), 0) ELSE 0 END AS lag1 FROM c GROUP BY {k}),

@@ -44,7 +44,8 @@ def dynamics(signals: np.ndarray) -> np.ndarray:
         if change.shape[1]:
             out[:, place] = np.sqrt((change**2).mean(axis=1))
     if length > 1:
-        negative = np.signbit(centered)
+        # a value that equals the mean is not below it, whichever way the mean was rounded
+        negative = centered < -1e-12 * np.abs(signals).max(axis=1, keepdims=True)
         out[:, 2] = (negative[:, :-1] != negative[:, 1:]).mean(axis=1)
         out[:, 5] = np.where(moving, _centered_correlation(centered[:, :-1], centered[:, 1:]), 0.0)
     out[:, 3] = np.where(moving, (unit**3).mean(axis=1), 0.0)

@@ -144,6 +144,11 @@ def test_no_frame_is_read_again_for_every_row(spark):
     assert [r["near"] for r in groups.df.orderBy("i").collect()] == [0, 3, 3, 3, 6, 6, 6, None, None]
 
 
+def test_a_value_at_the_mean_is_not_below_it():
+    rows = np.array([[0.8, 0.1, 0.8, -0.6, -0.6], [0.5, 0.3, 0.5, 0.1, 0.1], [1.1, 0.4, 1.1, -0.3, -0.3], [0.8, 0.5, 0.8, 0.2, 0.2]])
+    np.testing.assert_allclose(dynamics(rows)[:, 2], 0.25)
+
+
 @pytest.mark.parametrize("way", [1, -1])
 def test_half_turns_stay_as_they_are(spark, way):
     data = {k: [k * 0.37 + way * 180.0 * i if i in (0, 7) else None for i in range(8)] for k in range(40)}
