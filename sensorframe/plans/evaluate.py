@@ -176,14 +176,13 @@ def sorted_json(text: Column) -> Column:
     """
     written, kinds = F.from_json(text, "map<string,string>"), F.from_json(text, "map<string,variant>")
     # to_json escapes; of an array with one text it leaves the brackets to take off
-    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+    quoted = lambda c: F.btrim(F.to_json(F.array(c)), F.lit("[]"))
 
-    def shown(entry: Column) -> Column:
-        value = F.when(F.schema_of_variant(entry["kind"]) == "STRING", quoted(entry["value"])).otherwise(F.coalesce(entry["value"], F.lit("null")))
+    def shown(entry: Column, kind: Column) -> Column:
+        value = F.when(F.schema_of_variant(kind) == "STRING", quoted(entry["value"])).otherwise(F.coalesce(entry["value"], F.lit("null")))
         return F.struct(entry["key"].alias("key"), F.concat(quoted(entry["key"]), F.lit(": "), value).alias("text"))
 
-    entries = F.arrays_zip(F.map_keys(written).alias("key"), F.map_values(written).alias("value"), F.map_values(kinds).alias("kind"))
-    ordered = F.array_sort(F.transform(entries, shown))
+    ordered = F.array_sort(F.zip_with(F.map_entries(written), F.map_values(kinds), shown))
     return F.concat(F.lit("{"), F.array_join(F.transform(ordered, lambda e: e["text"]), ", "), F.lit("}"))
 
 
@@ -212,16 +211,20 @@ def feature_combo_name(report: Column) -> Column:
 
 def parsed_reports(reports: DataFrame) -> DataFrame:
     """Readable reports with their fields in column ``r``."""
-    return reports.filter("error IS NULL").withColumn("r", F.from_json("value", REPORT)).drop("value", "error")
+    # exploded, so that a report is read once and not for every field
+    fields = F.explode(F.array(F.from_json("value", REPORT))).alias("r")
+    return reports.filter("error IS NULL").select(*[c for c in reports.columns if c not in ("value", "error")], fields)
 
 
 def _with_selected(reports: DataFrame) -> DataFrame:
     """The selected parameters as sorted text, written once a report rather than once a candidate."""
-    return reports.withColumn("_selected", sorted_json(F.col("r.selected_parameters")))
+    return reports.withColumn("_raw", F.col("r.selected_parameters")).withColumn("_selected", sorted_json(F.col("_raw")))
 
 
 def _chosen(candidates: Column) -> Column:
-    return F.get(F.filter(candidates, lambda c: sorted_json(c["parameters"]).eqNullSafe(F.col("_selected"))), F.lit(0))
+    # texts written alike need no sorting; they are the rule where one program writes a report
+    alike = lambda c: (c["parameters"] == F.col("_raw")) | sorted_json(c["parameters"]).eqNullSafe(F.col("_selected"))
+    return F.get(F.filter(candidates, alike), F.lit(0))
 
 
 def comparison_rows(reports: DataFrame) -> DataFrame:
@@ -260,9 +263,10 @@ def fold_table(reports: DataFrame) -> DataFrame:
 
 def fold_series(reports: DataFrame, metric: str) -> DataFrame:
     """Metric per fold of the selected parameters, else of the first candidate."""
-    rows = _with_selected(reports).select("report", "_selected", F.posexplode("r.folds").alias("i", "f"))
+    rows = _with_selected(reports).select("report", "_raw", "_selected", F.posexplode("r.folds").alias("i", "f"))
     best = F.coalesce(_chosen(F.col("f.candidates")), F.get("f.candidates", F.lit(0)))
-    return rows.withColumn("b", best).filter("b IS NOT NULL").select(
+    # exploded, as a filter on the choice would make it twice
+    return rows.select("report", "i", "f", F.explode(F.array_compact(F.array(best))).alias("b")).select(
         "report", F.coalesce("f.fold", F.col("i") + 1).alias("fold"), F.col("b")["metrics"][metric].alias(metric)
     )
 

@@ -169,3 +169,16 @@ def test_leaderboard_and_its_sql_round_alike(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
     assert compare(entry.queries()["leaderboard"](spark, str(tmp_path)), con, entry.oracle_sql()["leaderboard"])[0] is None
+
+
+def test_a_report_is_read_once(spark):
+    text = ('{"selected_parameters": {"b": "x\\"]", "a": 1.0}, "aggregate_metrics": [{"parameters": {"a": 2}, "metrics": {"macro_f1": 1}}, '
+            '{"parameters": {"a": 1.0, "b": "x\\"]"}, "metrics": {"macro_f1": 2}}], "folds": [{"fold": 3, "candidates": '
+            '[{"parameters": {"a": 2}, "metrics": {"macro_f1": 3}}, {"parameters": {"b": "x\\"]", "a": 1.0}, "metrics": {"macro_f1": 4}}]}, {"candidates": []}]}')
+    rows = spark.range(2).select(F.concat(F.lit("r"), F.col("id")).alias("report"), F.lit("run").alias("artifact_name"),
+                                 F.concat(F.lit(text), F.repeat(F.lit(" "), F.col("id").cast("int"))).alias("value"), F.lit(None).cast("string").alias("error"))
+    compared, series = E.comparison_rows(E.parsed_reports(rows)), E.fold_series(E.parsed_reports(rows), "macro_f1")
+    assert [(r["macro_f1"], r["parameters"]) for r in compared.collect()] == [(2, '{"a": 1.0, "b": "x\\"]"}')] * 2
+    assert [(r["fold"], r["macro_f1"]) for r in series.collect()] == [(3, 4)] * 2
+    for found in (compared, series):
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json(StructField(") == 1
