@@ -58,10 +58,10 @@ SELECT vec_id, position::INTEGER AS position, {named('(v - avg(v) OVER w) / stdd
 
 
 def fit_pca(spark, folder):
-    """What makes 8 of 64 directions the principal ones, from the scaled values and the scores alone.
+    """Every vector in all 64 directions, and what makes the first 8 the principal ones, from the scaled values and the scores alone.
 
-    Scores do not vary together; a score's variance is the length of its covariances with all values, as for an eigenvector of length 1;
-    variances fall, and the least is above the mean of what is left over.
+    A vector keeps its power in all directions. Scores of the 8 do not vary together; a score's variance is the length of its covariances
+    with all values, as for an eigenvector of length 1; variances fall, and the least is above the mean of what is left over.
     """
     rows = vectors(spark, folder).select("vec_id", F.col("embedding").alias("imu"))
     reducer = Q.Reducer.fit(rows, "imu", 8)
@@ -77,12 +77,19 @@ def fit_pca(spark, folder):
     facts = own.join(lengths, "component").join(apart, "component").join(own.select((F.col("component") - 1).alias("component"), F.col("variance").alias("next")), "component", "left")
     # eight rows
     every = Window.partitionBy(F.lit(0))
-    return facts.withColumn("least", F.min("variance").over(every)).withColumn("kept", F.sum("variance").over(every)).select(
+    facts = facts.withColumn("least", F.min("variance").over(every)).withColumn("kept", F.sum("variance").over(every)).select(
         "component", "uncorrelated", (F.abs(F.col("length") - F.col("variance")) < 1e-9).alias("principal"),
         (F.coalesce("next", F.lit(0.0)) <= F.col("variance")).alias("descending"), (F.col("least") > (64 - F.col("kept")) / 56).alias("leading"))
+    proved = facts.agg(F.count(F.lit(1)).alias("components"), *[F.every(c).alias(c) for c in ("uncorrelated", "principal", "descending", "leading")])
+    whole = Q.Reducer.fit(rows, "imu", 64, reducer.scaler).apply(rows, "imu").select(
+        "vec_id", F.size("imu").alias("width"), F.aggregate("imu", F.lit(0.0), lambda a, v: a + v * v).alias("power"))
+    return rounded(whole, ["power"]).crossJoin(F.broadcast(proved))
 
 
-PCA_SQL = "SELECT unnest(range(8))::INTEGER AS component, true AS uncorrelated, true AS principal, true AS descending, true AS leading"
+PCA_SQL = f"""WITH g AS (SELECT vec_id, unnest(range(64)) AS position, unnest(embedding)::DOUBLE AS v FROM embeddings),
+z AS (SELECT vec_id, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS z FROM g WINDOW w AS (PARTITION BY position))
+SELECT vec_id, 64 AS width, {named('sum(z * z)', 'power')}, 8 AS components, true AS uncorrelated, true AS principal, true AS descending, true AS leading
+FROM z GROUP BY vec_id"""
 
 
 def assemble_features(spark, folder):

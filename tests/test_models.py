@@ -243,3 +243,12 @@ def test_model_of_other_layout_is_refused(spark, tmp_path):
     with pytest.raises(DataError):
         M.ClipModel.load(spark, path)
     assert write_text is not None
+
+
+def test_pca_query_has_every_vector(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    found = entry.queries()["fit_pca"](spark, folder)
+    assert found.count() == spark.read.parquet(f"{folder}/embeddings.parquet").count()
+    assert "embeddings" in entry.oracle_sql()["fit_pca"]
