@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 HOT_ROWS_CONF = "spark.sensorframe.hotGroupRows"
 DEFAULT_HOT_ROWS = 2_000_000
 BROADCAST_BOUNDS = 2_000_000
+# Rows ordered by texts and lists are wide, and one task reads a whole slice of them.
+ORDERED_ROWS = 250_000
 SLICE = "_slice"
 ORDER = "_order"
 
@@ -73,11 +75,11 @@ def sliced(df: DataFrame, keys: Sequence[str], lead: Column | None, order: Seque
     """Add the slice column; the flag says whether any group was cut.
 
     With a ``lead`` number hot groups are cut at its quantiles, which are stored so that every use
-    sees the same cuts. Without one the rows are range-partitioned by the whole order, and the stored
-    partition number is the slice.
+    sees the same cuts. Without one the rows are range-partitioned by the whole order, in slices of at
+    most about ``ORDERED_ROWS``, and the stored partition number is the slice.
     """
     spark = df.sparkSession
-    limit = hot_rows(spark)
+    limit = hot_rows(spark) if lead is not None else min(hot_rows(spark), ORDERED_ROWS)
     keys = list(keys)
     counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
     found = counted.agg(F.count(F.lit(1)), F.max("_rows")).first()

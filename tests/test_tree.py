@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sensorframe import skew
 from sensorframe.operators import sampling
 from sensorframe.plans import extract
 from sensorframe.skew import OrderedGroups
@@ -128,3 +129,13 @@ def tree_files(tmp_path_factory):
     import fixtures
 
     return fixtures.write_tree(tmp_path_factory.mktemp("files"))
+
+
+def test_rows_in_text_order_are_cut_early(spark, monkeypatch):
+    """Slices by the whole order are smaller than hot groups."""
+    monkeypatch.setattr(skew, "ORDERED_ROWS", 50, raising=False)
+    rows = spark.range(400).select(F.concat(F.lit("user"), F.col("id")).alias("u"))
+    groups = OrderedGroups(rows, [], [F.array("u")], None)
+    assert groups.is_cut and groups.df.groupBy(skew.SLICE).count().agg(F.max("count")).first()[0] <= 100
+    found = groups.scan(p=skew.position()).rows().orderBy("u").collect()
+    assert [r["p"] for r in found] == list(range(400))
