@@ -16,8 +16,9 @@ P(w | suffix of s), down to the root (c + 0.1) / (N + 0.1 (V + 1)). Every distri
 tokens and a follower after d - 1 are both word sequences, so one count of all sequences of 1 to ``DEPTH`` + 1
 tokens gives context totals and followers alike. Blocks send their sequences' hashes with their own counts to
 shards by hash, and the shard adds up and answers each block. Lengths are counted one after the other, without
-sequences that are sure to be seen once or to follow a context that cannot pass the test. From the answers a
-block has the divergence terms of its own share of every follower; they are added by context in shards. Retained contexts are a stored
+sequences that are sure to be seen once or to follow a context that cannot pass the test. A shard tells one of the
+blocks that hold a sequence that it is the first, so every follower's divergence term is sent once, by that block; the terms are added by
+context in shards. Retained contexts are a stored
 table that blocks look up by shuffled key. The counts are settled in the blocks once, so later steps read them without a shuffle, and every table is
 deleted when the next one has it. The number of shards follows the number of tokens; nothing but the corpus size and the vocabulary size reaches the driver. Sequences are told apart by 61 bits of a hash.
 
@@ -69,23 +70,12 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _sequences(hashes: np.ndarray, begins: np.ndarray, longest: int) -> list[np.ndarray]:
-    """For each length, the key of the tokens up to each place, 0 where the document has fewer; the low bits tell the length."""
-    place, words = np.arange(len(hashes)) - begins, mixed(hashes)
-    total, out = np.zeros(len(hashes), np.uint64), []
-    for n in range(1, longest + 1):
-        total[n - 1 :] += words[: len(words) - n + 1] * (mixed(np.array([n], np.uint64) * _STEP) | np.uint64(1))
-        key = (mixed(total + np.uint64(n)) >> np.uint64(_LENGTH_BITS) << np.uint64(_LENGTH_BITS)) | np.uint64(n)
-        out.append(np.where(place >= n - 1, key, np.uint64(0)))
-    return out
-
-
-def _before(values: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Each place's value of the place before it in its document, 0 at the first."""
-    out = np.zeros_like(values)
-    out[1:] = values[:-1]
-    out[np.arange(len(values)) == begins] = 0
-    return out
+def _keys(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """The key of the n tokens up to each of the places, which have that many; the low bits tell the length."""
+    total = np.zeros(len(at), np.uint64)
+    for back in range(n):
+        total += words[at - back] * (mixed(np.array([back + 1], np.uint64) * _STEP) | np.uint64(1))
+    return (mixed(total + np.uint64(n)) >> np.uint64(_LENGTH_BITS) << np.uint64(_LENGTH_BITS)) | np.uint64(n)
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -98,10 +88,17 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[new], place
 
 
+def _dealt(keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the keys by shard, and where each shard begins in it."""
+    # numbers of two bytes are sorted by counting
+    shard = (mixed(keys) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    return np.argsort(shard, kind="stable"), np.append(0, np.cumsum(np.bincount(shard, minlength=shards)))
+
+
 # ---------------------------------------------------------------- blocks and shards
 
-#: Rows of blocks are large, so files look at their size often.
-_WHOLE_ROWS = {"parquet.page.size.row.check.min": 2, "parquet.block.size.row.check.min": 2}
+#: Rows of blocks are large, so files look at their size often; their bytes are compressed already.
+_WHOLE_ROWS = {"parquet.page.size.row.check.min": 2, "parquet.block.size.row.check.min": 2, "parquet.enable.dictionary": "false", "compression": "uncompressed"}
 
 def _blocks(docs: DataFrame, id_column: str, text_column: str, folds: int) -> DataFrame:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,35 +130,36 @@ def _blocks(docs: DataFrame, id_column: str, text_column: str, folds: int) -> Da
     return stored(built, "tokens", **_WHOLE_ROWS)
 
 
-def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes, each token's document's first place, document bounds and folds."""
-    bounds, folds = _loose(row["bounds"], "<i8"), _loose(row["folds"], "<i4")
-    hashes = _loose(row["hashes"], "<u8")[_loose(row["codes"], "<i4")]
-    return hashes, np.repeat(bounds[:-1], np.diff(bounds)), bounds, folds
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes as keys use them, document bounds and folds."""
+    return mixed(_loose(row["hashes"], "<u8"))[_loose(row["codes"], "<i4")], _loose(row["bounds"], "<i8"), _loose(row["folds"], "<i4")
 
 
-_BLOCK_COLUMNS = ["block", "folds", "bounds", "hashes", "codes"]
+_BLOCK_COLUMNS = ["block", "folds", "bounds", "hashes", "codes", "times", "firsts"]
+_PRESS, _PRESSED = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
 def _squeezed(values: np.ndarray) -> bytes:
-    """Numbers as compressed bytes, first bytes of all first; ascending keys as differences, whose last bytes are zero."""
+    """Numbers as compressed bytes, first bytes of all first, after one byte for their width; integers from 0 on in as few bytes as
+    the largest needs, ascending keys as differences, whose last bytes are zero."""
     if values.dtype == np.uint64 and len(values):
         values = np.diff(values, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b"")
+    elif values.dtype.kind == "i" and len(values):
+        values = values.astype(np.min_scalar_type(int(values.max())))
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+    return bytes([values.itemsize]) + _PRESS.compress(raw)
 
 
 def _loose(squeezed: object, kind: str) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(squeezed if isinstance(squeezed, bytes) else squeezed.as_buffer()), np.uint8)
-    kind = np.dtype(kind)
-    values = np.ascontiguousarray(raw.reshape(kind.itemsize, -1).T).view(kind).ravel()
-    return np.cumsum(values, dtype=np.uint64) if kind == np.uint64 else values
+    whole = memoryview(squeezed if isinstance(squeezed, bytes) else squeezed.as_buffer())
+    raw, width, kind = np.frombuffer(_PRESSED.decompress(whole[1:]), np.uint8), whole[0], np.dtype(kind)
+    values = np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}" if kind.kind == "i" else kind).ravel()
+    return np.cumsum(values, dtype=np.uint64) if kind == np.uint64 else values.astype(kind, copy=False)
 
 
 def _packed(by: np.ndarray, shards: int, columns: dict[str, np.ndarray], **fixed: object) -> Iterator[pa.RecordBatch]:
     """One row per shard that has entries: its entries of each column as bytes."""
-    shard = (mixed(by) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    order, edges = _dealt(by, shards)
     filled = np.flatnonzero(np.diff(edges))
     columns = {name: values[order] for name, values in columns.items()}
     rows = {"shard": pa.array(filled.astype(np.int64))}
@@ -187,45 +185,62 @@ class Tree(NamedTuple):
 def _answered(answers: pa.Table, length: int, kind: str, keys: np.ndarray, shards: int) -> np.ndarray:
     """Values of a block's ascending distinct keys from the shards' answers for this length."""
     answers = answers.filter(pa.array(answers.column("length").to_numpy() == length))
-    values, shard = np.zeros(len(keys), kind), (mixed(keys) % np.uint64(shards)).astype(np.int64)
-    order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
+    values, (order, edges) = np.zeros(len(keys), kind), _dealt(keys, shards)
     for part, found in zip(answers.column("part").to_pylist(), answers.column("values")):
         values[order[edges[part] : edges[part + 1]]] = _loose(found, kind)
     return values
 
 
-def _open_places(times: list[np.ndarray], begins: np.ndarray, tree: Tree) -> np.ndarray:
-    """Places whose context of len(times) tokens may be retained, from the counts of the sequences up to each place.
+def _open_places(times: list[np.ndarray], bounds: np.ndarray, tree: Tree) -> np.ndarray:
+    """Places whose context may be retained, from the counts of the sequences up to each place: of as many tokens, and of one less
+    before it where there are such.
 
-    A context's gain is at most its total times log(suffix's total / 2), as a follower seen twice is seen as often behind
-    the suffix. Contexts for which that is below the least price cannot be retained, and neither can a longer one.
+    A follower seen c times is seen o >= c times behind the suffix, so the gain of a context of total n with suffix's total a is at most
+    n log(a / n). Of what is at most n and a, that is largest at a / e. Contexts for which that is below the least price, which is for
+    one follower seen twice, cannot be retained, and neither can a longer one.
     """
-    total = _before(times[-1], begins)
-    above = _before(times[-2], begins) if len(times) > 1 else np.full(len(total), tree.tokens)
-    at = np.flatnonzero(total >= tree.least)
-    return at[total[at] * np.log(np.maximum(above[at], 2) / 2) > math.log(max(tree.tokens, 2)) - 1e-6]
+    enough = np.append(False, times[-1][:-1] >= tree.least)
+    enough[bounds[:-1]] = False
+    at = np.flatnonzero(enough)
+    total = times[-1][at - 1]
+    above = times[-2][at - 1] if len(times) > 1 else np.full(len(at), tree.tokens)
+    most = np.minimum(total, above / math.e)
+    return at[most * np.log(above / most) > _least_gain(tree)]
 
 
-def _counted_places(keys: np.ndarray, times: list[np.ndarray], begins: np.ndarray, tree: Tree) -> np.ndarray:
-    """Places whose sequence of one token more than counted so far has to be counted: the others are seen once or decide nothing."""
-    if not times:
-        return np.arange(len(keys))
-    at = _open_places(times, begins, tree)
-    return at[(times[-1][at] > 1) & (keys[at] != 0)]
+def _least_gain(tree: Tree) -> float:
+    return math.log(max(tree.tokens, 2)) - 1e-6
 
 
-def _known_times(row: dict) -> list[np.ndarray]:
-    """For each length counted so far, the training count of the sequence up to each place, 0 where it is seen once or decides nothing.
+def _may_stay(total: np.ndarray, above: np.ndarray, times: np.ndarray | int, over: np.ndarray | int, last: bool, tree: Tree) -> np.ndarray:
+    """Whether contexts may be retained, from one follower's count and its count behind the suffix: by their own gain or, unless they are
+    of the greatest length, as suffixes of longer ones, whose gain is at most their suffix's total / e."""
+    times = np.maximum(times, 1)
+    gain = total * np.log(above / total) + times * np.log(times / np.maximum(over, times))
+    return (gain > _least_gain(tree)) | (not last and total / math.e > _least_gain(tree))
+
+
+def _times(row: dict, n: int) -> np.ndarray:
+    """The training count of the n tokens up to each place, 0 where they are seen once or decide nothing.
 
     Counts of single tokens are kept once for each word of the block.
     """
-    times = [_loose(t, "<i8") for t in row["times"]]
-    return [times[0][_loose(row["codes"], "<i4")], *times[1:]] if times else []
+    times = _loose(row["times"][n - 1], "<i8")
+    return times[_loose(row["codes"], "<i4")] if n == 1 else times
+
+
+def _counted_places(row: dict, n: int, tree: Tree) -> np.ndarray:
+    """Places whose sequence of n tokens has to be counted: the others are seen once or decide nothing."""
+    bounds = _loose(row["bounds"], "<i8")
+    if n == 1:
+        return np.arange(bounds[-1])
+    times = [_times(row, m) for m in range(max(n - 2, 1), n)]
+    at = _open_places(times, bounds, tree)
+    return at[times[-1][at] > 1]
 
 
 def _row(block: pa.Table) -> dict:
-    return {name: block.column(name)[0].as_py() for name in ("block", "folds", "bounds", "hashes", "codes")}
+    return {name: block.column(name)[0].as_py() for name in _BLOCK_COLUMNS}
 
 
 _ANSWER = "block long, part long, length long, values binary"
@@ -237,45 +252,62 @@ def _counted(blocks: DataFrame, longest: int, tree: Tree) -> tuple[DataFrame, in
     Lengths are counted one after the other, each for the places that the shorter ones leave open. The answers to a length are settled in the
     blocks, and the blocks and answers they come from are deleted; so every step reads one row a block.
     """
-    def places(row: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places whose sequence of n tokens is to be counted, the distinct keys there, and each place's key among them."""
-        hashes, begins, _, _ = _opened(row)
-        key = _sequences(hashes, begins, n)[-1]
-        at = _counted_places(key, _known_times(row), begins, tree)
-        return at, *_distinct(key[at])
+    def places(row: dict, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose sequence of n tokens is to be counted, whether they are trained on, the distinct keys there, and each place's key among them."""
+        words, bounds, folds = _opened(row)
+        at, use = _counted_places(row, n, tree), np.repeat(folds != 0, np.diff(bounds))
+        if n == 1:
+            own = mixed(_loose(row["hashes"], "<u8"))
+            distinct, place = _distinct(_keys(own, np.arange(len(own)), 1))
+            return at, use, distinct, place[_loose(row["codes"], "<i4")]
+        return at, use[at], *_distinct(_keys(words, at, n))
 
     def requests(n: int):
         def run(row: dict) -> Iterator[pa.RecordBatch]:
-            at, distinct, place = places(row, n)
-            bounds, folds = _loose(row["bounds"], "<i8"), _loose(row["folds"], "<i4")
-            times = np.bincount(place, np.repeat(folds != 0, np.diff(bounds))[at], len(distinct)).astype("<i4")
+            _, use, distinct, place = places(row, n)
+            times = np.bincount(place, use, len(distinct)).astype("<i4")
             yield from _packed(distinct, tree.shards, {"keys": distinct, "times": times}, block=row["block"])
 
         return run
 
     def settle(n: int):
         def run(block: pa.Table, told: pa.Table) -> pa.Table:
-            row = _row(block) | {"times": block.column("times")[0].as_py()}
-            at, distinct, place = places(row, n)
+            row = _row(block)
+            at, use, distinct, place = places(row, n)
+            answers = _answered(told, n, "<i8", distinct, tree.shards)
             own = np.zeros(int(_loose(row["bounds"], "<i8")[-1]), "<i8")
-            own[at] = _answered(told, n, "<i8", distinct, tree.shards)[place]
+            own[at] = (answers >> 1)[place]
+            first = np.zeros(len(own), bool)
             if n == 1:
                 places_of, own = own, np.zeros(len(_loose(row["hashes"], "<u8")), "<i8")
                 own[_loose(row["codes"], "<i4")] = places_of
-            times = row["times"] + [_squeezed(own)]
-            kept = block.drop_columns(["times"])
-            return kept.append_column("times", pa.ListArray.from_arrays(pa.array([0, len(times)], pa.int32()), pa.array(times, pa.binary())))
+            else:
+                one, trained = np.full(len(distinct), -1), np.flatnonzero(use)
+                one[place[trained]] = at[trained]
+                first[one[answers & 1 > 0]] = True
+            lists = {"times": row["times"] + [_squeezed(own)], "firsts": row["firsts"] + [_squeezed(np.packbits(first))]}
+            kept = block.drop_columns(list(lists))
+            for name, values in lists.items():
+                kept = kept.append_column(name, pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.binary())))
+            return kept
 
         return run
 
     def add(n: int):
         def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by("block")
             asked = [_loose(x, "<u8") for x in table.column("keys")]
             keys, place = _distinct(np.concatenate(asked))
-            total = np.bincount(place, _joined(table, "times", "<i4"), len(keys)).astype("<i8")
+            own = _joined(table, "times", "<i4")
+            total = np.bincount(place, own, len(keys)).astype("<i8")
             types = int((total > 0).sum())
             total[total < (1 if n == 1 else 2)] = 0
-            answers = np.split(total[place], np.cumsum([len(a) for a in asked])[:-1])
+            # twice the count, and one more for the first block that trains on the sequence
+            answer, held = 2 * total[place], np.flatnonzero(own)[::-1]
+            first = np.full(len(keys), -1)
+            first[place[held]] = held
+            answer[first[total > 0]] += 1
+            answers = np.split(answer, np.cumsum([len(a) for a in asked])[:-1])
             return pa.table({
                 "block": table.column("block"), "part": table.column("shard"), "length": pa.array(np.full(len(asked), n)),
                 "values": pa.array([_squeezed(a) for a in answers], pa.binary()), "types": pa.array([types] + [0] * (len(asked) - 1), pa.int64())})
@@ -283,8 +315,8 @@ def _counted(blocks: DataFrame, longest: int, tree: Tree) -> tuple[DataFrame, in
         return run
 
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
-    fields = f"block long, ids array<{kind}>, folds binary, bounds binary, hashes binary, codes binary, times array<binary>"
-    state, types = blocks.withColumn("times", F.array().cast("array<binary>")), 0
+    fields = f"block long, ids array<{kind}>, folds binary, bounds binary, hashes binary, codes binary, times array<binary>, firsts array<binary>"
+    state, types = blocks.withColumns({name: F.array().cast("array<binary>") for name in ("times", "firsts")}), 0
     for n in range(1, longest + 1):
         wanted = _each(state, requests(n), "shard long, block long, keys binary, times binary")
         found = stored(wanted.groupBy("shard").applyInArrow(add(n), _ANSWER + ", types long"), f"counts-{n}")
@@ -313,49 +345,45 @@ def _each(blocks: DataFrame, work, fields: str) -> DataFrame:
             for at in range(batch.num_rows):
                 yield from work({name: batch.column(name)[at].as_py() for name in batch.schema.names})
 
-    return blocks.select(*_BLOCK_COLUMNS, "times").mapInArrow(run, fields)
+    return blocks.select(*_BLOCK_COLUMNS).mapInArrow(run, fields)
 
 
 # ---------------------------------------------------------------- divergence
 
-def _levels(row: dict, depth: int, tree: Tree) -> tuple[list[np.ndarray], list[np.ndarray], list[tuple[np.ndarray, ...]]]:
-    """Keys and counts of the sequences up to each place, and for each depth: the open places, and there the context's key, its
-    total, its suffix's total, the follower's count and the follower's count behind the suffix."""
-    hashes, begins, _, _ = _opened(row)
-    keys = _sequences(hashes, begins, depth + 1)
-    times = _known_times(row)
-    above, levels = np.full(len(hashes), tree.tokens), []
+def _levels(row: dict, depth: int, tree: Tree) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """Counts of single tokens, and for each depth: the places whose context may be retained, and there the context's key, its total and
+    the follower's count."""
+    words, bounds, _ = _opened(row)
+    times, levels = [_times(row, n) for n in range(1, depth + 2)], []
     for d in range(1, depth + 1):
-        at = _open_places(times[:d], begins, tree)
-        total = _before(times[d - 1], begins)
-        levels.append((at, keys[d - 1][at - 1], total[at], above[at], times[d][at], times[d - 1][at]))
-        above = total
-    return keys, times, levels
+        at = _open_places(times[max(d - 2, 0) : d], bounds, tree)
+        above = times[d - 2][at - 1] if d > 1 else tree.tokens
+        at = at[_may_stay(times[d - 1][at - 1], above, times[d][at], times[d - 1][at], d == depth, tree)]
+        levels.append((at, _keys(words, at - 1, d), times[d - 1][at - 1], times[d][at]))
+    return times[0], levels
 
 
 def _retained(blocks: DataFrame, depth: int, tree: Tree) -> DataFrame:
-    """(key, spare) of the retained contexts: the share of their mass that is left to the suffix."""
+    """(key, spare) of the retained contexts: how much of their total is left to the suffix."""
     price = 0.5 * math.log(max(tree.tokens, 2))
     suffixes = [f"suffix{d}" for d in range(1, depth)]
-    names = {"key": "<u8", **{s: "<u8" for s in suffixes}, "total": "<i8", "times": "<i8", "gain": "<f8", "share": "<f8", "twice": "<f8"}
+    names = {"key": "<u8", **{s: "<u8" for s in suffixes}, **{n: "<i8" for n in ("total", "above", "times", "over", "twice")}, "gain": "<f8"}
 
     def terms(row: dict) -> Iterator[pa.RecordBatch]:
-        _, _, bounds, folds = _opened(row)
-        use = np.repeat(folds != 0, np.diff(bounds))
-        sequences, _, levels = _levels(row, depth, tree)
-        found = []
-        for d, (at, key, total, above, times, over) in enumerate(levels, 1):
-            held = use[at] & (times > 1)
-            at, key, total, above, times, over = (x[held] for x in (at, key, total, above, times, over))
-            share = over / above
-            keys, place = _distinct(key)
+        words, _, _ = _opened(row)
+        counts, found = [np.full(len(words), tree.tokens), *[_times(row, n) for n in range(1, depth + 2)]], []
+        for d in range(1, depth + 1):
+            # the followers seen twice or more that no other block sends
+            at = np.flatnonzero(np.unpackbits(_loose(row["firsts"][d], "u1"), count=len(words)))
+            at = at[_may_stay(counts[d][at - 1], counts[d - 1][at - 1], 1, 1, d == depth, tree)]
+            total, above, times, over = counts[d][at - 1], counts[d - 1][at - 1], counts[d + 1][at], counts[d][at]
+            keys, place = _distinct(_keys(words, at - 1, d))
             one = np.zeros(len(keys), np.int64)
             one[place] = np.arange(len(place))
-            # every occurrence of a follower brings its part, so all blocks together bring each follower once
-            sums = [np.bincount(place, x, len(keys)) for x in (np.log(times / total / share), share / times, 1 / times)]
+            sums = [np.bincount(place, x, len(keys)) for x in (times, over, np.ones(len(at)), times * np.log(times / total / (over / above)))]
             zero = np.zeros(len(keys), np.uint64)
-            ups = [sequences[k - 1][at - 1][one] if k < d else zero for k in range(1, depth)]
-            found.append([keys, *ups, total[one], np.bincount(place, minlength=len(keys)), *sums])
+            ups = [_keys(words, at[one] - 1, k) if k < d else zero for k in range(1, depth)]
+            found.append([keys, *ups, total[one], above[one], *sums])
         columns = [np.concatenate([f[i] for f in found]) for i in range(len(names))]
         yield from _packed(columns[0], tree.shards, {n: c.astype(t) for (n, t), c in zip(names.items(), columns)})
 
@@ -364,15 +392,15 @@ def _retained(blocks: DataFrame, depth: int, tree: Tree) -> DataFrame:
         keys, place = _distinct(columns["key"])
         one = np.zeros(len(keys), np.int64)
         one[place] = np.arange(len(place))
-        times, gain, share, twice = (np.bincount(place, columns[n], len(keys)) for n in ("times", "gain", "share", "twice"))
-        total, twice = columns["total"][one], np.rint(twice)
-        once = total - np.rint(times)
+        times, gain, over, twice = (np.bincount(place, columns[n], len(keys)) for n in ("times", "gain", "over", "twice"))
+        total, share = columns["total"][one], over / columns["above"][one]
+        once = total - times
         alone = once > 0
         rest = np.log(np.where(alone, once, 1) / total) - np.log(np.maximum(1 - share, 1e-12))
         gain += np.where(alone, once * rest, 0)
         return pa.table({
             "key": pa.array(keys.view(np.int64)), **{s: pa.array(columns[s][one].view(np.int64)) for s in suffixes},
-            "spare": pa.array((once + DISCOUNT * twice) / total), "own": pa.array(gain > price * (twice + 1))})
+            "spare": pa.array(once + DISCOUNT * twice), "own": pa.array(gain > price * (twice + 1))})
 
     fields = "shard long, " + ", ".join(f"{n} binary" for n in names)
     packed = _each(blocks, terms, fields)
@@ -402,7 +430,8 @@ def suffix_tree_scores(docs: DataFrame, id_column: str = "doc_id", text_column:
     states = _retained(blocks, depth, tree)
 
     def ask(row: dict) -> Iterator[pa.RecordBatch]:
-        wanted = np.unique(np.concatenate([key for _, key, *_ in _levels(row, depth, tree)[2]]))
+        wanted = np.sort(np.concatenate([key for _, key, *_ in _levels(row, depth, tree)[1]]))
+        wanted = wanted[np.append(True, wanted[1:] != wanted[:-1])[: len(wanted)]]
         yield from _packed(wanted, tree.shards, {"keys": wanted}, block=row["block"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,19 +449,17 @@ def suffix_tree_scores(docs: DataFrame, id_column: str = "doc_id", text_column:
             "block": asked.column("block"), "part": asked.column("shard"), "length": pa.array(np.zeros(len(found), np.int64)), "values": pa.array(found, pa.binary())})
 
     def score(block: pa.Table, answers: pa.Table) -> pa.Table:
-        row = _row(block) | {"times": block.column("times")[0].as_py()}
-        _, _, bounds, folds_ = _opened(row)
-        _, times, levels = _levels(row, depth, tree)
-        root = times[0]
-        keys = np.unique(np.concatenate([key for _, key, *_ in levels]))
-        spares = _answered(answers, 0, "<f8", keys, tree.shards)
+        row = _row(block)
+        bounds, folds_ = _loose(row["bounds"], "<i8"), _loose(row["folds"], "<i4")
+        root, levels = _levels(row, depth, tree)
+        keys, place = _distinct(np.concatenate([key for _, key, *_ in levels]))
+        spares = np.split(_answered(answers, 0, "<f8", keys, tree.shards)[place], np.cumsum([len(at) for at, *_ in levels])[:-1])
         base = (root + ADDED) / (tokens + ADDED * (types + 1)) if tokens else np.ones(len(root))
         chance, deep = base.copy(), np.zeros(len(root), bool)
-        for at, key, total, _, follows, _ in levels:
-            spare = spares[np.searchsorted(keys, key)]
+        for (at, _, total, follows), spare in zip(levels, spares):
             held = spare > 0  # a retained context has a follower seen twice, so mass is left
-            at, own = at[held], np.where(follows > 1, follows - DISCOUNT, 0.0) / total
-            chance[at] = own[held] + spare[held] * chance[at]
+            at, total, follows, spare = at[held], total[held], follows[held], spare[held]
+            chance[at] = (np.where(follows > 1, follows - DISCOUNT, 0.0) + spare * chance[at]) / total
             deep[at] = True
         sums = [np.concatenate([[0.0], np.cumsum(x, dtype=np.float64)]) for x in (root > 0, np.log10(base), np.log10(chance), deep)]
         known_, base, chance, deep = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
@@ -446,6 +473,8 @@ def suffix_tree_scores(docs: DataFrame, id_column: str = "doc_id", text_column:
     dropped(states)
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
     fields = f"id {kind}, fold int, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_deep long"
-    scores = stored(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, fields), "scores")
+    # which block is the first to hold a sequence matters no more
+    scored = blocks.withColumn("firsts", F.array().cast("array<binary>"))
+    scores = stored(scored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, fields), "scores")
     dropped(blocks, answers)
     return scores.withColumnRenamed("id", id_column)

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter, defaultdict
 
@@ -109,3 +110,19 @@ def test_rare_contexts_stay_in_a_larger_corpus(table):
     by_id = {x.doc_id: x for x in t.suffix_tree_scores(table([(i, x, "s") for i, x in rows]), depth=1).collect()}
     for i, text in rows[:5]:
         assert by_id[i].score == pytest.approx(brute.score(text)[1], rel=1e-9)
+
+
+def test_a_follower_is_sent_by_one_block(table, monkeypatch, tmp_path):
+    monkeypatch.setattr(t, "chunks", lambda batches, column, limit: (b.slice(k, 1) for b in batches for k in range(b.num_rows)))  # a block a row
+    packed = t._packed
+
+    def noted(by, shards, columns, **fixed):
+        if "gain" in columns:
+            (tmp_path / uuid.uuid4().hex).write_text("\n".join(map(str, columns["key"])))
+        return packed(by, shards, columns, **fixed)
+
+    monkeypatch.setattr(t, "_packed", noted)
+    text = " ".join(f"a{k} mid end{k}" for k in range(40))
+    t.suffix_tree_scores(table([(i, text, "s") for i in range(60)])).count()
+    sent = [key for f in tmp_path.iterdir() for key in f.read_text().split()]
+    assert sent and len(sent) == len(set(sent))
