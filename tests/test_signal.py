@@ -154,3 +154,11 @@ def test_half_turns_stay_as_they_are(spark, way):
     data = {k: [k * 0.37 + way * 180.0 * i if i in (0, 7) else None for i in range(8)] for k in range(40)}
     found = S.circular_features(groups(spark, data), ["v"]).collect()
     np.testing.assert_allclose([r["unwrapped_range"] for r in found], 3.5)
+
+
+def test_rotation_reads_no_frame_again_for_every_row(spark):
+    """Gaps of four channels are filled before turns are told; each frame ends at its own row."""
+    rows = spark.createDataFrame([(0, i, *[None if (i + c) % 3 == 0 else float(i + c) for c in range(4)]) for i in range(9)], "k int, i int, a double, b double, c double, d double")
+    found = S.relative_rotation(OrderedGroups(rows, ["k"], ["i"], F.col("i")), ["a", "b", "c", "d"]).df
+    assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.filter("rel_w is null").count() == 0
