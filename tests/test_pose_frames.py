@@ -162,3 +162,12 @@ def test_resize_keeps_size_and_means():
     assert abs(small.mean() - image.mean()) < 1
     same = I._resize(image[:48, :64], 48, 64)
     np.testing.assert_array_equal(same, image[:48, :64])
+
+
+def test_filled_poses_read_no_frame_again_for_every_row(spark):
+    """The skeleton blocks start from poses filled between neighbours; each frame ends at its own row."""
+    rows = [(0, i, None if i % 4 == 1 else [float(i)] * 51, None if i % 4 == 1 else [0.5] * 17) for i in range(10)]
+    df = spark.createDataFrame(rows, "k int, i int, pose array<double>, scores array<double>")
+    found = P.fill_pose_gaps(OrderedGroups(df, ["k"], ["i"], F.col("i"))).df
+    assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["pose"][7] for r in found.orderBy("i").collect()] == [*map(float, range(9)), 8.0]
