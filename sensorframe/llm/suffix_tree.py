@@ -353,12 +353,15 @@ def _each(blocks: DataFrame, work, fields: str) -> DataFrame:
 def _levels(row: dict, depth: int, tree: Tree) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
     """Counts of single tokens, and for each depth: the places whose context may be retained, and there the context's key, its total and
     the follower's count."""
-    words, bounds, _ = _opened(row)
+    words, bounds, folds = _opened(row)
+    use = np.repeat(folds != 0, np.diff(bounds))
     times, levels = [_times(row, n) for n in range(1, depth + 2)], []
     for d in range(1, depth + 1):
         at = _open_places(times[max(d - 2, 0) : d], bounds, tree)
         above = times[d - 2][at - 1] if d > 1 else tree.tokens
-        at = at[_may_stay(times[d - 1][at - 1], above, times[d][at], times[d - 1][at], d == depth, tree)]
+        # in a text that is not trained on, what is not seen twice may never have followed the context
+        over = np.where(use[at] | (times[d][at] > 1), times[d - 1][at], 1)
+        at = at[_may_stay(times[d - 1][at - 1], above, times[d][at], over, d == depth, tree)]
         levels.append((at, _keys(words, at - 1, d), times[d - 1][at - 1], times[d][at]))
     return times[0], levels
 

@@ -126,3 +126,13 @@ def test_a_follower_is_sent_by_one_block(table, monkeypatch, tmp_path):
     t.suffix_tree_scores(table([(i, text, "s") for i in range(60)])).count()
     sent = [key for f in tmp_path.iterdir() for key in f.read_text().split()]
     assert sent and len(sent) == len(set(sent))
+
+
+def test_a_held_out_text_is_scored_by_contexts_whose_followers_it_does_not_have(table):
+    train = [i for i in range(400) if not held_out(i)][:60]
+    rows = [(i, "seldom answer " * (k < 4) + " ".join(f"v{(i + j) % 23} often" for j in range(300))) for k, i in enumerate(train)]
+    rows.append((next(i for i in range(400) if held_out(i)), "seldom often seldom often"))
+    brute = Brute(rows, 1, 0.0)
+    assert (b"seldom",) in brute.kept
+    by_id = {x.doc_id: x for x in t.suffix_tree_scores(table([(i, x, "s") for i, x in rows]), depth=1).collect()}
+    assert by_id[rows[-1][0]].score == pytest.approx(brute.score(rows[-1][1])[1], rel=1e-9)
