@@ -224,7 +224,8 @@ class OrderedGroups:
         over_keys = Window.partitionBy(*self.keys) if self.keys else Window.partitionBy(F.lit(0))
         by_slice = over_keys.orderBy(SLICE)
         before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
-        after = by_slice.rowsBetween(1, Window.unboundedFollowing)
+        # backwards, as in ``scan``: a frame up to the last slice is read again for every slice
+        after = over_keys.orderBy(F.desc(SLICE)).rowsBetween(Window.unboundedPreceding, -1)
         for name, scan in scans.items():
             src, kind = scan.source, scan.kind
             one, pre = f"_s_{name}", f"_p_{name}"
@@ -259,7 +260,7 @@ class OrderedGroups:
                 combined[name] = F.coalesce(col, held)
             else:
                 summary.append(F.min_by(src, F.when(src.isNotNull(), place)).alias(one))
-                prefix[pre] = F.first(one, ignorenulls=True).over(after)
+                prefix[pre] = F.last(one, ignorenulls=True).over(after)
                 combined[name] = F.coalesce(col, held)
         slices = self.df.groupBy(*parts).agg(*summary).withColumns(prefix)
         slices = slices.select(*parts, *prefix)

@@ -144,6 +144,16 @@ def test_no_frame_is_read_again_for_every_row(spark):
     assert [r["near"] for r in groups.df.orderBy("i").collect()] == [0, 3, 3, 3, 6, 6, 6, None, None]
 
 
+def test_no_slice_is_read_again_for_every_slice(spark, small_groups):
+    """The same for the slices that a large group is cut into."""
+    rows = spark.createDataFrame([(0, i, float(i) if i in (0, 17) else None) for i in range(23)], "k int, i int, v double")
+    groups = OrderedGroups(rows, ["k"], ["i"], F.col("i"))
+    assert groups.is_cut
+    groups = groups.scan(near=skew.next_valid(F.col("v")))
+    assert "unboundedfollowing$()" not in groups.df._jdf.queryExecution().executedPlan().toString()
+    assert [r["near"] for r in groups.df.orderBy("i").collect()] == [0] + [17] * 17 + [None] * 5
+
+
 def test_a_value_at_the_mean_is_not_below_it():
     rows = np.array([[0.8, 0.1, 0.8, -0.6, -0.6], [0.5, 0.3, 0.5, 0.1, 0.1], [1.1, 0.4, 1.1, -0.3, -0.3], [0.8, 0.5, 0.8, 0.2, 0.2]])
     np.testing.assert_allclose(dynamics(rows)[:, 2], 0.25)
