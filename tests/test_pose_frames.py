@@ -171,3 +171,14 @@ def test_filled_poses_read_no_frame_again_for_every_row(spark):
     found = P.fill_pose_gaps(OrderedGroups(df, ["k"], ["i"], F.col("i"))).df
     assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().executedPlan().toString()
     assert [r["pose"][7] for r in found.orderBy("i").collect()] == [*map(float, range(9)), 8.0]
+
+
+def test_filled_poses_of_a_cut_clip_read_no_slice_again(spark, small_groups):
+    rows = [(0, i, [float(i)] * 51 if i in (2, 17) else None, [0.5] * 17 if i in (2, 17) else None) for i in range(23)]
+    df = spark.createDataFrame(rows, "k int, i int, pose array<double>, scores array<double>")
+    groups = OrderedGroups(df, ["k"], ["i"], F.col("i"))
+    assert groups.is_cut
+    found = P.fill_pose_gaps(groups).df
+    assert "unboundedfollowing$()" not in found._jdf.queryExecution().executedPlan().toString()
+    want = np.clip(np.arange(23.0), 2, 17)
+    np.testing.assert_allclose([r["pose"][7] for r in found.orderBy("i").collect()], want)
