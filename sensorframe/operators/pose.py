@@ -149,29 +149,51 @@ def person_track(groups: OrderedGroups, people: str = "people") -> DataFrame:
 # ---------------------------------------------------------------- normalization
 
 
-def fill_pose_gaps(groups: OrderedGroups, pose: str = "pose", scores: str = "scores") -> OrderedGroups:
-    """Frames without a person are interpolated between their neighbours, ends held."""
+def _filled(groups: OrderedGroups, known: Column, values: Column, name: str) -> OrderedGroups:
+    """The array ``values`` of the known rows, for the others interpolated between their neighbours, ends held."""
     groups = S.numbered(groups)
-    known = F.when(
-        F.col(pose).isNotNull(),
-        F.struct(F.col(S.POS).alias("p"), F.concat(F.col(pose), F.col(scores)).alias("v")),
-    )
-    groups = groups.with_column("_known", known)
+    groups = groups.with_column("_known", F.when(known, F.struct(F.col(S.POS).alias("p"), values.alias("v"))))
     groups = groups.scan(_before=skew.last_valid(F.col("_known")), _after=skew.next_valid(F.col("_known")))
     a, b = F.col("_before"), F.col("_after")
     share = (F.col(S.POS) - a["p"]) / F.when(b["p"] > a["p"], b["p"] - a["p"]).otherwise(1)
     mixed = F.zip_with(a["v"], b["v"], lambda x, y: x + (y - x) * share)
-    values = F.coalesce(mixed, a["v"], b["v"])
-    rows = groups.df.withColumn("_values", values).withColumns(
+    rows = groups.df.withColumn(name, F.coalesce(mixed, a["v"], b["v"]))
+    return groups.on(rows.drop("_known", "_before", "_after"))
+
+
+def fill_pose_gaps(groups: OrderedGroups, pose: str = "pose", scores: str = "scores") -> OrderedGroups:
+    """Frames without a person are interpolated between their neighbours, ends held."""
+    groups = _filled(groups, F.col(pose).isNotNull(), F.concat(pose, scores), "_values")
+    rows = groups.df.withColumns(
         {pose: F.slice("_values", 1, 3 * JOINT_COUNT), scores: F.slice("_values", 3 * JOINT_COUNT + 1, JOINT_COUNT)}
     )
-    return groups.on(rows.drop("_known", "_before", "_after", "_values"))
+    return groups.on(rows.drop("_values"))
+
+
+#: Joints that span the torso.
+TORSO = ("l_shoulder", "r_shoulder", "pelvis")
+
+
+def _torso(left: Sequence[Column], right: Sequence[Column], pelvis: Sequence[Column]) -> Column:
+    return length([(left[a] + right[a]) / 2 - pelvis[a] for a in range(3)])
 
 
 def torso_length(pose: Column) -> Column:
-    return length([
-        (at(pose, "l_shoulder", a) + at(pose, "r_shoulder", a)) / 2 - at(pose, "pelvis", a) for a in range(3)
-    ])
+    return _torso(*[[at(pose, j, a) for a in range(3)] for j in TORSO])
+
+
+def _filled_torsos(groups: OrderedGroups, pose: str, scores: str) -> DataFrame:
+    """Torso lengths ``_t`` of the frames that ``fill_pose_gaps`` gives.
+
+    Poses are filled number by number, so the other joints need not go through the sorts.
+    """
+    carried = [*groups.keys, *groups.order, *[c for c in (SLICE, S.POS, S.N) if c in groups.df.columns]]
+    rows = groups.df.select(*dict.fromkeys(carried), F.col(pose).isNotNull().alias("_seen"), F.concat(pose, scores).alias("_all"))
+    joints = F.array(*[at(F.col("_all"), j, a) for j in TORSO for a in range(3)])
+    rows = rows.withColumn("_joints", F.when(F.col("_all").isNotNull(), joints)).drop("_all")
+    filled = _filled(groups.on(rows), F.col("_seen"), F.col("_joints"), "_joints").df
+    torso = _torso(*[[F.get("_joints", F.lit(3 * i + a)) for a in range(3)] for i in range(len(TORSO))])
+    return filled.select(*groups.keys, torso.alias("_t"))
 
 
 def pose_normalize(groups: OrderedGroups, pose: str = "pose", scores: str = "scores") -> OrderedGroups:
@@ -179,9 +201,11 @@ def pose_normalize(groups: OrderedGroups, pose: str = "pose", scores: str = "sco
 
     Adds ``root`` (the pelvis before centring) and ``scale``.
     """
+    torsos = _filled_torsos(groups, pose, scores).filter("_t > 1e-6")
     groups = fill_pose_gaps(groups, pose, scores)
-    torsos = groups.df.select(*groups.keys, torso_length(F.col(pose)).alias("_t")).filter("_t > 1e-6")
-    scales = skew.quantiles(torsos, groups.keys, "_t", (0.5,), "_q").select(*groups.keys, F.col("_q")[0].alias("_scale"))
+    # where no clip is cut, none has more torsos than a task may see
+    scales = skew.quantiles(torsos, groups.keys, "_t", (0.5,), "_q", may_be_hot=groups.is_cut)
+    scales = scales.select(*groups.keys, F.col("_q")[0].alias("_scale"))
     rows = skew._join_on(groups.df, scales, groups.keys)
     rows = rows.withColumn("scale", F.greatest(F.coalesce("_scale", F.lit(1.0)), F.lit(1e-6))).drop("_scale")
     rows = rows.withColumn("root", F.slice(pose, 1, 3))

@@ -267,18 +267,21 @@ class OrderedGroups:
         return _join_on(scanned, slices, parts).withColumns(combined).drop(*prefix)
 
 
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], name: str) -> DataFrame:
+def quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, shares: Sequence[float], name: str, *, may_be_hot: bool = True
+) -> DataFrame:
     """Exact linear-interpolated quantiles per group as one array column.
 
     Ordinary groups use the built-in aggregate. With a hot group present, equal values are counted
-    first and ranks are read off running counts, so no task sees a whole group.
+    first and ranks are read off running counts, so no task sees a whole group. Rows are not counted
+    where the caller knows that no group is hot.
     """
     keys = list(keys)
     present = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
     counts = present.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     limit = hot_rows(df.sparkSession)
     crowded = present.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
-    if crowded.isEmpty():
+    if not may_be_hot or crowded.isEmpty():
         return present.groupBy(*keys).agg(
             F.percentile("_v", F.array(*[F.lit(float(s)) for s in shares])).alias(name)
         )

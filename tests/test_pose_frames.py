@@ -182,3 +182,32 @@ def test_filled_poses_of_a_cut_clip_read_no_slice_again(spark, small_groups):
     assert "unboundedfollowing$()" not in found._jdf.queryExecution().executedPlan().toString()
     want = np.clip(np.arange(23.0), 2, 17)
     np.testing.assert_allclose([r["pose"][7] for r in found.orderBy("i").collect()], want)
+
+
+def test_poses_of_uncut_clips_are_normalized_in_one_pass(spark):
+    """No frame is filled ahead, only to count the torsos of clips that are known to be small."""
+    groups = pose_groups(spark, poses(9), missing=(3, 8))
+    assert not groups.is_cut
+    spark.sparkContext.setJobGroup("normalized", "")
+    P.pose_normalize(groups)
+    started = list(spark.sparkContext.statusTracker().getJobIdsForGroup("normalized"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert started == []
+
+
+@pytest.mark.parametrize("cut", [False, True])
+def test_torsos_alone_are_those_of_filled_poses(spark, cut, request):
+    if cut:
+        request.getfixturevalue("small_groups")
+    points = poses(19)
+    rows = [(1, i, p.ravel().tolist(), [0.5] * 17) for i, p in enumerate(points)]
+    rows[0] = rows[7] = rows[8] = rows[18] = None
+    rows = [(1, i, None, None) if r is None else r for i, r in enumerate(rows)]
+    rows[4], rows[12] = (1, 4, rows[4][2], None), (1, 12, rows[12][2][:30], [0.5] * 17)
+    df = spark.createDataFrame(rows, "k int, i int, pose array<double>, scores array<double>")
+    groups = OrderedGroups(df, ["k"], ["i"], F.col("i"))
+    assert groups.is_cut == cut
+    alone = P._filled_torsos(groups, "pose", "scores")
+    filled = P.fill_pose_gaps(groups).df.select("k", P.torso_length(F.col("pose")).alias("_t"))
+    found, want = ([r["_t"] for r in d.orderBy("_t").collect()] for d in (alone, filled))
+    assert found == want and len(want) == 19 and any(v is None for v in want)
